@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import simhash_trie
+from matchloom.llm import quality_crf, secret_scan, simhash_trie, suffix_decontam
 from matchloom.llm.common import table
 
 
+def op2_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_crf.quality(docs, quality_crf.fit_field(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_secret_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_array_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_quality_line_crf": op2_quality_line_crf,
+    "op7_secret_trigram_index": op7_secret_trigram_index,
+    "op8_suffix_array_decontam": op8_suffix_array_decontam,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
