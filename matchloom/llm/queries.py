@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matchloom.llm import quality_crf, secret_scan, simhash_trie, suffix_decontam
+from matchloom.llm import language_id, lpt_sharding, quality_crf, secret_scan, simhash_trie, suffix_decontam
 from matchloom.llm.common import table
 
 
@@ -13,6 +14,20 @@ def op2_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.quality(docs, quality_crf.fit_field(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpt_sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_subword_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+
+    def held_out(doc_id):
+        return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+    model = language_id.fit_languages(docs.where(~held_out(F.col("doc_id"))))
+    return language_id.predict(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op7_secret_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -27,6 +42,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_line_crf": op2_quality_line_crf,
+    "op4_lpt_sharding": op4_lpt_sharding,
+    "op6_subword_language_id": op6_subword_language_id,
     "op7_secret_trigram_index": op7_secret_trigram_index,
     "op8_suffix_array_decontam": op8_suffix_array_decontam,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
