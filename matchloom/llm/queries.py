@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import language_id, lpt_sharding, quality_crf, secret_scan, simhash_trie, suffix_decontam
+from matchloom.llm import ce_difference, language_id, lpt_sharding, merge_dropout, quality_crf, secret_scan, simhash_trie, suffix_decontam, trie_token_counts
 from matchloom.llm.common import table
 
 
+def op1_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_crf.quality(docs, quality_crf.fit_field(docs, table(spark, sf_dir, "labels")))
@@ -18,6 +22,10 @@ def op4_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpt_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_subword_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
 
@@ -36,16 +44,24 @@ def op8_suffix_array_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_ce_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ce_difference.ce_difference(docs, ce_difference.fit_tables(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_trie_token_counts": op1_trie_token_counts,
     "op2_quality_line_crf": op2_quality_line_crf,
     "op4_lpt_sharding": op4_lpt_sharding,
+    "op5_merge_dropout": op5_merge_dropout,
     "op6_subword_language_id": op6_subword_language_id,
     "op7_secret_trigram_index": op7_secret_trigram_index,
     "op8_suffix_array_decontam": op8_suffix_array_decontam,
+    "op9_ce_difference": op9_ce_difference,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
