@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import ce_difference, language_id, lpt_sharding, merge_dropout, quality_crf, secret_scan, simhash_trie, suffix_decontam, trie_token_counts
+from matchloom.llm import ce_difference, language_id, lpt_sharding, merge_dropout, quality_crf, secret_scan, simhash_trie, suffix_decontam, trie_token_counts, warc_index
 from matchloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.quality(docs, quality_crf.fit_field(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpt_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_trie_token_counts": op1_trie_token_counts,
     "op2_quality_line_crf": op2_quality_line_crf,
+    "op3_warc_capture_index": op3_warc_capture_index,
     "op4_lpt_sharding": op4_lpt_sharding,
     "op5_merge_dropout": op5_merge_dropout,
     "op6_subword_language_id": op6_subword_language_id,
@@ -64,4 +69,27 @@ QUERIES = {
     "op9_ce_difference": op9_ce_difference,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+#: Where SQL can express the contract; the others are tested against brute force,
+#: exact round trips or held-out accuracy in tests/llm.
+ORACLES: dict[str, str] = {
+    "op3_warc_capture_index": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        q AS (SELECT *, payload_bytes >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY payload_digest) AS again, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to FROM q
+    """,
+    "op8_suffix_array_decontam": """
+        WITH RECURSIVE words(kind, id, w) AS (
+            SELECT 'd', doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM documents
+            UNION ALL
+            SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+        items AS (SELECT id, w, least(10, len(w)) AS n FROM words WHERE kind = 'b' AND len(w) > 0),
+        windows AS (SELECT DISTINCT id AS item_id, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+        sizes AS (SELECT DISTINCT n FROM windows),
+        places AS (SELECT id AS doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, sizes WHERE kind = 'd' AND len(w) >= n)),
+        found AS (SELECT DISTINCT doc_id, i, p.n, item_id FROM places p JOIN windows USING (n, win)),
+        hits AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id)
+        SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words LEFT JOIN hits ON hits.doc_id = id LEFT JOIN named ON named.doc_id = id WHERE kind = 'd'
+    """,
+}
