@@ -28,14 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.llm.common import map_rows
-from matchloom.llm.pieces import MODEL, SPACE, load
+from matchloom.llm.pieces import MODEL, SPACE, PieceTable, SpanHashes, code_matrix, load
 
 SEED = 42
 ALPHA = 0.1
 STREAMS = 4
-#: Units that a task remembers per stream, and the longest of them.
-REMEMBERED = 100_000
-REMEMBERED_CHARS = 64
+#: Units of a generation that a task remembers per stream.
+REMEMBERED = 120_000
+#: Units that are worked off together, and the longest of them.
+BATCH_UNITS = 20_000
+BATCH_CHARS = 32
 
 _UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n+")
 _M1, _M2, _MASK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
@@ -45,9 +47,10 @@ class Encoder:
     """Encodes units of one stream; a dictionary from unit to packed 32-bit ids."""
 
     def __init__(self, path: str, key: int, alpha: float):
-        self.pieces, self.key = load(path), key
+        self.path, self.pieces, self.key = path, load(path), key
         self.limit = int(alpha * (1 << 32))
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def merge(self, unit: str) -> list[str]:
         """The pieces of a unit (space marks in place), before bytes stand in."""
@@ -97,19 +100,106 @@ class Encoder:
                     out.append(found)
         return np.array(out, dtype="<i4").tobytes()
 
+    def units(self, units: list[str]) -> list[bytes]:
+        """``unit`` of many units at once: short ones have their agendas worked off together."""
+        out: list[bytes] = [b""] * len(units)
+        rest = []
+        for low, high in ((0, 8), (8, 16), (16, BATCH_CHARS)):
+            some = [k for k, u in enumerate(units) if low < len(u) <= high and SPACE not in u]
+            for at in range(0, len(some), BATCH_UNITS):
+                part = some[at : at + BATCH_UNITS]
+                for k, ids in zip(part, self._batch([units[k].replace(" ", SPACE) for k in part])):
+                    if ids is None:
+                        rest.append(k)
+                    else:
+                        out[k] = ids
+        rest += [k for k, u in enumerate(units) if len(u) > BATCH_CHARS or SPACE in u]
+        for k in rest:
+            out[k] = self.unit(units[k])
+        return out
+
+    def _batch(self, units: list[str]) -> list[bytes | None]:
+        """Packed ids, or None for a unit with a character that has no piece.
+
+        A row per unit; the agenda of a row is an array with, for each piece by its
+        start, the rank of merging it with the next one.  Each round takes the
+        lowest (leftmost) candidate of every row.
+        """
+        table, ranks, ids = _table(self.path)
+        n, length = len(units), np.array([len(u) for u in units])
+        spans = SpanHashes(code_matrix(units, length), 0)
+        depth = int(length.max())
+        none = np.iinfo(np.int64).max
+        base = np.array([xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), self.key) for u in units], dtype=np.uint64)
+
+        def rank(rows, start, end):
+            return ranks[table.find(spans.of(rows, start, end))]
+
+        place = np.arange(depth + 2)
+        end = np.where(place[:-1] < length[:, None], place[:-1] + 1, 0)
+        left = np.broadcast_to(place - 1, (n, depth + 2)).copy()
+        agenda = np.full((n, depth + 1), none, dtype=np.int64)
+        row, start = np.nonzero(place[:-1] + 1 < length[:, None])
+        agenda[row, start] = rank(row, start, start + 2)
+        live = np.arange(n)
+        while len(live):
+            some = agenda[live]
+            i = some.argmin(axis=1)
+            go = some[np.arange(len(live)), i] < none
+            live, i = live[go], i[go]
+            j = end[live, i]
+            stop = end[live, j]
+            h = (base[live] + i.astype(np.uint64) * np.uint64(_M1) + (stop - i).astype(np.uint64) * np.uint64(_M2)) * np.uint64(_M1)
+            skip = ((h ^ (h >> np.uint64(29))) & np.uint64(0xFFFFFFFF)) < np.uint64(self.limit)
+            agenda[live, i] = none
+            rows, i, j, stop = live[~skip], i[~skip], j[~skip], stop[~skip]
+            end[rows, i], end[rows, j], agenda[rows, j] = stop, 0, none
+            left[rows, stop] = i
+            more = stop < length[rows]
+            r, a = rows[more], i[more]
+            agenda[r, a] = rank(r, a, end[r, stop[more]])
+            before = left[rows, i]
+            more = before >= 0
+            r, a = rows[more], before[more]
+            agenda[r, a] = rank(r, a, stop[more])
+        row, start = np.nonzero(end)
+        found = table.find(spans.of(row, start, end[row, start]))
+        whole = np.bincount(row, weights=found < 0, minlength=n) == 0
+        packed = ids[found].astype("<i4").tobytes()
+        stops = 4 * np.cumsum(np.bincount(row, minlength=n))
+        return [packed[b - 4 * c : b] if ok else None for b, c, ok in zip(stops.tolist(), np.bincount(row, minlength=n).tolist(), whole.tolist())]
+
+    def learn(self, units: set[str]) -> None:
+        """Make the units known.  What was not asked for in a generation is forgotten after it."""
+        if len(self.known) + len(units) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        new = []
+        for u in units:
+            if u not in self.known:
+                ids = self.before.get(u)
+                if ids is None:
+                    new.append(u)
+                else:
+                    self.known[u] = ids
+        self.known.update(zip(new, self.units(new)))
+
     def encode(self, text: str) -> bytes:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        parts = []
-        for u in _UNIT.findall(text):
-            ids = known.get(u)
-            if ids is None:
-                ids = self.unit(u)
-                if len(u) <= REMEMBERED_CHARS:
-                    known[u] = ids
-            parts.append(ids)
-        return b"".join(parts)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        units = [_UNIT.findall(t) for t in texts]
+        self.learn(set().union(*units))
+        get = self.known.__getitem__
+        return [b"".join(map(get, u)) for u in units]
+
+
+@lru_cache(maxsize=2)
+def _table(path: str):
+    """(hash table of the pieces, their merge ranks, their ids); at -1: no merge, no id."""
+    pieces = load(path)
+    order = list(pieces.ids)
+    ranks = np.array([*(pieces.ranks[p] for p in order), np.iinfo(np.int64).max], dtype=np.int64)
+    return PieceTable(order), ranks, np.array([*(pieces.ids[p] for p in order), -1], dtype=np.int64)
 
 
 def stream_key(seed: int, label: str) -> int:
@@ -126,6 +216,17 @@ def stream_of(doc_id, seed: int, streams: int) -> int:
     return stream_key(seed, f"document {doc_id}") % streams
 
 
+def _packed(encoders: list[Encoder], ids: list, texts: list[str], seed: int) -> list[tuple[int, bytes]]:
+    """(stream, packed ids) of each text; the texts of one stream are encoded together."""
+    streams = [stream_of(i, seed, len(encoders)) for i in ids]
+    out: list[tuple[int, bytes]] = [(0, b"")] * len(texts)
+    for s, encoder in enumerate(encoders):
+        own = [k for k, x in enumerate(streams) if x == s]
+        for k, packed in zip(own, encoder.encode_all([texts[k] for k in own])):
+            out[k] = (s, packed)
+    return out
+
+
 def decode_ids(ids: np.ndarray, path: str = MODEL) -> str:
     raw = load(path).raw
     return b"".join([raw[k] for k in ids.tolist()]).decode("utf-8", "surrogatepass")
@@ -143,8 +244,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         encoders = _encoders(path, seed, alpha, streams)
 
         def run(batch):
-            ids = batch.column(0).to_pylist()
-            packed = [None if t is None else np.frombuffer(encoders[stream_of(i, seed, streams)].encode(t), "<i4") for i, t in zip(ids, batch.column(1).to_pylist())]
+            texts = batch.column(1).to_pylist()
+            found = _packed(encoders, batch.column(0).to_pylist(), [t or "" for t in texts], seed)
+            packed = [None if t is None else np.frombuffer(p, "<i4") for t, (_, p) in zip(texts, found)]
             return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(packed, pa.list_(pa.int32()))], names=["doc_id", *keep, "pieces"])
 
         return run
@@ -181,12 +283,11 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def run(batch):
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = stream_of(i, seed, streams)
-                packed = encoders[s].encode(text or "")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for text, (s, packed) in zip(texts, _packed(encoders, batch.column(0).to_pylist(), texts, seed)):
                 ids = np.frombuffer(packed, "<i4")
                 back = decode_ids(ids, path)
-                rows.append((s, len(ids), int(np.isin(ids, byte_ids).sum()), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (text or "")))
+                rows.append((s, len(ids), int(np.isin(ids, byte_ids).sum()), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
             names = ("stream", "n_pieces", "n_byte_pieces", "pieces_sha256", "decoded_sha256", "lossless")
             return {"doc_id": batch.column(0), **{n: pa.array([r[k] for r in rows], kinds[k]) for k, n in enumerate(names)}}

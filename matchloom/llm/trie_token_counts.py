@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import map_rows
-from matchloom.llm.pieces import MODEL, SPACE, load
+from matchloom.llm.pieces import MODEL, SPACE, PieceTable, SpanHashes, code_matrix, load
 
 #: Rows of the trie's arrays at a time, and the longest pre-token in them; longer
 #: ones are computed one by one.
@@ -35,7 +35,6 @@ TRIE_DEPTH = 40
 REMEMBERED = 300_000
 #: Pieces of such a rank (runs of spaces) have no place in the merge order.
 UNRANKED = 1 << 24
-_P = np.uint64(0x100000001B3)
 
 
 class Unigram:
@@ -48,36 +47,12 @@ class Unigram:
         self.scores = {p: -float(np.log(r + 1)) - log_h for p, r in ranked.items()}
         self.byte_score = min(self.scores.values()) - 1.0
         self.longest = max(map(len, self.scores))
-        keys = np.array([self.hash_of(p) for p in self.scores], dtype=np.uint64)
-        if len(np.unique(keys)) != len(keys):
-            raise ValueError("pieces with equal hashes")
-        bits = 20
-        self.shift = np.uint64(64 - bits)
-        order = np.argsort(keys >> self.shift, kind="stable")
-        self.keys, self.values = keys[order], np.array(list(self.scores.values()))[order]
-        slots = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
-        self.slots, self.depth = slots.astype(np.int32), int(np.diff(slots).max())
-
-    @staticmethod
-    def hash_of(piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = (h * int(_P) + ord(c) + 1) & (2**64 - 1)
-        return h * 0x9E3779B97F4A7C15 & (2**64 - 1)
+        self.table = PieceTable(list(self.scores))
+        self.values = np.append(np.array(list(self.scores.values())), -np.inf)
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """Scores of mixed hashes; minus infinity where there is no such piece."""
-        out = np.full(len(hashes), -np.inf)
-        slot = (hashes >> self.shift).astype(np.int64)
-        at, end = self.slots[slot], self.slots[slot + 1]
-        for k in range(self.depth):
-            live = np.flatnonzero(at + k < end)
-            if not len(live):
-                break
-            place = at[live] + k
-            same = self.keys[place] == hashes[live]
-            out[live[same]] = self.values[place[same]]
-        return out
+        """Scores of span hashes; minus infinity where there is no such piece."""
+        return self.values[self.table.find(hashes)]
 
 
 @lru_cache(maxsize=2)
@@ -123,16 +98,10 @@ def _sorted_trie(words: list[str], model: Unigram) -> np.ndarray:
     n = len(words)
     length = np.array([len(w) for w in words])
     depth = int(length.max())
-    codes = np.zeros((n, depth), dtype=np.uint32)
-    codes[np.arange(depth) < length[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    codes = code_matrix(words, length)
     differs = np.ones((n, depth), dtype=bool)
     differs[1:] = np.logical_or.accumulate(codes[1:] != codes[:-1], axis=1)
-    prefix = np.zeros((n, depth + 1), dtype=np.uint64)
-    power = np.ones(model.longest + 1, dtype=np.uint64)
-    for d in range(depth):
-        prefix[:, d + 1] = prefix[:, d] * _P + codes[:, d].astype(np.uint64) + np.uint64(1)
-    for k in range(model.longest):
-        power[k + 1 : k + 2] = power[k : k + 1] * _P
+    spans = SpanHashes(codes, model.longest)
     score, tokens = np.zeros((n, depth + 1)), np.zeros((n, depth + 1), dtype=np.int32)
     rows = np.arange(n)
     for d in range(1, depth + 1):
@@ -143,7 +112,7 @@ def _sorted_trie(words: list[str], model: Unigram) -> np.ndarray:
         size = _bytes_of(codes[node, d - 1].astype(np.int64))
         best, count = np.full(len(node), -np.inf), np.zeros(len(node), dtype=np.int32)
         for k in range(1, min(d, model.longest) + 1):
-            s = model.lookup((prefix[node, d] - prefix[node, d - k] * power[k]) * np.uint64(0x9E3779B97F4A7C15))
+            s = model.lookup(spans.of(node, d - k, d))
             t = np.ones(len(node), dtype=np.int32)
             if k == 1:
                 none = np.isneginf(s)

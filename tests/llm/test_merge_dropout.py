@@ -52,6 +52,16 @@ def test_agenda_equals_full_search(alpha):
         assert e.merge(unit) == slow_merge(unit, e)
 
 
+@pytest.mark.parametrize("alpha", [0.0, 0.2, 0.7])
+def test_batches_equal_single_agendas(alpha, spark):
+    rng, e = random.Random(5), encoder(alpha)
+    units = {" " * rng.randrange(3) + "".join(rng.choice("theioanrsé日xK" + SPACE * (rng.random() < 0.05) + "\u0001" * (rng.random() < 0.05)) for _ in range(rng.randrange(1, 40))) for _ in range(2000)}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        units |= set(M._UNIT.findall(r.text))
+    units = sorted(units)
+    assert e.units(units) == [e.unit(u) for u in units]
+
+
 def test_round_trip_of_odd_texts():
     rng = random.Random(8)
     parts = ["the", " ", "  ", "\n", "\t", SPACE, "é", "日本", "😀", "\u0000", " ", "a" * 70, "word", "<0x0A>", "<s>", "\r\n"]
