@@ -27,17 +27,20 @@ def line_groups(boxes: DataFrame, tolerance: int = 15) -> DataFrame:
     """Adds ``line``: words by top and left join a line while they are near the top of its
     first word.  The anchor depends on the line so far, so a page is one pass."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top", "left"], kind="stable")
-        lines, anchor, line = [], None, -1
-        for top in pdf["top"].tolist():
-            if anchor is None or abs(top - anchor) > tolerance:
-                anchor, line = top, line + 1
-            lines.append(line)
-        return pdf.assign(line=lines)
+    def run(batches):
+        key, anchor, line = None, 0, 0
+        for pdf in batches:
+            lines = []
+            for doc, page, top in zip(pdf["doc"].tolist(), pdf["page"].tolist(), pdf["top"].tolist()):
+                if key != (doc, page):
+                    key, anchor, line = (doc, page), top, 0
+                elif abs(top - anchor) > tolerance:
+                    anchor, line = top, line + 1
+                lines.append(line)
+            yield pdf.assign(line=lines)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in boxes.dtypes) + ", line int"
-    return boxes.groupBy("doc", "page").applyInPandas(run, schema)
+    return boxes.repartition("doc", "page").sortWithinPartitions("doc", "page", "top", "left").mapInPandas(run, schema)
 
 
 def split_cells(boxes: DataFrame, gap: int = 22) -> DataFrame:
@@ -94,7 +97,7 @@ def headerless_layouts(rows: DataFrame, units: Sequence[str] = L.UNITS, excluded
     left = lambda k: F.when(F.col("code_col") >= k, F.col("code_col") - k)
     lay = votes.select(*TABLE, left(3).alias("pos"), left(2).alias("name"), left(1).alias("article"), F.col("code_col").alias("code"), F.col("unit_col").alias("unit"), (F.col("unit_col") + 1).alias("qty"))
     seen = rows.where(F.col("row_no") < 15).join(lay.select(*TABLE, "pos"), list(TABLE)).groupBy(*TABLE).agg(F.max(X.pos_value(X.cell(F.col("cells"), F.col("pos"))).isNotNull()).alias("_has"))
-    return lay.join(seen, list(TABLE), "left").withColumn("pos", F.when("_has", F.col("pos")).otherwise(F.lit(None))).drop("_has")
+    return lay.join(seen, list(TABLE), "left").withColumn("pos", F.when(F.col("_has"), F.col("pos")).otherwise(F.lit(None))).drop("_has")
 
 
 def table_layouts(rows: DataFrame, patterns: dict[str, Sequence[str]] = L.HEADER_PATTERNS, units: Sequence[str] = L.UNITS) -> DataFrame:
@@ -129,7 +132,7 @@ def row_fields(rows: DataFrame, layouts: DataFrame, skip: Sequence[str] = L.SKIP
     article = X.article_clean(F.col("article_raw"))
     return d.select(
         *TABLE, "row_no", "carried", F.col("at_pos").isNotNull().alias("has_pos"), (F.col("pos_raw") == "-").alias("dash"), X.pos_value(F.col("pos_raw")).alias("pos"), F.col("name_raw").alias("name"), F.col("article_raw").alias("article_cell"),
-        article.alias("article_clean"), X.article_clean(X.standard_ref(F.col("article_raw"))).alias("article"), "code", F.col("unit_raw").alias("unit"), F.col("qty_raw").alias("qty_cell"), X.quantity(F.col("qty_raw")).alias("qty"),
+        article.alias("article_clean"), X.article_clean(X.standard_ref(F.col("article_raw"))).alias("article"), (X.standard_ref(F.col("article_raw")) != "").alias("has_article"), "code", F.col("unit_raw").alias("unit"), F.col("qty_raw").alias("qty_cell"), X.quantity(F.col("qty_raw")).alias("qty"),
         F.col("name_raw").rlike(r"^\d+\s*[/)]\s").alias("numbered"), (F.col("name_raw").rlike(r"^\d+\.\s*\S") & (article == "") & (F.col("code") == "")).alias("section"),
         F.lower(F.concat("name_raw", F.lit(" "), "article_raw")).rlike(X.any_of(skip)).alias("skip"),
     )
@@ -206,7 +209,7 @@ class _RowPass:
         if r.skip and not heading and not r.code:
             return "skipped"
         name = r.name
-        if self.title and len(name) <= 20 and (r.article or r.code):
+        if self.title and len(name) <= 20 and (r.has_article or r.code):
             name = f"{_cut(self.title)} {name}".strip()
         self._emit(r, kind, pos, heading, f"{pos}  {name}".strip() if panel else name, r.code)
         if panel and r.code:
@@ -220,35 +223,43 @@ def _cut(title: str) -> str:
     return re.sub(_NORM_SUFFIX, "", title).strip()
 
 
-def _passes(pdf: pd.DataFrame, unit: str) -> tuple[_RowPass, list[str]]:
-    rows = pdf.sort_values("row_no", kind="stable").astype(object).where(pdf.notna(), None)
-    p = _RowPass(unit)
-    return p, [p.row(r) for r in rows.itertuples(index=False)]
+def _walked(fields: DataFrame, schema: str, unit: str, classes: bool) -> DataFrame:
+    """One pass over each table in row order.  Partitions hold whole tables, sorted, and stream
+    through, so a task has one table's items at a time and no per-group overhead."""
 
+    def run(batches):
+        key, table, out = None, None, []
 
-def row_classes(fields: DataFrame, unit: str = L.CATALOG_UNIT) -> DataFrame:
-    """(table, row_no, kind) of every data row; one pass a table, in row order."""
+        def flush():
+            if table is not None and not classes:
+                out.extend((*key, x["row_no"], k, x["kind"], x["pos"], x["name_raw"], x["article_raw"], x["kaznisa_code_raw"], x["unit"], float(x["qty"]), x["is_heading"], carried) for k, x in enumerate(table.items))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_no", kind="stable")
-        return pdf[[*TABLE, "row_no"]].assign(kind=_passes(pdf, unit)[1])
+        carried = False
+        for pdf in batches:
+            for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
+                if key != (r.doc_id, r.page, r.table_no):
+                    flush()
+                    key, table, carried = (r.doc_id, r.page, r.table_no), _RowPass(unit), bool(r.carried)
+                kind = table.row(r)
+                if classes:
+                    out.append((*key, r.row_no, kind))
+            yield pd.DataFrame(out, columns=names)
+            out.clear()
+        flush()
+        yield pd.DataFrame(out, columns=names)
 
-    return fields.groupBy(*TABLE).applyInPandas(run, "doc_id long, page long, table_no long, row_no long, kind string")
+    names = [c.split()[0] for c in schema.split(", ")]
+    return fields.repartition(*TABLE).sortWithinPartitions(*TABLE, "row_no").mapInPandas(run, schema)
 
 
-def table_items(fields: DataFrame, unit: str = L.CATALOG_UNIT) -> DataFrame:
-    """Items of every table after the row pass, continuation rows merged, before renumbering."""
+def row_classes(fields: DataFrame, unit: str = L.CATALOG_UNIT) -> DataFrame:
+    """(table, row_no, kind) of every data row."""
+    return _walked(fields, "doc_id long, page long, table_no long, row_no long, kind string", unit, True)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = _passes(pdf, unit)[0].items
-        first = pdf.iloc[0]
-        out = pd.DataFrame(items, columns=["row_no", "kind", "pos", "name_raw", "article_raw", "kaznisa_code_raw", "unit", "qty", "is_heading"])
-        out.insert(0, "seq", range(len(out)))
-        for c in reversed(TABLE):
-            out.insert(0, c, first[c])
-        return out.assign(carried=bool(first["carried"]))[["doc_id", "page", "table_no", "row_no", "seq", "kind", "pos", "name_raw", "article_raw", "kaznisa_code_raw", "unit", "qty", "is_heading", "carried"]]
 
-    return fields.groupBy(*TABLE).applyInPandas(run, ITEM_SCHEMA)
+def table_items(fields: DataFrame, unit: str = L.CATALOG_UNIT) -> DataFrame:
+    """Items of every table after the row pass, continuation rows merged, before renumbering."""
+    return _walked(fields, ITEM_SCHEMA, unit, False)
 
 
 def quality_gate(items: DataFrame, huge: float = 99_999, most_huge: float = 0.3, most_empty: float = 0.8) -> DataFrame:
@@ -278,7 +289,7 @@ def carried_sections(fields: DataFrame) -> DataFrame:
     title = F.when((F.length("name") > 8) & (F.col("article_cell") == "") & (F.col("code") == "") & (F.col("qty_cell") == "") & F.col("pos").isNull() & ~F.col("dash") & ~F.col("numbered") & ~F.col("section"), F.col("name"))
     w = Window.partitionBy(*TABLE).orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
     cut = X.strip(F.regexp_replace(F.last(title, ignorenulls=True).over(w), _NORM_SUFFIX.replace("(?i)", "(?iuU)"), ""))
-    short = (F.length("name") <= 20) & ((F.col("article") != "") | (F.col("code") != "")) & (F.coalesce(cut, F.lit("")) != "")
+    short = (F.length("name") <= 20) & (F.col("has_article") | (F.col("code") != "")) & (F.coalesce(cut, F.lit("")) != "")
     return fields.withColumn("full_name", F.when(short, F.concat(cut, F.lit(" "), "name")).otherwise(F.col("name")))
 
 

@@ -38,7 +38,7 @@ def doc_page_select(t):
     return G.selected_pages(t("v_pages"), WORDS).select("doc_id", "page", "is_spec")
 
 
-@query("doc_title_pages", "SELECT doc_id, page FROM (SELECT *, bool_or(NOT is_spec) OVER (PARTITION BY doc_id) AS some, row_number() OVER (PARTITION BY doc_id ORDER BY is_spec, page) AS r, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS p FROM {v_spec_pages} WHERE page < 10) WHERE (any_spec AND NOT is_spec AND r <= 5) OR (NOT any_spec AND p <= 5)")
+@query("doc_title_pages", "SELECT doc_id, page FROM (SELECT *, bool_or(NOT is_spec) OVER (PARTITION BY doc_id) AS any_spec, row_number() OVER (PARTITION BY doc_id ORDER BY is_spec, page) AS r, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS p FROM {v_spec_pages} WHERE page < 10) WHERE (any_spec AND NOT is_spec AND r <= 5) OR (NOT any_spec AND p <= 5)")
 def doc_title_pages(t):
     return G.title_pages(t("v_pages"), WORDS).select("doc_id", "page")
 
@@ -51,9 +51,9 @@ def doc_title_score(t):
     return rows.select("doc_id", "page", "line", F.round(G.title_score(C("title"), TITLE_WORDS), 9).alias("score"))
 
 
-@query("top_project_title", f"SELECT doc_id, title, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page, line) AS r FROM (SELECT *, {_SCORE} AS score FROM ({_LINES}) WHERE length(title) BETWEEN 10 AND 300)) WHERE r = 1 AND score >= 0.25")
+@query("top_project_title", f"SELECT doc_id, title, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page, line) AS r FROM (SELECT *, {_SCORE} AS score FROM ({_LINES}) WHERE length(title) BETWEEN 10 AND 300)) WHERE r = 1 AND score >= 0.1")
 def top_project_title(t):
-    return G.project_titles(t("v_pages"), TITLE_WORDS).select("doc_id", "title", F.round("score", 9).alias("score"))
+    return G.project_titles(t("v_pages"), TITLE_WORDS, 0.1).select("doc_id", "title", F.round("score", 9).alias("score"))
 
 
 @query("doc_title_fallback", "SELECT id, coalesce(full_name, trim(regexp_replace(concat(filename, '.x.pdf'), '\\.[^.]*$', ''))) AS title FROM {v_uploads}")
@@ -81,7 +81,7 @@ def _find(key: str) -> str:
 
 
 DUCK["v_heads"] = f"""
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, table_no ORDER BY row_no) AS r FROM (SELECT doc_id, page, table_no, row_no AS header_row, {', '.join(f'{_find(k)} AS {k}' for k in B.KEYS)} FROM {{v_table_cells}} WHERE row_no < 6)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, table_no ORDER BY header_row) AS r FROM (SELECT doc_id, page, table_no, row_no AS header_row, {', '.join(f'{_find(k)} AS {k}' for k in B.KEYS)} FROM {{v_table_cells}} WHERE row_no < 6)
   WHERE pos >= 0 AND article >= 0 AND qty >= 0) WHERE r = 1
 """
 
@@ -185,9 +185,9 @@ def win_auto_pos(t):
 
 
 @query("win_section_carry", f"""
-WITH f AS (SELECT doc_id, page, table_no, row_no, cells[2] AS name, {S.pos('cells[1]')} AS pos, cells[1] = '-' AS dash, {S.article_clean('cells[3]')} AS art, cells[3] AS raw, {S.code('cells[4]', 'cells[5]')} AS code, cells[6] AS q FROM {_ONLY}),
+WITH f AS (SELECT doc_id, page, table_no, row_no, cells[2] AS name, {S.pos('cells[1]')} AS pos, cells[1] = '-' AS dash, cells[3] AS raw, {S.code('cells[4]', 'cells[5]')} AS code, cells[6] AS q FROM {_ONLY}),
 g AS (SELECT *, last_value(CASE WHEN length(name) > 8 AND raw = '' AND code = '' AND q = '' AND pos IS NULL AND NOT dash AND NOT regexp_matches(name, '^[0-9]+\\s*[/)]\\s') AND NOT regexp_matches(name, '^[0-9]+\\.\\s*\\S') THEN name END IGNORE NULLS) OVER (PARTITION BY doc_id, page, table_no ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS title FROM f)
-SELECT doc_id, page, table_no, row_no, CASE WHEN length(name) <= 20 AND ((CASE WHEN regexp_matches(lower(raw), '^гост') THEN '' ELSE art END) <> '' OR code <> '') AND title IS NOT NULL THEN concat(title, ' ', name) ELSE name END AS full_name FROM g
+SELECT doc_id, page, table_no, row_no, CASE WHEN length(name) <= 20 AND ((raw <> '' AND NOT regexp_matches(lower(raw), '^гост')) OR code <> '') AND title IS NOT NULL THEN concat(title, ' ', name) ELSE name END AS full_name FROM g
 """)
 def win_section_carry(t):
     return B.carried_sections(_plain(t)).select("doc_id", "page", "table_no", "row_no", "full_name")
