@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,54 +223,84 @@ def _article_similar(rest: DataFrame, products: DataFrame, seen: DataFrame) -> D
     return first.unionByName(second).unionByName(third)
 
 
-def cascade(items: DataFrame, catalog: DataFrame, segments: Sequence[str] = L.SEGMENTS, similar: bool = True, nocyr: bool = False) -> DataFrame:
-    """Ranked candidates of every line that has any; the first stage with a hit ends the search."""
-    rest, products = prepared(items), keyed(active(catalog, segments))
-    out = []
-    for stage in (article_exact, article_debrand, code_exact):
-        hit = stage(rest, products)
-        out.append(hit)
-        rest = rest.join(hit, "item_id", "left_anti")
+def with_equal(items: DataFrame, catalog: DataFrame, segments: Sequence[str] = L.SEGMENTS) -> tuple[DataFrame, DataFrame]:
+    """(query lines with what equality finds, keyed products).
+
+    One pass: each key has an index of its products' smallest id, and the line is joined
+    once with each; ``product_id``, ``score``, ``method`` are of the first equality stage
+    that hits (article, article without brand, code), ``name_product_id`` of the name.
+    """
+    products = keyed(active(catalog, segments))
+
+    def index(key: str, name: str, out: str) -> DataFrame:
+        return products.where(F.col(key) != "").groupBy(F.col(key).alias(name)).agg(F.min("id").alias(out))
+
+    q = prepared(items)
+    code = F.when(X.valid_code(F.col("q_code")) & ((F.col("q") != "") | (F.col("q_name") != "")), F.col("q_code"))
+    q = q.withColumns({"k_code": code, "k_name": F.when(F.length("q_name") >= L.NAME_MIN_LENGTH, F.col("q_name"))})
+    for key, name, out in (("norm_art", "q", "_a"), ("norm_art", "q_brandless", "_b"), ("norm_code", "k_code", "_c"), ("norm_name", "k_name", "name_product_id")):
+        q = q.join(index(key, name, out), name, "left")
+    hit = F.coalesce("_a", "_b", "_c")
+    method = F.when(F.coalesce("_a", "_b").isNotNull(), "exact").when(F.col("_c").isNotNull(), "code_exact")
+    return q.withColumns({"product_id": hit, "score": F.when(hit.isNotNull(), float(L.EXACT_SCORE)), "method": method}).drop("_a", "_b", "_c", "k_code", "k_name"), products
+
+
+_CANDIDATE_COLUMNS = ("item_id", "product_id", "score", "method")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """Candidates of equal names."""
+    return rows.where("name_product_id is not null").select("item_id", F.col("name_product_id").alias("product_id"), F.lit(float(L.NAME_EXACT_SCORE)).alias("score"), F.lit("name_exact").alias("method"))
+
+
+def equality_candidates(items: DataFrame, catalog: DataFrame, segments: Sequence[str] = L.SEGMENTS) -> DataFrame:
+    """Candidates of the equality stages alone: the first that hits."""
+    rows, _ = with_equal(items, catalog, segments)
+    rows = rows.withColumns({
+        "method": F.coalesce("method", F.when(F.col("name_product_id").isNotNull(), "name_exact")),
+        "score": F.coalesce("score", F.when(F.col("name_product_id").isNotNull(), float(L.NAME_EXACT_SCORE))),
+        "product_id": F.coalesce("product_id", "name_product_id"),
+    })
+    return rows.where("product_id is not null").select(*_CANDIDATE_COLUMNS)
+
+
+def cascade(items: DataFrame, catalog: DataFrame, segments: Sequence[str] = L.SEGMENTS, similar: bool = True, nocyr: bool = False, names: bool = True) -> DataFrame:
+    """Ranked candidates of every line that has any; the first stage with a hit ends the search.
+
+    The lines that equality leaves over, and later those without any article hit, are
+    kept on disk between stages, so that no stage repeats the ones before it.
+    ``similar`` and ``names`` switch the similarity and the inexact name stages.
+    """
+    rows, products = with_equal(items, catalog, segments)
+    rows, products = rows.persist(StorageLevel.DISK_ONLY), products.persist(StorageLevel.DISK_ONLY)
+    every = rows.where("method is not null").select(*_CANDIDATE_COLUMNS)
+    rest = rows.where("method is null").drop("product_id", "score", "method")
     found, seen = contains_stage(rest, products, ("q", "q_brandless"), "norm_art", L.CONTAINS_SCORE, "contains")
-    out.append(found)
     if similar:
-        out.append(_article_similar(rest, products, seen.join(found, ["item_id", "product_id"], "left_semi")))
-        found = found.unionByName(out[-1])
+        found = found.unionByName(_article_similar(rest, products, seen.join(found, ["item_id", "product_id"], "left_semi")))
+    found = found.persist(StorageLevel.DISK_ONLY)
+    every = every.unionByName(found)
     rest = rest.join(found, "item_id", "left_anti")
     if nocyr:
         hit = nocyr_exact(rest, products)
-        out.append(hit)
-        rest = rest.join(hit, "item_id", "left_anti")
-        found = nocyr_contains(rest, products)
+        more = rest.join(hit, "item_id", "left_anti")
+        found = nocyr_contains(more, products)
         if similar:
-            found = found.unionByName(_without(nocyr_fuzzy(rest, products), found.select("item_id", "product_id")))
-        out.append(found)
+            found = found.unionByName(_without(nocyr_fuzzy(more, products), found.select("item_id", "product_id")))
+        found = hit.unionByName(found).persist(StorageLevel.DISK_ONLY)
+        every = every.unionByName(found)
         rest = rest.join(found, "item_id", "left_anti")
-    hit = name_exact(rest, products)
-    out.append(hit)
-    rest = rest.join(hit, "item_id", "left_anti")
-    found, seen = name_contains(rest, products)
-    out.append(found)
-    if similar:
-        fuzzy = _without(name_fuzzy(rest, products), seen)
-        out += [fuzzy, _without(name_partial(rest, products), seen.unionByName(fuzzy.select("item_id", "product_id")))]
-    every = out[0]
-    for more in out[1:]:
-        every = every.unionByName(more)
+    every = every.unionByName(_named(rest))
+    if names:
+        rest = rest.where("name_product_id is null").persist(StorageLevel.DISK_ONLY)
+        found, seen = name_contains(rest, products)
+        every = every.unionByName(found)
+        if similar:
+            fuzzy = _without(name_fuzzy(rest, products), seen)
+            every = every.unionByName(fuzzy).unionByName(_without(name_partial(rest, products), seen.unionByName(fuzzy.select("item_id", "product_id"))))
     return ranked(every)
 
 
-def equality_candidates(items: DataFrame, catalog: DataFrame, segments: Sequence[str] = L.SEGMENTS) -> DataFrame:
-    """Candidates of the equality stages alone: one index of keys, one join each."""
-    rest, products = prepared(items), keyed(active(catalog, segments))
-    out = None
-    for stage in (article_exact, article_debrand, code_exact, name_exact):
-        hit = stage(rest, products)
-        out = hit if out is None else out.unionByName(hit)
-        rest = rest.join(hit, "item_id", "left_anti")
-    return out
-
-
 def segment_filter(candidates: DataFrame, catalog: DataFrame, segments: Sequence[str]) -> DataFrame:
     """Candidates whose product is in a requested segment (a missing one counts as default)."""
     asked = catalog.where(F.coalesce("segment", F.lit(L.DEFAULT_SEGMENT)).isin(*segments)).select(F.col("id").alias("product_id"))

@@ -102,8 +102,8 @@ def mat_name_exact(t):
 
 def _few(t):
     """Lines that no equality stage finds, and their products."""
-    items, products = _ready(t)
-    return items.join(M.equality_candidates(t("v_spec_items"), t("v_catalog")), "item_id", "left_anti"), products
+    rows, products = M.with_equal(t("v_spec_items"), t("v_catalog"))
+    return rows.where("method is null and name_product_id is null").drop("product_id", "score", "method"), products
 
 
 def _summed(found):
@@ -154,13 +154,9 @@ WHERE rank <= CASE WHEN score >= 100 THEN 1 ELSE 5 END
 
 def _cascade(t):
     """Equality and containment stages of articles, then equal names."""
-    rest, products = _ready(t)
-    out = None
-    for stage in (M.article_exact, M.article_debrand, M.code_exact, M.article_contains, M.name_exact):
-        hit = stage(rest, products)
-        out = hit if out is None else out.unionByName(hit)
-        rest = rest.join(hit, "item_id", "left_anti")
-    return M.ranked(out)
+    if "v_cascade" not in t._held:
+        t._held["v_cascade"] = M.cascade(t("v_spec_items"), t("v_catalog"), similar=False, names=False)
+    return t._held["v_cascade"]
 
 
 @query("mat_cascade", "SELECT item_id, product_id, score, method, rank::INT AS rank FROM {v_cascade}")
