@@ -216,10 +216,22 @@ def _without(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     return candidates.join(seen, ["item_id", "product_id"], "left_anti")
 
 
-def _article_similar(rest: DataFrame, products: DataFrame, seen: DataFrame) -> DataFrame:
-    first = _without(article_fuzzy(rest, products), seen)
-    second = _without(article_fuzzy(rest, products, "q_brandless"), seen.unionByName(first.select("item_id", "product_id")))
-    third = _without(name_from_article(rest, products), seen.unionByName(first.select("item_id", "product_id")).unionByName(second.select("item_id", "product_id")))
+def _kept(df: DataFrame) -> DataFrame:
+    """Kept on disk, so that later stages read it instead of planning and running it again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def _pairs(*candidates: DataFrame) -> DataFrame:
+    out = candidates[0].select("item_id", "product_id")
+    for more in candidates[1:]:
+        out = out.unionByName(more.select("item_id", "product_id"))
+    return out
+
+
+def _article_similar(rest: DataFrame, products: DataFrame, contained: DataFrame) -> DataFrame:
+    first = _kept(_without(article_fuzzy(rest, products), contained))
+    second = _kept(_without(article_fuzzy(rest, products, "q_brandless"), _pairs(contained, first)))
+    third = _kept(_without(name_from_article(rest, products), _pairs(contained, first, second)))
     return first.unionByName(second).unionByName(third)
 
 
@@ -272,32 +284,32 @@ def cascade(items: DataFrame, catalog: DataFrame, segments: Sequence[str] = L.SE
     ``similar`` and ``names`` switch the similarity and the inexact name stages.
     """
     rows, products = with_equal(items, catalog, segments)
-    rows, products = rows.persist(StorageLevel.DISK_ONLY), products.persist(StorageLevel.DISK_ONLY)
+    rows, products = _kept(rows), _kept(products)
     every = rows.where("method is not null").select(*_CANDIDATE_COLUMNS)
-    rest = rows.where("method is null").drop("product_id", "score", "method")
-    found, seen = contains_stage(rest, products, ("q", "q_brandless"), "norm_art", L.CONTAINS_SCORE, "contains")
+    rest = _kept(rows.where("method is null").drop("product_id", "score", "method"))
+    found = _kept(contains_stage(rest, products, ("q", "q_brandless"), "norm_art", L.CONTAINS_SCORE, "contains")[0])
     if similar:
-        found = found.unionByName(_article_similar(rest, products, seen.join(found, ["item_id", "product_id"], "left_semi")))
-    found = found.persist(StorageLevel.DISK_ONLY)
+        found = _kept(found.unionByName(_article_similar(rest, products, _pairs(found))))
     every = every.unionByName(found)
-    rest = rest.join(found, "item_id", "left_anti")
+    rest = _kept(rest.join(found, "item_id", "left_anti"))
     if nocyr:
-        hit = nocyr_exact(rest, products)
-        more = rest.join(hit, "item_id", "left_anti")
-        found = nocyr_contains(more, products)
+        hit = _kept(nocyr_exact(rest, products))
+        more = _kept(rest.join(hit, "item_id", "left_anti"))
+        found = _kept(nocyr_contains(more, products))
         if similar:
-            found = found.unionByName(_without(nocyr_fuzzy(more, products), found.select("item_id", "product_id")))
-        found = hit.unionByName(found).persist(StorageLevel.DISK_ONLY)
+            found = found.unionByName(_without(nocyr_fuzzy(more, products), _pairs(found)))
+        found = _kept(hit.unionByName(found))
         every = every.unionByName(found)
-        rest = rest.join(found, "item_id", "left_anti")
+        rest = _kept(rest.join(found, "item_id", "left_anti"))
     every = every.unionByName(_named(rest))
     if names:
-        rest = rest.where("name_product_id is null").persist(StorageLevel.DISK_ONLY)
+        rest = _kept(rest.where("name_product_id is null"))
         found, seen = name_contains(rest, products)
+        seen = _kept(seen)
         every = every.unionByName(found)
         if similar:
-            fuzzy = _without(name_fuzzy(rest, products), seen)
-            every = every.unionByName(fuzzy).unionByName(_without(name_partial(rest, products), seen.unionByName(fuzzy.select("item_id", "product_id"))))
+            fuzzy = _kept(_without(name_fuzzy(rest, products), seen))
+            every = every.unionByName(fuzzy).unionByName(_without(name_partial(rest, products), _pairs(seen, fuzzy)))
     return ranked(every)
 
 

@@ -164,12 +164,6 @@ def mat_cascade(t):
     return _cascade(t)
 
 
-@query("mat_cascade_similar")
-def mat_cascade_similar(t):
-    """The whole cascade with its similarity stages."""
-    return M.cascade(t("v_spec_items"), t("v_catalog"))
-
-
 @query("mat_rank", "SELECT item_id, string_agg(product_id::VARCHAR, ',' ORDER BY rank) AS products, count(*) AS n FROM {v_cascade} GROUP BY item_id")
 def mat_rank(t):
     return _cascade(t).groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "product_id"))), lambda x: x["product_id"].cast("string")), ",").alias("products"), F.count("*").alias("n"))
