@@ -67,3 +67,17 @@ def test_edges(spark):
     assert sum(r.score is None for r in got) == 2 and len(got) == 5
     none = M.fit_tables(docs.limit(0), labels.limit(0))
     assert M.ce_difference(docs, none).count() == 5 and M.ce_difference(docs.limit(0), none).count() == 0
+
+
+def test_rare_words_and_all_good_documents_count(spark):
+    """Over 2,046 words, each with losses of its own, by models of whole tables."""
+    docs = [(i, f"common w{i} x{i % 7} w{i % 50} common") for i in range(5000)]
+    good = {i for i, _ in docs if i % 3 == 0}
+    frame, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i in good), 0) for i, _ in docs], "doc_id long, quality int, toxic int")
+    want = plain(docs, good, 10**6, 50.0)
+    tables = M.fit_tables(frame, labels)
+    assert (tables.n_words, tables.background, tables.target) == (5000 + 7 + 1, 25_000, 5 * len(good))
+    got = {r.doc_id: r for r in M.ce_difference(frame, tables).collect()}
+    for i, (n, target, background) in want.items():
+        assert got[i].n_tokens == n and abs(got[i].loss_target - target) < 1e-9 and abs(got[i].loss_background - background) < 1e-9
+    assert got[3000].score < got[3350].score  # they differ in rare words only
