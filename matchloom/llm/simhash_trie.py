@@ -19,6 +19,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -262,13 +263,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """The rows of ``docs`` but one of each component: that with the smallest id stays.
 
     All columns stay as they are.  Rows that repeat an id count as copies of one
-    document: one of them stays.  Rows without an id stay.
+    document: one of them stays.  Rows without an id stay.  ``find`` gives the
+    components.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col), "near-duplicates")
+    found = materialize(find(docs, id_col, text_col).select("doc_id", "component_id"), "near-duplicates")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
