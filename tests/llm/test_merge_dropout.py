@@ -8,28 +8,25 @@ from matchloom.llm import merge_dropout as M
 from matchloom.llm.pieces import MODEL, SPACE, load
 
 
-def encoder(alpha=0.0, seed=1):
-    return M.Encoder(MODEL, M.stream_key(seed, "stream 0"), alpha)
+def encoder(alpha=0.0):
+    return M.Encoder(MODEL, alpha)
 
 
-def ids(e, text):
-    return np.frombuffer(e.encode(text), "<i4")
+def ids(e, text, document=1):
+    return np.frombuffer(e.encode(text, document), "<i4")
 
 
-def slow_merge(unit, e):
+def slow_merge(unit, e, key):
     """Highest-ranked pair by full search each time; skipped pairs by the same keyed hash."""
-    import xxhash
-
     spans = [(i, i + 1) for i in range(len(unit))]
     skipped = set()
-    base = xxhash.xxh64_intdigest(unit.encode(), e.key)
     while True:
         pairs = [(r, a[0], b[1]) for a, b in zip(spans, spans[1:]) if (r := e.pieces.ranks.get(unit[a[0] : b[1]])) is not None and (a, b) not in skipped]
         if not pairs:
             return [unit[a:b] for a, b in spans]
         _, i, end = min(pairs)
         k = next(k for k, s in enumerate(spans) if s[0] == i)
-        h = ((base + i * M._M1 + (end - i) * M._M2) & M._MASK) * M._M1 & M._MASK
+        h = (key + i * M._M1 + (end - i) * M._M2) * M._M1 & M._MASK
         if (h ^ (h >> 29)) & 0xFFFFFFFF < e.limit:
             skipped.add((spans[k], spans[k + 1]))
             continue
@@ -49,17 +46,21 @@ def test_agenda_equals_full_search(alpha):
     rng, e = random.Random(3), encoder(alpha)
     for _ in range(400):
         unit = SPACE * rng.randrange(3) + "".join(rng.choice("theioanrsé日x") for _ in range(rng.randrange(1, 14)))
-        assert e.merge(unit) == slow_merge(unit, e)
+        key = rng.randrange(1 << 64)
+        assert e.merge(unit, key) == slow_merge(unit, e, key)
 
 
-@pytest.mark.parametrize("alpha", [0.0, 0.2, 0.7])
-def test_batches_equal_single_agendas(alpha, spark):
-    rng, e = random.Random(5), encoder(alpha)
-    units = {" " * rng.randrange(3) + "".join(rng.choice("theioanrsé日xK" + SPACE * (rng.random() < 0.05) + "\u0001" * (rng.random() < 0.05)) for _ in range(rng.randrange(1, 40))) for _ in range(2000)}
-    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
-        units |= set(M._UNIT.findall(r.text))
-    units = sorted(units)
-    assert e.units(units) == [e.unit(u) for u in units]
+@pytest.mark.parametrize("alpha", [0.0, 0.1, 0.4, 1.0])
+def test_runs_equal_single_agendas(alpha, spark, monkeypatch):
+    """Whole texts by shared runs against every occurrence by itself, with forgetting."""
+    monkeypatch.setattr(M, "REMEMBERED", 3000)
+    monkeypatch.setattr(M, "UNITS_AT_ONCE", 700)
+    rng, e, single = random.Random(5), encoder(alpha), encoder(alpha)
+    texts = ["".join(rng.choice(["th", "ei", "on ", "é", "日", " K", SPACE, "\u0001", "\n", "able", " "]) for _ in range(rng.randrange(1, 60))) for _ in range(200)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80).collect()]
+    documents = [rng.randrange(1 << 64) for _ in texts]
+    want = [b"".join(single.unit(u, M.unit_key(d, k)) for k, u in enumerate(M._UNIT.findall(t))) for t, d in zip(texts, documents)]
+    assert e.encode_all(texts, documents) == want
 
 
 def test_round_trip_of_odd_texts():
@@ -72,12 +73,24 @@ def test_round_trip_of_odd_texts():
             assert M.decode_ids(ids(e, t)) == t
 
 
-def test_seeds_and_streams_vary_and_repeat():
+def test_seeds_and_documents_vary_and_repeat():
     text = "internationalisation of complicated understanding " * 3
-    a, b, c = encoder(0.3, 1), encoder(0.3, 1), encoder(0.3, 2)
-    assert a.encode(text) == b.encode(text) != c.encode(text)
+    one, other, seed = M.document_key(1, 7), M.document_key(1, 8), M.document_key(2, 7)
+    a = encoder(0.3)
+    assert a.encode(text, one) == encoder(0.3).encode(text, one)
+    assert len({a.encode(text, k) for k in (one, other, seed)}) == 3
     assert len(ids(encoder(0.0), text)) <= len(ids(a, text)) <= len(ids(encoder(1.0), text)) == len(text)
-    assert {M.stream_of(i, 42, 4) for i in range(50)} == {0, 1, 2, 3}
+
+
+def test_occurrences_of_one_word_vary_inside_one_text():
+    e, word, n = encoder(0.1), " internationalisation", 4000
+    own = e._some([word] * n, M._unit_keys(np.full(n, 5, np.uint64), np.arange(n)))
+    kinds = {k: own.count(k) for k in set(own)}
+    plain = encoder(0.0).encode(word)
+    assert len(kinds) > 20 and max(kinds, key=kinds.get) == plain
+    run = e.stop.values[0] - e.start.values[0]  # candidates that all have to stay
+    assert abs(kinds[plain] / n - 0.9**run) < 0.04
+    assert all(M.decode_ids(np.frombuffer(k, "<i4")) == word for k in kinds)
 
 
 def test_frames(spark):
