@@ -89,7 +89,7 @@ def test_occurrences_of_one_word_vary_inside_one_text():
     plain = encoder(0.0).encode(word)
     assert len(kinds) > 20 and max(kinds, key=kinds.get) == plain
     run = e.stop.values[0] - e.start.values[0]  # candidates that all have to stay
-    assert abs(kinds[plain] / n - 0.9**run) < 0.04
+    assert kinds[plain] / n > 0.9**run - 0.04  # or more: other ways may lead there, too
     assert all(M.decode_ids(np.frombuffer(k, "<i4")) == word for k in kinds)
 
 
