@@ -6,8 +6,9 @@ Each token of a text has a loss under either model; the mean difference, target
 minus background, scores the text: the lower, the closer to the target.
 
 The vocabulary is every word, and counts are taken over every whole document.  An
-n-gram (a pair of words, a word, a word as the one before) goes by a key of 64 bits
-of hash, whose top bits name its bucket.  Slices of text send their distinct keys
+n-gram (a pair of words, a word, a word as the one before) goes by a key of hashed
+bits, whose top bits name its bucket.  Keys have SPARE_BITS more bits than the text
+has bytes in binary, so at any size less than one n-gram in a million shares its key.  Slices of text send their distinct keys
 with counts to the buckets, which add them up: the model is a written table of a row
 a bucket, of which the driver sees four numbers.  For scoring, texts are dealt over
 chunks by a hash of the row, and a chunk asks the buckets for the counts of its
@@ -32,11 +33,14 @@ SMOOTHING = 50.0
 #: Bytes of text a bucket and a chunk, and how many there are at least.
 BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 256
 CHUNK_BYTES, LEAST_CHUNKS = 8 << 20, 64
+#: Bits of a key beyond those that count the bytes of text.
+SPARE_BITS = 20
 
 #: In place of word hashes: any word outside a limited vocabulary, the start of a text.
 _OTHER, _START = 1, 2
 #: The low bits of a key: a pair of words, a word, a word as the one before.
 _PAIR, _WORD, _BEFORE = 0, 1, 2
+_ZSTD = pa.Codec("zstd", 1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -65,7 +69,8 @@ class Tables:
     """The model: ``counts`` is (bucket, keys, background, target), packed 64-bit arrays by key."""
 
     counts: DataFrame
-    bits: int
+    bits: int  # of a bucket
+    width: int  # of a hash
     n_words: int
     background: int
     target: int
@@ -74,10 +79,10 @@ class Tables:
     words: frozenset[bytes] | None
 
 
-def _keys(first: np.ndarray, second: np.ndarray | np.uint64, kind: int) -> np.ndarray:
+def _keys(first: np.ndarray, second: np.ndarray | np.uint64, kind: int, width: int) -> np.ndarray:
     x = first * _M1 + second * _M2
     x = (x ^ (x >> np.uint64(29))) * _M1
-    return ((x ^ (x >> np.uint64(32))) & ~np.uint64(3)) | np.uint64(kind)
+    return ((x ^ (x >> np.uint64(32))) >> np.uint64(64 - width)) << np.uint64(2) | np.uint64(kind)
 
 
 class Slice:
@@ -87,7 +92,8 @@ class Slice:
     of all texts in a row ``pair``, ``word`` and ``before`` are places in ``keys``.
     """
 
-    def __init__(self, texts: list[str | None], words: frozenset[bytes] | None):
+    def __init__(self, texts: list[str | None], words: frozenset[bytes] | None, width: int):
+        self.width = width
         seen: dict[bytes, int] = {}
         flat: list[int] = []
         add = seen.setdefault
@@ -103,7 +109,7 @@ class Slice:
         last[(np.cumsum(self.length) - self.length)[self.length > 0]] = len(seen)
         distinct, pair = np.unique(last * len(hashes) + now, return_inverse=True)
         a, b = np.divmod(distinct, len(hashes))
-        every = np.concatenate([_keys(hashes[a], hashes[b], _PAIR), _keys(hashes, np.uint64(0), _WORD), _keys(hashes, np.uint64(0), _BEFORE)])
+        every = np.concatenate([_keys(hashes[a], hashes[b], _PAIR, width), _keys(hashes, np.uint64(0), _WORD, width), _keys(hashes, np.uint64(0), _BEFORE, width)])
         self.keys, at = np.unique(every, return_inverse=True)
         self.pair, self.word, self.before = at[pair], at[len(distinct) + now], at[len(distinct) + len(hashes) + last]
 
@@ -115,23 +121,25 @@ class Slice:
 
     def buckets(self, bits: int) -> tuple[np.ndarray, list[slice]]:
         """The buckets that have keys, and where they are."""
-        bucket, start = np.unique(self.keys >> np.uint64(64 - bits), return_index=True)
+        bucket, start = np.unique(self.keys >> np.uint64(self.width + 2 - bits), return_index=True)
         return bucket.astype(np.int32), [slice(a, b) for a, b in zip(start.tolist(), [*start[1:].tolist(), len(self.keys)])]
 
 
 def _packed(values: np.ndarray, parts: list[slice], by_step: bool = False) -> pa.Array:
-    """64-bit values (or their steps, for sorted keys) byte plane by byte plane, which compresses."""
+    """64-bit values (or their steps, for sorted keys), byte plane by byte plane, compressed."""
     out = []
     for p in parts:
         x = values[p]
         if by_step:
             x = np.diff(x, prepend=np.uint64(0))
-        out.append(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+        planes = x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+        out.append(len(x).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True))
     return pa.array(out, pa.binary())
 
 
 def _unpacked(column: pa.ChunkedArray, by_step: bool = False) -> list[np.ndarray]:
-    out = [np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel() for x in column.to_pylist()]
+    planes = [_ZSTD.decompress(x[8:], 8 * int.from_bytes(x[:8], "little"), asbytes=True) for x in column.to_pylist()]
+    out = [np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel() for x in planes]
     return [np.cumsum(x, dtype=np.uint64) for x in out] if by_step else [x.astype(np.int64) for x in out]
 
 
@@ -143,16 +151,21 @@ def fit_tables(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """The model of all documents and of all those labelled good.
 
     ``size`` limits the vocabulary to that many most frequent words, for a caller
-    that wants a small model; other words then count as one.
+    that wants a small model (ties: by word); other words then count as one.  Ids are
+    matched as text.  A null id is in the background only; repeated rows count each
+    time, repeated labels once; null and empty texts have nothing to count; an empty
+    table or no good document gives a model without counts.
     """
     words = None if size is None else frozenset(w.encode() for w in vocabulary_of(docs, size, text_col))
-    bits = (max(LEAST_BUCKETS, -(-_total_bytes(docs, text_col) // BUCKET_BYTES)) - 1).bit_length()
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.lit(True).alias("good")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(good, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    total = _total_bytes(docs, text_col)
+    bits = (max(LEAST_BUCKETS, -(-total // BUCKET_BYTES)) - 1).bit_length()
+    width = min(62, max(total.bit_length() + SPARE_BITS, bits))
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("string").alias("id"), F.lit(True).alias("good")).distinct()
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).join(good, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
 
     def count(batches):
         for part in slices(batches, "text"):
-            s = Slice(part.column(0).to_pylist(), words)
+            s = Slice(part.column(0).to_pylist(), words, width)
             if not len(s.pair):
                 continue
             own = part.column(1).to_numpy(zero_copy_only=False)
@@ -175,21 +188,23 @@ def fit_tables(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     counts = rows.mapInArrow(count, kind).groupBy("bucket").applyInArrow(add_up, f"{kind}, n_words long, n_background long, n_target long")
     counts = materialize(counts, "n-gram-counts")
     n_words, background, target = (x or 0 for x in counts.agg(F.sum("n_words"), F.sum("n_background"), F.sum("n_target")).first())
-    return Tables(counts.select("bucket", "keys", "background", "target"), bits, n_words if words is None else len(words), background, target, smoothing, words)
+    return Tables(counts.select("bucket", "keys", "background", "target"), bits, width, n_words if words is None else len(words), background, target, smoothing, words)
 
 
 def ce_difference(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score): one row per input row.
 
     Losses and score are means per token in nats; a text without tokens (null,
-    empty, blank) has none of them.  Repeated rows score alike.
+    empty, blank) has none of them.  Repeated rows score alike; a null id is kept; a
+    very long text is a chunk's own; an empty table gives no rows; further columns,
+    whatever their names, are left out.
     """
     kind = dict(docs.dtypes)[id_col]
-    bits, words, n_words, smoothing = tables.bits, tables.words, tables.n_words, tables.smoothing
+    bits, width, words, n_words, smoothing = tables.bits, tables.width, tables.words, tables.n_words, tables.smoothing
     totals = {"target": tables.target, "background": tables.background}
 
     def ask(texts: pa.Table) -> pa.Table:
-        s = Slice(texts["text"].to_pylist(), words)
+        s = Slice(texts["text"].to_pylist(), words, width)
         bucket, parts = s.buckets(bits)
         return pa.table({"bucket": pa.array(bucket), "chunk": pa.array(np.full(len(parts), texts["chunk"][0].as_py())), "keys": _packed(s.keys, parts, True)})
 
@@ -205,7 +220,7 @@ def ce_difference(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_
         return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], **{name: _packed(np.where(known, n[name][at], 0), parts) for name in totals}})
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
-        s = Slice(texts["text"].to_pylist(), words)
+        s = Slice(texts["text"].to_pylist(), words, width)
         found = found.sort_by("bucket")
         of = np.repeat(np.arange(len(s.length)), s.length)
         mean = {}
