@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import map_rows, materialize
+from matchloom.llm.common import free_name, map_rows, materialize
 from matchloom.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -72,20 +72,25 @@ def fingerprint(text: str | None, n: int = SHINGLE_WORDS, seed: int = SEED) -> i
     return fingerprint_of_hashes(np.array([xxh(s, seed) for s in shingles(text, n)], dtype=np.uint64))
 
 
+def text_key(text):
+    """Column: a hash of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp): one row per input row; fp is the fingerprint as a signed long.
+    """(id, key, fp): one row per input row; fp is the fingerprint as a signed long.
 
-    A null or empty text has fingerprint zero.
+    A null or empty text has fingerprint zero; ``key`` is ``text_key``.
     """
 
     def make():
         def run(batch):
-            fps = np.array([fingerprint(t, n) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            return {"id": batch.column(0), "fp": pa.array(fps.view(np.int64))}
+            fps = np.array([fingerprint(t, n) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            return {"id": batch.column(0), "key": batch.column(1), "fp": pa.array(fps.view(np.int64))}
 
         return run
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "id long, fp long")
+    return map_rows(docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")), make, f"id {dict(docs.dtypes)[id_col]}, key long, fp long")
 
 
 def _permuted(values: np.ndarray, first: tuple[int, ...], width: int, total: int) -> np.ndarray:
@@ -244,37 +249,54 @@ def links(fps: DataFrame, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
     return joined(routed.join(hot, "path", "left_anti").select("top", "path", "fp", "value"), 32).unionByName(joined(deep, 16))
 
 
+def named_groups(nodes: DataFrame, linked: DataFrame, node: str) -> DataFrame:
+    """(node, group, component_id) of all nodes (``node``, low: its smallest id).
+
+    ``linked`` has (node, component) of those with links; a node without stands for itself.
+    """
+    linked = materialize(linked.withColumnRenamed("node", node).join(nodes, node), "components")
+    lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    moved = linked.join(lowest, "component").select(node, "component", "component_id")
+    own = F.col("component").isNull()
+    return nodes.join(moved, node, "left").select(node, F.coalesce("component", node).alias("group"), F.when(own, F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS) -> DataFrame:
+    """(id, key, fp, group, component_id): one row per input row; rows of one group are linked."""
+    marked = materialize(fingerprints(docs, id_col, text_col, n), "fingerprints")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
+    return marked.join(named_groups(distinct, connected_components(links(distinct.select("fp"))), "fp"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per input row.
 
     ``component_id`` is the smallest id reachable over links.  Null and empty
-    texts have fingerprint zero and link like any other; a null id is kept, and
-    takes no part in minima (a component of null ids alone has a null id);
-    repeated rows come out as often as they came in; an empty table gives none.
+    texts have fingerprint zero and link like any other; a bit set in just half of the
+    shingles is 0; a very long text is hashed in parts; a null id is kept, and takes no
+    part in minima (a component of null ids alone has a null id); repeated rows come
+    out as often as they came in; an empty table gives none; other columns, whatever
+    their names, are not read.
     """
-    marked = materialize(fingerprints(docs, id_col, text_col, n), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
-    linked = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp").join(distinct, "fp")
-    linked = materialize(linked, "components")
-    lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
-    moved = linked.join(lowest, "component").select("fp", "component_id")
-    # A fingerprint without a link stands for itself and its copies.
-    named = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return marked.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs, id_col, text_col, n).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of ``docs`` but one of each component: that with the smallest id stays.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = grouped) -> DataFrame:
+    """The rows of ``docs`` but one of each group: that with the smallest id (ties: text hash).
 
-    All columns stay as they are.  Rows that repeat an id count as copies of one
-    document: one of them stays.  Rows without an id stay.  ``find`` gives the
-    components.
+    All columns stay as they are, whatever their names.  Rows without an id stay.  Of
+    rows that repeat an id with its text one stays, the first by its JSON; an id with
+    several texts is judged text by text.  ``find`` gives the groups.
     """
-    found = materialize(find(docs, id_col, text_col).select("doc_id", "component_id"), "near-duplicates")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
+    found = materialize(find(docs, id_col, text_col).where("id is not null").select("id", "key", "group"), "near-duplicates")
+    first = found.groupBy("group").agg(F.min(F.struct("id", "key")).alias("first"))
+    key = free_name(docs, "_text_key")
+    gone = found.join(first, "group").where(F.struct("id", "key") != F.col("first")).select(F.col("id").alias(id_col), F.col("key").alias(key)).distinct()
+    marked = docs.withColumn(key, text_key(F.col(text_col)))
+    kept = marked.join(gone, [id_col, key], "left_anti")
+    repeated = materialize(found.groupBy("id", "key").count().where("count > 1").select(F.col("id").alias(id_col), F.col("key").alias(key)), "repeated-rows")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
-    return kept.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(once)
+        return kept.select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.join(repeated, [id_col, key], "left_semi").groupBy(id_col, key).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return kept.join(repeated, [id_col, key], "left_anti").select(*docs.columns).unionByName(once)

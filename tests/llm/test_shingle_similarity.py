@@ -31,7 +31,7 @@ def families():
 
 def components(spark, texts):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    return {r.doc_id: r.component_id for r in M.similar_documents(docs).collect()}
+    return {r.id: r.component_id for r in M.similar_documents(docs).collect()}
 
 
 def test_recall_against_all_pairs(spark, monkeypatch):
@@ -47,6 +47,14 @@ def test_recall_against_all_pairs(spark, monkeypatch):
 
 def test_nulls_and_repeats(spark):
     docs = spark.createDataFrame([(5, None), (4, ""), (7, "a b"), (7, "a b"), (None, "c d"), (9, "c d"), (None, "e")], "doc_id long, text string")
-    got = sorted(((r.doc_id or 0, r.component_id) for r in M.similar_documents(docs).collect()), key=str)
+    got = sorted(((r.id or 0, r.component_id) for r in M.similar_documents(docs).collect()), key=str)
     assert got == sorted([(5, 4), (4, 4), (7, 7), (7, 7), (0, 9), (9, 9), (0, None)], key=str)
     assert M.drop_similar(docs.limit(0)).count() == 0
+
+
+def test_string_ids_long_texts_and_lost_rows(spark):
+    long = " ".join(f"w{k * 31 % 20011}" for k in range(60_000))
+    rows = [("b", long), ("a", long + " end"), ("c", "another text altogether"), ("c", "a second text of the same id")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r.doc_id, r.text[:9]) for r in M.drop_similar(docs).collect())
+    assert got == [("a", long[:9]), ("c", "a second "), ("c", "another t")]

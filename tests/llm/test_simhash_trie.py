@@ -92,6 +92,22 @@ def test_nulls_empty_repeats_and_clashing_columns(spark):
     assert S.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_no_text_is_lost_with_a_repeated_id(spark):
+    rows = [(3, "alpha beta gamma delta", 1), (7, "alpha beta gamma delta", 1), (7, "totally other words here now", 1), (8, "one two six", 5), (8, "one two six", 4), (8, "one two six", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text_key int")
+    for parts in (1, 3):
+        got = sorted(tuple(r) for r in S.drop_near_duplicates(docs.repartition(parts)).collect())
+        assert got == [(3, "alpha beta gamma delta", 1), (7, "totally other words here now", 1), (8, "one two six", 4)]
+
+
+def test_string_ids_and_very_long_texts(spark):
+    long = " ".join(f"w{k * 31 % 20011}" for k in range(150_000))
+    docs = spark.createDataFrame([("x", long), ("k", long), ("b", "short one here"), (None, None)], "doc_id string, text string")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.near_duplicates(docs).collect()}
+    assert got["x"] == got["k"] == (f"{brute_fingerprint(long):016x}", "k")
+    assert got["b"][1] == "b" and got[None] == ("0" * 16, None)
+
+
 def test_chain_of_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 101)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
