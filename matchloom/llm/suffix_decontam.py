@@ -27,7 +27,7 @@ from matchloom.llm.common import map_rows, materialize, slices
 
 WINDOW_WORDS = 10
 #: UTF-8 bytes of benchmark text that a task holds at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 # A-Z become a-z; digits, a-z and all bytes of other letters stay; the rest separates.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -37,44 +37,70 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+
+def window_ids(tokens: np.ndarray, words: int) -> np.ndarray:
+    """For each place an id of the ``words`` tokens from there: equal ids for equal windows."""
+
+    def ahead(x: np.ndarray, by: int) -> np.ndarray:
+        return np.concatenate([x[by:], np.zeros(min(by, len(x)), x.dtype)])[: len(x)]
+
+    whole, size, out, done = tokens.astype(np.int64), 1, None, 0
+    while size <= words:
+        if words & size:
+            out, done = whole if out is None else _paired(out, ahead(whole, done)), done + size
+        whole, size = _paired(whole, ahead(whole, size)) if size * 2 <= words else whole, size * 2
+    return out
+
+
 class Block:
-    """The suffixes of some benchmark items over their own vocabulary (ids from 1)."""
+    """The suffixes of some benchmark items over their own vocabulary (ids from 1).
+
+    All arrays are flat, with one entry a word of the items or less: a suffix is
+    known by its place in ``tokens``.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW_WORDS):
         self.vocabulary: dict[bytes, int] = {}
-        tokens: list[np.ndarray] = []
-        windows: dict[bytes, set[str]] = {}
         self.items: list[str] = []
-        first: dict[bytes, int] = {}
-        starts, lengths, spans, owner = [], [], [], []
-        at = 0
+        tokens, sizes = [], []
         for name, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], dtype=np.int32)
-            if not len(ids):
-                continue
-            w = min(window, len(ids))
-            self.items.append(name)
-            for i in range(len(ids)):
-                starts.append(at + i)
-                lengths.append(len(ids) - i)
-                owner.append((len(self.items) - 1, i))
-                if i + w <= len(ids):
-                    key = ids[i : i + w].tobytes()
-                    spans.append(w if first.setdefault(key, len(spans)) == len(spans) else 0)
-                    windows.setdefault(key, set()).add(name)
-                else:
-                    spans.append(0)
-            tokens.append(ids)
-            at += len(ids)
+            if len(ids):
+                tokens.append(ids)
+                sizes.append(len(ids))
+                self.items.append(name)
         self.tokens = np.concatenate(tokens) if tokens else np.empty(0, np.int32)
-        self.starts, self.lengths = np.array(starts, np.int64), np.array(lengths, np.int64)
+        size = np.array(sizes, np.int64)
+        self.starts = np.arange(len(self.tokens))
+        self.item = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.begins = np.cumsum(size) - size
+        self.lengths = (self.begins + size)[self.item] - self.starts
         #: Window length of a suffix that is the first to begin with that window, else 0.
-        self.spans = np.array(spans, np.int64)
-        self.owner = owner
-        self.names = {q: frozenset(windows[key]) for key, q in first.items()}
+        self.spans = np.zeros(len(self.tokens), np.int64)
+        own = np.minimum(size, window)[self.item] if len(size) else np.empty(0, np.int64)
+        owners, first = [], []
+        for w in np.unique(own).tolist():
+            at = np.flatnonzero((own == w) & (self.lengths >= w))
+            kinds, where, ids = np.unique(window_ids(self.tokens, w)[at], return_index=True, return_inverse=True)
+            self.spans[at[where]] = w
+            pairs = np.unique(ids * len(size) + self.item[at])
+            first.append(at[where][pairs // len(size)])
+            owners.append((pairs % len(size)).astype(np.int32))
+        first_, owner = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (first, owners))
+        order = np.argsort(first_, kind="stable")
+        #: The items of a window, by its first suffix: ``owners[cuts[q] : cuts[q + 1]]``.
+        self.owners = owner[order]
+        self.cuts = np.searchsorted(first_[order], np.arange(len(self.tokens) + 1))
         self.shortest = int(self.spans[self.spans > 0].min()) if tokens else 0
         self.longest = int(self.lengths.max()) if tokens else 0
 
+    def names(self, q: int) -> list[str]:
+        """Items with the window that suffix ``q`` is the first to begin with."""
+        return [self.items[k] for k in self.owners[self.cuts[q] : self.cuts[q + 1]].tolist()]
+
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions sorted by the words that follow, by prefix doubling to ``depth`` words."""
@@ -167,7 +193,7 @@ def find_hits(texts: list[str | None], block: Block):
             np.add.at(change, at, 1)
             np.add.at(change, at + block.spans[q], -1)
             for d in np.unique(shard.document_of(at)).tolist():
-                names[d] |= block.names[q]
+                names[d].update(block.names(q))
     hit = np.cumsum(change[:-1]) > 0
     return shard.counts, [hit[b : b + n] for b, n in zip(shard.begins.tolist(), shard.counts.tolist())], names
 
@@ -208,9 +234,10 @@ def _marked(docs: DataFrame, text_col: str, blocks: list) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null and empty texts have no words and no hits; an item without words has no
-    window; a null item id is named by the empty string; repeated documents and
-    items are harmless; an empty benchmark hits nothing.
+    Null and empty texts have no words and no hits; a very long text is a shard of its
+    own; an item without words has no window; a null item id is named by the empty
+    string; repeated documents come out repeatedly, repeated items count once; an empty
+    benchmark hits nothing, an empty table gives no rows; other columns are not read.
     """
     kind = dict(docs.dtypes)[id_col]
     marked = _marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", blocks_of(benchmark, item_col, "text", window, block_bytes))
@@ -225,18 +252,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` without any hit word, all columns as they are."""
-    for load in blocks_of(benchmark, item_col, "text", window, block_bytes):
-        t = docs.columns.index(text_col)
+    """The rows of ``docs`` without any hit word, all columns as they are, whatever their names.
 
-        def make(block=load(), t=t):
-            def run(batch):
-                _, hits, _ = find_hits(batch.column(t).to_pylist(), block)
-                return batch.filter(pa.array([not h.any() for h in hits]))
+    Null and empty texts stay.  Blocks of the benchmark are searched one after another,
+    with what is left written between them, so one block is held at a time.
+    """
+    t = docs.columns.index(text_col)
+    loads = blocks_of(benchmark, item_col, "text", window, block_bytes)
 
-            return run
+    def maker(block: Block):
+        def run(batch):
+            _, hits, _ = find_hits(batch.column(t).to_pylist(), block)
+            return batch.filter(pa.array([not h.any() for h in hits]))
+
+        return lambda: run
 
-        docs = map_rows(docs, make, docs.schema, text=text_col)
+    for number, load in enumerate(loads):
+        docs = map_rows(docs, maker(load()), docs.schema, text=text_col)
+        if number + 1 < len(loads):
+            docs = materialize(docs, "decontam-block")
     return docs
 
 
@@ -245,7 +279,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     of at least its window the longest one over all shards, and the first place of it
     (smallest doc_id, then word).  Only item ids, positions and lengths are shuffled."""
     found = None
-    for load in blocks_of(benchmark, item_col, "text", window, block_bytes):
+    loads = blocks_of(benchmark, item_col, "text", window, block_bytes)
+    for load in loads:
 
         def make(block=load()):
             def run(batch):
@@ -256,7 +291,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                 ids = batch.column(0).to_pylist()
                 rows = []
                 for q in np.flatnonzero(longest >= np.minimum(block.lengths, window)).tolist():
-                    item, at = block.owner[q]
+                    item = int(block.item[q])
+                    at = q - int(block.begins[item])
                     places = shard.place[shard.order[low[q] : high[q]]]
                     docs_at = shard.document_of(places)
                     where = min((ids[d], int(p - shard.begins[d])) for d, p in zip(docs_at.tolist(), places.tolist()) if ids[d] is not None) if any(ids[d] is not None for d in docs_at.tolist()) else (None, int(places[0] - shard.begins[docs_at[0]]))
@@ -267,6 +303,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
             return run
 
         part = map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), make, f"item_id string, item_at long, words long, doc_id {dict(docs.dtypes)[id_col]}, doc_at long")
+        if len(loads) > 1:  # so that the block can go
+            part = materialize(part, "longest-matches")
         found = part if found is None else found.unionByName(part)
     best = F.min(F.struct((-F.col("words")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "doc_at")).alias("b")
     return found.groupBy("item_id", "item_at").agg(best).select("item_id", "item_at", (-F.col("b.n")).alias("words"), "b.doc_id", "b.doc_at")

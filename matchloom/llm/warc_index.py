@@ -36,6 +36,9 @@ MIN_REVISIT_BYTES = 1000
 BLOCK_CAPTURES = 500
 #: Byte ranges of one archive that lie this near to each other are read at once.
 READ_AHEAD = 256 << 10
+#: Bytes of records that a reading task takes on, and of an archive that go to one task.
+TASK_BYTES = 64 << 20
+STRETCH_BYTES = 4 << 20
 
 
 @lru_cache(maxsize=16)
@@ -223,8 +226,9 @@ def lookup(keys: DataFrame, index: CaptureIndex) -> DataFrame:
 def read_records(captures: DataFrame, base: str, payload: bool = False) -> DataFrame:
     """The records at (file, start, size), with their payloads if asked for.
 
-    Captures are dealt by place, so that a task reads archives in order, and near
-    ranges in one read.
+    Captures are dealt by stretches of archives, so that a task reads near ranges in
+    order and in one read.  How many tasks there are goes by the bytes of the records,
+    which the small rows of places do not show.
     """
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
     kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()} | ({"payload": pa.binary()} if payload else {})
@@ -244,8 +248,11 @@ def read_records(captures: DataFrame, base: str, payload: bool = False) -> DataF
                     out.append(parse_record(zlib.decompress(held[start - held_at : start - held_at + size], 31)))
                 yield pa.RecordBatch.from_pydict({n: pa.array([r[n] for r in out], t) for n, t in kinds.items()})
 
-    places = captures.select("file", "start", "size")
-    return places.repartitionByRange("file", "start").sortWithinPartitions("file", "start").mapInArrow(run, schema)
+    places = materialize(captures.select("file", "start", "size"), "captures")
+    total = places.agg(F.sum("size")).first()[0] or 0
+    tasks = max(places.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    stretch = F.floor(F.col("start") / STRETCH_BYTES)
+    return places.repartition(tasks, "file", stretch).sortWithinPartitions("file", "start").mapInArrow(run, schema)
 
 
 def archive(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, DataFrame, CaptureIndex]:
@@ -261,7 +268,8 @@ def archived_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     One row per input row: page_id, payload_bytes, payload_digest, record_type,
     refers_to.  A null html is an empty payload, a null url an empty one; rows that
     repeat a page id and payload are all responses if theirs is the largest id; a
-    payload of null ids alone has responses only.  An empty table gives none.
+    payload of null ids alone has responses only.  An empty table gives none.  A very
+    long page is a record like any other; other columns, whatever their names, are not read.
     """
     base, _, index = archive(pages.sparkSession, pages, id_col, url_col, html_col)
     keys = pages.select(capture_key(F.col(url_col), F.col(id_col).cast("long")).alias("key"))

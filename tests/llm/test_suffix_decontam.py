@@ -68,3 +68,35 @@ def test_edges(spark):
     assert S.contamination(docs.limit(0), bench).count() == 0
     assert S.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     assert [r.n_hit for r in S.contamination(docs, bench).collect()] == [3, 3, 0]
+
+
+def test_memory_of_a_block():
+    """Flat arrays: a block costs a small multiple of its text."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(20_000)]
+    items = [(f"i{k}", " ".join(rng.choice(words) for _ in range(400))) for k in range(900)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    block = S.Block(items)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 12 * size and peak < 40 * size
+    assert block.names(0) == ["i0"] and block.spans[0] == 10
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    rng = __import__("random").Random(4)
+    words = [f"w{k}" for k in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(200_000))
+    items = [("a", " ".join(long.split()[150_000:150_030])), ("a", " ".join(long.split()[150_000:150_030])), ("b", "w1 w2 zz")]
+    docs = spark.createDataFrame([(1, long, 5), (2, None, 6), (3, "w1 w2 zz w3", 7)], "doc_id long, text string, n_hit int")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in S.contamination(docs, bench).collect()}
+    assert got[1][0] >= 30 and got[1][2] and got[2] == (0, 0, False) and got[3] == (3, 1, True)
+    for block_bytes in (1 << 20, 40):
+        left = S.remove_contaminated(docs, bench, block_bytes=block_bytes)
+        assert [tuple(r) for r in left.collect()] == [(2, None, 6)]
+    assert S.contamination(docs.limit(0), bench).count() == 0
