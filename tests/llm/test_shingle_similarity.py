@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import corpus_pipeline
@@ -45,6 +46,22 @@ def test_recall_against_all_pairs(spark, monkeypatch):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(want.values())
 
 
+def test_one_large_group_of_near_copies(spark, monkeypatch):
+    """A crowd in which a third of all pairs is linked; blocks of buckets, too."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(150)]
+    texts = {}
+    for i in range(400):
+        changed = set(rng.sample(range(150), rng.randrange(13)))
+        texts[i] = " ".join(f"x{rng.randrange(900)}" if k in changed else w for k, w in enumerate(base))
+    _, want = brute(texts)
+    assert 1 < len(set(want.values())) < 400
+    for shingles in (1 << 19, 5000):
+        monkeypatch.setattr(M, "BLOCK_SHINGLES", shingles)
+        got = components(spark, texts)
+        assert sum(got[i] != want[i] for i in texts) == 0
+
+
 def test_nulls_and_repeats(spark):
     docs = spark.createDataFrame([(5, None), (4, ""), (7, "a b"), (7, "a b"), (None, "c d"), (9, "c d"), (None, "e")], "doc_id long, text string")
     got = sorted(((r.id or 0, r.component_id) for r in M.similar_documents(docs).collect()), key=str)
