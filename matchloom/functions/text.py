@@ -59,11 +59,11 @@ def clean_str(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Upper case, one kind of dash, no quotes or brackets, single spaces, and no trailing
-    `` <mark>d.d`` group."""
+    `` Wd.d`` group (a rating after the letter W)."""
     t = strip(F.upper(F.coalesce(text, F.lit(""))))
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, _DASHES, "-"), _QUOTES, ""), r"[(){}\[\]]", "")
     t = strip(F.regexp_replace(t, r"(?U)\s+", " "))
-    return strip(F.regexp_replace(t, r"(?U)\s+\W\d+\.\d+$", ""))
+    return strip(F.regexp_replace(t, r"(?U)\s+W\d+\.\d+$", ""))
 
 
 def strip_brand(text: Column, brands: Sequence[str] = L.BRAND_SUFFIXES) -> Column:

@@ -17,6 +17,21 @@ TRACKED = ("rrts", "opt", "partner")
 TOLERANCE = 0.01
 
 
+def numbered(rows: DataFrame, key: str, name: str, after: DataFrame, buckets: int = 256) -> DataFrame:
+    """``rows`` with numbers ``name`` that go on from the one row and column of ``after``.
+
+    Rows are numbered within hashed buckets of ``key`` in parallel; each bucket starts
+    after the rows of the ones before, of which one task sees the counts only.
+    """
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    top = after.select(F.col(after.columns[0]).alias("_top"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(key))
+    out = dealt.withColumn("_r", place).join(starts, "_b").crossJoin(F.broadcast(top))
+    return out.withColumn(name, (F.col("_top") + F.col("_start") + F.col("_r")).cast("long")).drop("_b", "_r", "_start", "_top")
+
+
 def _last_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
@@ -35,8 +50,7 @@ def upsert_catalog(catalog: DataFrame, rows: DataFrame, segment: str, order: str
     given = F.col("_new").isNotNull()
     change = F.when(given & F.col("id").isNull(), "added").when(given, "updated")
     merged = joined.select(*[F.when(given, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in fields else F.coalesce(F.col(c), F.lit(segment)).alias(c) if c == "segment" else F.when(given, F.lit(True)).otherwise(F.col(c)).alias(c) if c == "is_active" else F.col(c) for c in catalog.columns], change.alias("change"))
-    top = catalog.agg(F.max("id").alias("_top"))
-    fresh = merged.where("change = 'added'").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.row_number().over(Window.orderBy("article"))).drop("_top")
+    fresh = numbered(merged.where("change = 'added'").drop("id"), "article", "id", catalog.agg(F.coalesce(F.max("id"), F.lit(0)))).select(*merged.columns)
     kept = merged.where("change is null or change <> 'added'")
     return others.withColumn("change", F.lit(None).cast("string")).unionByName(kept.unionByName(fresh))
 
@@ -73,14 +87,17 @@ def soft_delete(table: DataFrame, which: Column) -> DataFrame:
 
 
 def price_diff(catalog: DataFrame, incoming: DataFrame, mark_missing: bool = False) -> DataFrame:
-    """(article, kind, name, brand, changes): new, updated, deleted and skipped records.
+    """(article, row_no, kind, name, brand, changes): new, updated, deleted and skipped records.
 
-    ``changes`` maps a tracked field to its old and new value, where the new one is
-    given and the old one is missing or more than a cent away.  Each incoming row
-    gives a record, also those of one article.
+    Only active products with an article count as known.  ``changes`` maps a tracked
+    field to its old and new value, where the new one is given and the old one is
+    missing or more than a cent away.  Each incoming row gives a record with its row
+    number (null where ``incoming`` has none), also those of one article; a missing
+    article gives one deleted record.
     """
-    inc = incoming.select("article", F.col("name").alias("_name"), F.col("brand").alias("_brand"), F.col("price_rrts").alias("_rrts"), F.coalesce(X.falsy(F.col("price_opt")), F.col("price_base")).alias("_opt"), F.col("price_partner").alias("_partner"))
-    old = catalog.groupBy("article").agg(F.max_by(F.struct("name", "brand", *TRACKED), "id").alias("p"))
+    row_no = F.col("row_no").cast("long") if "row_no" in incoming.columns else F.lit(None).cast("long").alias("row_no")
+    inc = incoming.select("article", row_no, F.col("name").alias("_name"), F.col("brand").alias("_brand"), F.col("price_rrts").alias("_rrts"), F.coalesce(X.falsy(F.col("price_opt")), F.col("price_base")).alias("_opt"), F.col("price_partner").alias("_partner"))
+    old = catalog.where("is_active and article <> ''").groupBy("article").agg(F.max_by(F.struct("name", "brand", *TRACKED), "id").alias("p"))
     joined = inc.join(old, "article", "left")
     entry = lambda f: F.struct(F.col(f"p.{f}").alias("old"), F.col(f"_{f}").alias("new"))
     changed = lambda f: F.col(f"_{f}").isNotNull() & (F.col(f"p.{f}").isNull() | (F.abs(F.col(f"p.{f}") - F.col(f"_{f}")) > TOLERANCE))
@@ -88,11 +105,11 @@ def price_diff(catalog: DataFrame, incoming: DataFrame, mark_missing: bool = Fal
     there = F.col("p").isNotNull()
     kind = F.when(F.coalesce("article", F.lit("")) == "", "skipped").when(~there, "new").when(F.size("changes") > 0, "updated").otherwise("skipped")
     records = joined.withColumn("changes", F.map_from_entries(pairs)).select(
-        "article", kind.alias("kind"), F.coalesce(F.nullif(F.col("_name"), F.lit("")), "p.name").alias("name"), F.coalesce(F.nullif(F.col("_brand"), F.lit("")), "p.brand", F.lit("")).alias("brand"), "changes"
+        "article", "row_no", kind.alias("kind"), F.coalesce(F.nullif(F.col("_name"), F.lit("")), "p.name").alias("name"), F.coalesce(F.nullif(F.col("_brand"), F.lit("")), "p.brand", F.lit("")).alias("brand"), "changes"
     )
     if not mark_missing:
         return records
-    gone = catalog.join(incoming.select("article"), "article", "left_anti").select("article", F.lit("deleted").alias("kind"), "name", F.coalesce("brand", F.lit("")).alias("brand"), F.create_map().cast("map<string,struct<old:double,new:double>>").alias("changes"))
+    gone = old.join(incoming.select("article"), "article", "left_anti").select("article", F.lit(None).cast("long").alias("row_no"), F.lit("deleted").alias("kind"), "p.name", F.coalesce("p.brand", F.lit("")).alias("brand"), F.create_map().cast("map<string,struct<old:double,new:double>>").alias("changes"))
     return records.unionByName(gone)
 
 
@@ -109,28 +126,32 @@ def price_history(diff: DataFrame, supplier: str, log_id: int) -> DataFrame:
 
 def store_diff(diff: DataFrame, job_id: int, supplier: str, filename: str) -> DataFrame:
     """Pending records with their changes as JSON: written by job, so a lookup reads one folder."""
-    return diff.where("kind <> 'skipped'").select(F.lit(job_id).cast("long").alias("job_id"), F.lit(supplier).alias("supplier_code"), F.lit(filename).alias("filename"), F.lit("pending").alias("status"), "article", "kind", "name", "brand", F.to_json("changes").alias("changes_json"))
+    return diff.where("kind <> 'skipped'").select(F.lit(job_id).cast("long").alias("job_id"), F.lit(supplier).alias("supplier_code"), F.lit(filename).alias("filename"), F.lit("pending").alias("status"), "article", "row_no", "kind", "name", "brand", F.to_json("changes").alias("changes_json"))
 
 
 def load_diff(stored: DataFrame, job_id: int) -> DataFrame:
     changes = F.from_json("changes_json", "map<string,struct<old:double,new:double>>")
-    return stored.where(F.col("job_id") == job_id).select("article", "kind", "name", "brand", "status", changes.alias("changes"))
+    return stored.where(F.col("job_id") == job_id).select("article", "row_no", "kind", "name", "brand", "status", changes.alias("changes"))
 
 
 def apply_diff(catalog: DataFrame, diff: DataFrame, status: str = "pending") -> DataFrame:
     """The catalog after a confirmed diff; refused unless it is pending.
 
-    New articles are inserted (default segment and unit, last record of an article),
-    changed prices set, deleted articles deactivated.  Adds ``change``.
+    New articles are inserted once (default segment and unit, their last record),
+    changed prices set, deleted articles deactivated.  Several records of an article
+    apply in the order of their row numbers (ties: by their values), so the last one
+    that changes a field sets it.  Adds ``change``.
     """
     if status != "pending":
         raise ValueError(f"diff is {status}, not pending")
-    once = diff.where("kind <> 'skipped'").groupBy("article").agg(F.last(F.struct("kind", "name", "brand", "changes")).alias("d"))
-    value = lambda f: F.try_element_at(F.col("d.changes"), F.lit(f))["new"]
+    order = F.struct("row_no", "kind", "name", "brand", F.to_json("changes"))
+    new = lambda f: F.try_element_at(F.col("changes"), F.lit(f))["new"]
+    fields = [F.max_by(new(f), F.when(new(f).isNotNull(), order)).alias(f"_{f}") for f in TRACKED]
+    once = diff.where("kind <> 'skipped'").groupBy("article").agg(F.max_by(F.struct("kind", "name", "brand"), order).alias("d"), *fields)
+    value = lambda f: F.col(f"_{f}")
     joined = catalog.join(once.where("d.kind <> 'new'"), "article", "left")
     kept = joined.select(*[F.coalesce(value(c), F.col(c)).alias(c) if c in TRACKED else (F.col(c) & ~F.coalesce(F.col("d.kind") == "deleted", F.lit(False))).alias(c) if c == "is_active" else F.col(c) for c in catalog.columns], F.col("d.kind").alias("change"))
-    top = catalog.agg(F.max("id").alias("_top"))
-    fresh = once.where("d.kind = 'new'").crossJoin(F.broadcast(top)).withColumn("_id", F.col("_top") + F.row_number().over(Window.orderBy("article")))
+    fresh = numbered(once.where("d.kind = 'new'"), "article", "_id", catalog.agg(F.coalesce(F.max("id"), F.lit(0))))
     known = {"id": F.col("_id"), "article": F.col("article"), "name": F.col("d.name"), "brand": F.col("d.brand"), "segment": F.lit(L.DEFAULT_SEGMENT), "is_active": F.lit(True), **{f: value(f) for f in TRACKED}}
     types = dict(catalog.dtypes)
     added = fresh.select(*[known.get(c, F.lit(None)).cast(types[c]).alias(c) for c in catalog.columns], F.lit("added").alias("change"))
@@ -161,9 +182,8 @@ def record_corrections(events: DataFrame, catalog: DataFrame) -> tuple[DataFrame
 def supplier_dimension(suppliers: DataFrame, codes: DataFrame) -> DataFrame:
     """With ids for the codes that are new (supplier_code, supplier_name)."""
     new = codes.select("supplier_code", "supplier_name").dropDuplicates(["supplier_code"]).join(suppliers, "supplier_code", "left_anti")
-    top = suppliers.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = new.crossJoin(F.broadcast(top)).select((F.col("_top") + F.row_number().over(Window.orderBy("supplier_code"))).cast("long").alias("id"), "supplier_code", "supplier_name")
-    return suppliers.unionByName(numbered)
+    added = numbered(new, "supplier_code", "id", suppliers.agg(F.coalesce(F.max("id"), F.lit(0))))
+    return suppliers.unionByName(added.select("id", "supplier_code", "supplier_name"))
 
 
 def add_column(table: DataFrame, name: str, default: str) -> DataFrame:

@@ -13,12 +13,13 @@ C = F.col
 _NEW = "coalesce(nullif(i.price_opt, 0), i.price_base)"
 _CHANGED = {"rrts": "i.price_rrts", "opt": _NEW, "partner": "i.price_partner"}
 _IS = {f: f"({v} IS NOT NULL AND (c.{f} IS NULL OR abs(c.{f} - {v}) > 0.01))" for f, v in _CHANGED.items()}
+DUCK["v_active"] = "SELECT * FROM {v_catalog} WHERE is_active AND article <> ''"
 DUCK["v_diff"] = f"""
 SELECT i.article, CASE WHEN i.article = '' THEN 'skipped' WHEN c.id IS NULL THEN 'new' WHEN {' OR '.join(_IS.values())} THEN 'updated' ELSE 'skipped' END AS kind,
-  coalesce(nullif(i.name, ''), c.name) AS name, coalesce(nullif(i.brand, ''), c.brand, '') AS brand FROM {{v_incoming}} i LEFT JOIN {{v_catalog}} c USING (article)
-UNION ALL SELECT article, 'deleted', name, coalesce(brand, '') FROM {{v_catalog}} WHERE article NOT IN (SELECT article FROM {{v_incoming}})
+  coalesce(nullif(i.name, ''), c.name) AS name, coalesce(nullif(i.brand, ''), c.brand, '') AS brand FROM {{v_incoming}} i LEFT JOIN {{v_active}} c USING (article)
+UNION ALL SELECT article, 'deleted', name, coalesce(brand, '') FROM {{v_active}} WHERE article NOT IN (SELECT article FROM {{v_incoming}})
 """
-DUCK["v_changes"] = " UNION ALL ".join(f"SELECT i.article, CASE WHEN c.id IS NULL THEN 'new' ELSE 'updated' END AS kind, '{f}' AS field, c.{f} AS old_value, {v} AS new_value FROM {{v_incoming}} i LEFT JOIN {{v_catalog}} c USING (article) WHERE i.article <> '' AND {_IS[f]}" for f, v in _CHANGED.items())
+DUCK["v_changes"] = " UNION ALL ".join(f"SELECT i.article, CASE WHEN c.id IS NULL THEN 'new' ELSE 'updated' END AS kind, '{f}' AS field, c.{f} AS old_value, {v} AS new_value FROM {{v_incoming}} i LEFT JOIN {{v_active}} c USING (article) WHERE i.article <> '' AND {_IS[f]}" for f, v in _CHANGED.items())
 DUCK["v_price_history"] = "SELECT 'sup_a' AS supplier_code, article, field, old_value, new_value, 1::BIGINT AS import_log_id FROM {v_changes} WHERE kind = 'updated'"
 
 
@@ -49,8 +50,9 @@ def cdc_diff_store(t):
 
 
 @query("cdc_apply_diff", """
-WITH n AS (SELECT article, max(CASE WHEN field = 'rrts' THEN new_value END) AS rrts, max(CASE WHEN field = 'opt' THEN new_value END) AS opt, max(CASE WHEN field = 'partner' THEN new_value END) AS partner FROM {v_changes} GROUP BY 1)
-SELECT c.article, coalesce(n.rrts, c.rrts) AS rrts, coalesce(n.opt, c.opt) AS opt, coalesce(n.partner, c.partner) AS partner, c.segment, is_active AND d.kind IS DISTINCT FROM 'deleted' AS is_active FROM {v_catalog} c LEFT JOIN n USING (article) LEFT JOIN (SELECT article, kind FROM {v_diff} WHERE kind = 'deleted') d USING (article)
+WITH n AS (SELECT article, max(CASE WHEN field = 'rrts' THEN new_value END) AS rrts, max(CASE WHEN field = 'opt' THEN new_value END) AS opt, max(CASE WHEN field = 'partner' THEN new_value END) AS partner FROM {v_changes} GROUP BY 1),
+k AS (SELECT DISTINCT article FROM {v_diff} WHERE kind = 'updated')
+SELECT c.article, coalesce(n.rrts, c.rrts) AS rrts, coalesce(n.opt, c.opt) AS opt, coalesce(n.partner, c.partner) AS partner, c.segment, is_active AND d.kind IS DISTINCT FROM 'deleted' AS is_active FROM {v_catalog} c LEFT JOIN (SELECT n.* FROM n JOIN k USING (article)) n USING (article) LEFT JOIN (SELECT article, kind FROM {v_diff} WHERE kind = 'deleted') d USING (article)
 UNION ALL SELECT d.article, n.rrts, n.opt, n.partner, 'ss', TRUE FROM {v_diff} d LEFT JOIN n USING (article) WHERE kind = 'new'
 """)
 def cdc_apply_diff(t):
@@ -62,14 +64,14 @@ _KNOWN = "concat(p_type, '-', CAST(p_partkey % 900 AS STRING))"
 
 
 @query("cdc_catalog_upsert", f"""
-WITH base AS (SELECT c.* REPLACE (concat(split_part(article, '-', 1), '-', (id % 900)::VARCHAR) AS article) FROM {{v_catalog}} c WHERE id < 900),
+WITH base AS (SELECT c.* REPLACE (concat(split_part(article, '-', 1), '-', (id % 900)::VARCHAR) AS article) FROM {{v_catalog}} c),
 new AS (SELECT article, arg_max(name, row_no) AS name, arg_max(rrts, row_no) AS rrts, max(row_no) AS row_no FROM ({_ROWS}) WHERE article IS NOT NULL GROUP BY 1)
 SELECT article, name, rrts, segment, NULL AS change FROM base WHERE segment <> 'ss'
 UNION ALL SELECT coalesce(b.article, n.article), CASE WHEN n.article IS NULL THEN b.name ELSE n.name END, CASE WHEN n.article IS NULL THEN b.rrts ELSE n.rrts END, 'ss', CASE WHEN b.article IS NULL THEN 'added' WHEN n.article IS NOT NULL THEN 'updated' END
 FROM (SELECT * FROM base WHERE segment = 'ss') b FULL JOIN new n ON n.article = b.article
 """)
 def cdc_catalog_upsert(t):
-    base = t("v_catalog").where("id < 900").withColumn("article", F.concat(F.split("article", "-")[0], F.lit("-"), (C("id") % 900).cast("string")))
+    base = t("v_catalog").withColumn("article", F.concat(F.split("article", "-")[0], F.lit("-"), (C("id") % 900).cast("string")))
     rows = t("v_sheet_rows").select("row_no", X.safe_str(C("c2")).alias("article"), X.safe_str(C("c3")).alias("name"), X.safe_float(C("c6")).alias("rrts"))
     return H.upsert_catalog(base, rows, "ss").select("article", "name", "rrts", "segment", "change")
 
@@ -141,10 +143,12 @@ def cdc_correction_record(t):
     return good.withColumn("rejected", F.lit(False)).select(cols).unionByName(bad.withColumns({"selected_article": none, "selected_name": none, "rejected": F.lit(True)}).select(cols))
 
 
-@query("cdc_supplier_dim", "SELECT 1::BIGINT AS id, 'sup_a' AS supplier_code UNION ALL SELECT 2, 'sup_b'")
+@query("cdc_supplier_dim", "SELECT supplier_code, id % 4 = 1 AS known, CASE WHEN id % 4 = 1 THEN id END AS old_id FROM {v_mapping}")
 def cdc_supplier_dim(t):
-    old = t("v_mapping").where("id = 1").select(C("id").cast("long").alias("id"), "supplier_code", "supplier_name")
-    return H.supplier_dimension(old, t("v_mapping")).select("id", "supplier_code")
+    old = t("v_mapping").where("id % 4 = 1").select(C("id").cast("long").alias("id"), "supplier_code", "supplier_name")
+    known = old.select("supplier_code", C("id").alias("old_id"))
+    dim = H.supplier_dimension(old, t("v_mapping")).join(known, "supplier_code", "left")
+    return dim.select("supplier_code", C("id").eqNullSafe(C("old_id")).alias("known"), "old_id")
 
 
 @query("cdc_add_column", "SELECT id, 'ss' AS segment FROM {v_catalog}")
@@ -153,16 +157,20 @@ def cdc_add_column(t):
     return H.add_column(once, "segment", "os").select("id", "segment")
 
 
-@query("set_deleted", "SELECT article FROM {v_catalog} WHERE article NOT IN (SELECT article FROM {v_incoming})")
+def _known(t):
+    return t("v_catalog").where("is_active and article <> ''")
+
+
+@query("set_deleted", "SELECT article FROM {v_active} WHERE article NOT IN (SELECT article FROM {v_incoming})")
 def set_deleted(t):
-    return t("v_catalog").join(t("v_incoming").select("article"), "article", "left_anti").select("article")
+    return _known(t).join(t("v_incoming").select("article"), "article", "left_anti").select("article")
 
 
-@query("set_new", "SELECT article FROM {v_incoming} WHERE article <> '' AND article NOT IN (SELECT article FROM {v_catalog})")
+@query("set_new", "SELECT article FROM {v_incoming} WHERE article <> '' AND article NOT IN (SELECT article FROM {v_active})")
 def set_new(t):
-    return t("v_incoming").where("article <> ''").join(t("v_catalog").select("article"), "article", "left_anti").select("article")
+    return t("v_incoming").where("article <> ''").join(_known(t).select("article"), "article", "left_anti").select("article")
 
 
-@query("set_common", "SELECT article FROM {v_incoming} WHERE article IN (SELECT article FROM {v_catalog})")
+@query("set_common", "SELECT article FROM {v_incoming} WHERE article IN (SELECT article FROM {v_active})")
 def set_common(t):
-    return t("v_incoming").join(t("v_catalog").select("article"), "article", "left_semi").select("article")
+    return t("v_incoming").join(_known(t).select("article"), "article", "left_semi").select("article")

@@ -84,10 +84,12 @@ def mat_article_contains(t):
     return M.article_contains(*_ready(t))
 
 
-@query("mat_nocyr_exact", _equal("q_nocyr", "norm_nocyr", 100, "exact_nocyr"))
+_NOCYR, _NOCYR_BARE = _equal("q_nocyr", "norm_nocyr", 100, "exact_nocyr"), _equal(S.brand("q_nocyr"), "norm_nocyr", 100, "exact_nocyr")
+
+
+@query("mat_nocyr_exact", f"WITH whole AS ({_NOCYR}) SELECT * FROM whole UNION ALL SELECT * FROM ({_NOCYR_BARE}) WHERE item_id NOT IN (SELECT item_id FROM whole)")
 def mat_nocyr_exact(t):
-    items, products = _ready(t)
-    return M.nocyr_exact(items.withColumn("q_nocyr_brandless", F.lit("")), products)
+    return M.nocyr_exact(*_ready(t))
 
 
 @query("mat_nocyr_contains", _contains("q_nocyr", "norm_nocyr", 95, "contains_nocyr"))

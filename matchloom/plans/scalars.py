@@ -152,10 +152,10 @@ def fn_method_label(t):
     return matches(t).select("item_id", X.method_label(m).alias("label"))
 
 
-_JSON = "CASE id WHEN 1 THEN '{\"supplier_code\":\"a\",\"supplier_name\":\"A\",\"sheet\":\"s\",\"header_row\":1,\"data_start_row\":2,\"columns\":{\"article\":2}}' WHEN 2 THEN '{\"supplier_code\":\"a\",\"columns\":{\"article\":2}}' ELSE '{\"supplier_code\":\"a\",\"supplier_name\":\"A\",\"sheet\":\"s\",\"header_row\":1,\"data_start_row\":2,\"columns\":{\"name\":2}}' END"
+_JSON = "CASE id % 3 WHEN 1 THEN '{\"supplier_code\":\"a\",\"supplier_name\":\"A\",\"sheet\":\"s\",\"header_row\":1,\"data_start_row\":2,\"columns\":{\"article\":2}}' WHEN 2 THEN '{\"supplier_code\":\"a\",\"columns\":{\"article\":2}}' ELSE '{\"supplier_code\":\"a\",\"supplier_name\":\"A\",\"sheet\":\"s\",\"header_row\":1,\"data_start_row\":2,\"columns\":{\"name\":2}}' END"
 
 
-@query("fn_mapping_validate", "SELECT id, id = 1 AS valid, CASE id WHEN 1 THEN NULL WHEN 2 THEN 'missing: supplier_name' ELSE 'no article column' END AS error FROM {v_mapping}")
+@query("fn_mapping_validate", "SELECT id, id % 3 = 1 AS valid, CASE id % 3 WHEN 1 THEN NULL WHEN 2 THEN 'missing: supplier_name' ELSE 'no article column' END AS error FROM {v_mapping}")
 def fn_mapping_validate(t):
     from matchloom.sources.pricelists import validate_mapping
 

@@ -12,7 +12,7 @@ def strip(x: str) -> str:
 def norm(x: str) -> str:
     t = f"regexp_replace(regexp_replace(regexp_replace({strip(f'upper(coalesce({x}, {chr(39)}{chr(39)}))')}, '[–—−‒]', '-', 'g'), '[«»“”„‟‘’`]', '', 'g'), '[(){{}}\\[\\]]', '', 'g')"
     t = strip(f"regexp_replace({t}, '{_S}+', ' ', 'g')")
-    return strip(f"regexp_replace({t}, '{_S}+[^\\p{{L}}\\p{{N}}_]\\d+\\.\\d+$', '')").replace("{{", "{").replace("}}", "}")
+    return strip(f"regexp_replace({t}, '{_S}+W\\d+\\.\\d+$', '')").replace("{{", "{").replace("}}", "}")
 
 
 def brand(x: str) -> str:

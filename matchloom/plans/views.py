@@ -59,16 +59,16 @@ DUCK["v_spec_items"] = f"SELECT row_number() OVER (ORDER BY {', '.join(_SPEC_ORD
 _NUMBER_BLOCK = 4096
 
 SHARED["v_incoming"] = """
-SELECT concat(p_type, '-', CAST(p_size AS STRING), '-', CAST(p_partkey AS STRING)) AS article,
+SELECT p_partkey AS row_no, concat(p_type, '-', CAST(p_size AS STRING), '-', CAST(p_partkey AS STRING)) AS article,
   p_name AS name, p_brand AS brand, p_retailprice * 0.5E0 AS price_base,
   p_retailprice + (p_partkey % 4) AS price_rrts,
   CASE WHEN p_partkey % 10 = 0 THEN p_retailprice * 0.625E0 END AS price_opt,
   CASE WHEN p_partkey % 4 = 0 THEN p_retailprice * 0.75E0 END AS price_partner
 FROM {part} WHERE p_partkey % 5 <> 1
 UNION ALL
-SELECT concat('NEW-', CAST(s_suppkey AS STRING)), s_name, NULL, s_acctbal, NULL, NULL, NULL FROM {supplier}
+SELECT 1000000000 + s_suppkey, concat('NEW-', CAST(s_suppkey AS STRING)), s_name, NULL, s_acctbal, NULL, NULL, NULL FROM {supplier}
 UNION ALL
-SELECT '', s_name, NULL, NULL, NULL, NULL, NULL FROM {supplier} WHERE s_suppkey % 10 = 0
+SELECT 2000000000 + s_suppkey, '', s_name, NULL, NULL, NULL, NULL, NULL FROM {supplier} WHERE s_suppkey % 10 = 0
 """
 SHARED["v_constants"] = """
 SELECT p_brand AS brand, 1.25E0 + (n % 4) * 0.125E0 AS margin, 1.0625E0 AS logistics, 1 + n % 8 AS rate,
@@ -130,12 +130,15 @@ SELECT CASE WHEN p_partkey % 2 = 0 THEN 'a.csv' ELSE 'b.csv' END AS file, 'Price
   p_type AS c7, p_brand AS c8
 FROM {part}
 """
+#: A layout a supplier; five files, so that several layouts compete for one.
 SHARED["v_mapping"] = """
-SELECT * FROM (VALUES
-  (1, 'a.csv', 'sup_a', 'Supplier A', 'Price', 3, 2, 3, 4, 5, 6, 8, TRUE, 0.25E0, '2024-01-01'),
-  (2, 'a.csv', 'sup_a', 'Supplier A', 'Price', 2, 2, 3, 4, 5, 6, 8, TRUE, 0.25E0, '2024-02-01'),
-  (3, 'b.csv', 'sup_b', 'Supplier B', 'price', 2, 2, 3, 4, 6, 5, NULL, FALSE, 0.25E0, '2024-01-15')
-) AS m(id, signature, supplier_code, supplier_name, sheet, data_start_row, col_article, col_name, col_unit, col_price_base, col_price_rrts, brand_column, nds_included, nds_rate, created_at)
+SELECT s_suppkey AS id, concat(substring('abcde', CAST(s_suppkey % 5 AS INT) + 1, 1), '.csv') AS signature,
+  concat('sup_', CAST(s_suppkey AS STRING)) AS supplier_code, s_name AS supplier_name,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'Price' ELSE 'price' END AS sheet, 2 AS data_start_row, 2 AS col_article, 3 AS col_name, 4 AS col_unit,
+  CASE WHEN s_suppkey % 5 = 1 THEN 6 ELSE 5 END AS col_price_base, CASE WHEN s_suppkey % 5 = 1 THEN 5 ELSE 6 END AS col_price_rrts,
+  CASE WHEN s_suppkey % 5 <> 1 THEN 8 END AS brand_column, s_suppkey % 5 <> 1 AS nds_included, 0.25E0 AS nds_rate,
+  concat('2024-', lpad(CAST(1 + s_suppkey % 12 AS STRING), 2, '0'), '-01') AS created_at
+FROM {supplier}
 """
 
 SPARK["v_word_boxes"] = """

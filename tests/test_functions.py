@@ -18,7 +18,10 @@ CASES = [
     (X.strip_subitem, "2/ X", "X"),
     (X.normalize, " «abc» (x) – y  z ", "ABC X - Y Z"),
     (X.normalize, "кабель Ф1.2", "КАБЕЛЬ Ф1.2"),
-    (X.normalize, "кабель №1.2", "КАБЕЛЬ"),
+    (X.normalize, "кабель №1.2", "КАБЕЛЬ №1.2"),
+    (X.normalize, "lamp x w0.5", "LAMP X"),
+    (X.normalize, "ABC -1.5", "ABC -1.5"),
+    (X.normalize, "ABC #2.5", "ABC #2.5"),
     (X.normalize, None, ""),
     (X.strip_cyrillic, "АБ12-X", "12-X"),
     (X.strip_cyrillic, "АБ1", ""),
