@@ -4,15 +4,15 @@ Every stage gives candidates (item_id, product_id, score, method).  A stage only
 sees the items that earlier stages left over.  Equality stages are equi-joins on
 normalised keys; containment is an equi-join on the rarest 3-gram of the shorter
 string (which any containing string has), then the exact test; similarity compares
-the distinct query texts, in blocks of bounded size, with all catalog rows.
+the distinct texts of both sides, block by block within bands of length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +20,12 @@ from matchloom.functions import lexicons as L
 from matchloom.functions import similarity
 from matchloom.functions import text as X
 from matchloom.operators.catalog import active, keyed
+from matchloom.operators.stored import stored
 
 CANDIDATE = "item_id long, product_id long, score double, method string"
-#: Distinct query texts that one pass of a similarity stage holds.
-QUERY_BLOCK = 20_000
+#: Distinct texts of the two sides that a task of a similarity stage compares, and its most tasks.
+QUERY_BLOCK, KEY_BLOCK = 500, 4000
+MOST_TASKS = 20_000
 STAGE_ORDER = ("exact", "code_exact", "exact_nocyr", "name_exact", "contains", "contains_nocyr", "name_contains", "fuzzy_article", "fuzzy_nocyr", "fuzzy_name_from_article", "name_fuzzy", "name_partial")
 
 
@@ -129,44 +131,53 @@ def name_contains(items, products):
     return contains_stage(long, products, ("long_name",), "norm_name", L.NAME_CONTAINS_SCORE, "name_contains")
 
 
-def similar_texts(queries: DataFrame, keys: DataFrame, cutoff: float, limit: int, kind: str = "token_sort", block: int = QUERY_BLOCK) -> DataFrame:
+def _blocks(texts: DataFrame, text: str, name: str, size: int) -> DataFrame:
+    """(band, ``name``: number of a block, rows): the rows (band, text, ...) of each band in
+    hashed blocks of about ``size``."""
+    counts = texts.groupBy("band").agg(F.ceil(F.count("*") / size).alias("_n"))
+    dealt = texts.join(counts, "band").withColumn(name, F.pmod(F.xxhash64(text), F.col("_n")))
+    return dealt.groupBy("band", name).agg(F.collect_list(F.struct(*[c for c in texts.columns if c != "band"])).alias(f"{name}_rows"))
+
+
+def _score_blocks(batches, cutoff: float, limit: int, kind: str):
+    """Rows (queries, keys with product ids) -> each query's ``limit`` best products among them."""
+    for pdf in batches:
+        rows = []
+        for queries, keys in zip(pdf["q_rows"], pdf["k_rows"]):
+            names, ids = [r["key"] for r in keys], [r["ids"].tolist() for r in keys]
+            index = similarity.TokenSortIndex(names) if kind == "token_sort" else similarity.PartialIndex(names)
+            for r in queries:
+                at, scores = index.search(r["query"], cutoff)
+                best = sorted((-s, i) for k, s in zip(at.tolist(), scores.tolist()) for i in ids[k])[:limit]
+                rows += [(r["query"], i, -s) for s, i in best]
+        yield pd.DataFrame(rows, columns=["query", "product_id", "score"])
+
+
+def similar_texts(queries: DataFrame, keys: DataFrame, cutoff: float, limit: int, kind: str = "token_sort", q_block: int = QUERY_BLOCK, k_block: int = KEY_BLOCK) -> DataFrame:
     """(query, product_id, score): for each distinct query the ``limit`` best products.
 
-    ``keys`` is (product_id, key).  Queries are taken in hashed blocks of about
-    ``block`` texts; a task compares a block with its batch of products and passes
-    on its own best ``limit``; ties go to the smaller product id.
+    ``keys`` is (product_id, key).  Distinct texts of either side are dealt into blocks;
+    for token-sort scores by bands of length first, as a score of at least ``cutoff`` bounds
+    the ratio of lengths, so a query meets the keys of three bands.  A task scores a block
+    of queries with a block of keys and passes on ``limit`` a query; nothing is collected.
+    Ties go to the smaller product id.
     """
-    distinct = queries.select("query").where("query <> ''").distinct()
-    first = [r.query for r in distinct.limit(block + 1).collect()]
-    parts = 1 if len(first) <= block else -(-distinct.count() // block)
-    out = None
-    for part in range(parts):
-        texts = first if parts == 1 else [r.query for r in distinct.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part).collect()]
-
-        def run(batches, texts=texts):
-            for pdf in batches:
-                pdf = pdf.sort_values("product_id", kind="stable")
-                ids, names = pdf["product_id"].tolist(), pdf["key"].fillna("").tolist()
-                kinds = list(dict.fromkeys(names))
-                index = similarity.TokenSortIndex(kinds) if kind == "token_sort" else None
-                by_text: dict[str, list[int]] = {}
-                for i, name in zip(ids, names):
-                    by_text.setdefault(name, []).append(i)
-                rows = []
-                for q in texts:
-                    if index is not None:
-                        at, scores = index.search(q, cutoff)
-                        found = list(zip(at.tolist(), scores.tolist()))
-                    else:
-                        found = [(k, s) for k, x in enumerate(kinds) if x and (s := similarity.partial_ratio(q, x, cutoff))]
-                    best = sorted((-s, i) for k, s in found for i in by_text[kinds[k]][:limit])[:limit]
-                    rows += [(q, i, -s) for s, i in best]
-                yield pd.DataFrame(rows, columns=["query", "product_id", "score"])
-
-        found = keys.mapInPandas(run, "query string, product_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    place = Window.partitionBy("query").orderBy(F.desc("score"), "product_id")
-    return out.withColumn("r", F.row_number().over(place)).where(F.col("r") <= limit).drop("r")
+    place = Window.partitionBy("key").orderBy("product_id")
+    named = keys.where("key <> ''").withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= limit).groupBy("key").agg(F.collect_list("product_id").alias("ids"))
+    asked = queries.select("query").where("query <> ''").distinct()
+    if kind == "token_sort":
+        step = math.log((200 - cutoff) / cutoff) * (1 + 1e-9)
+        band = lambda c: F.floor(F.log(F.length(c).cast("double")) / step)
+        named, asked = named.withColumn("band", band("key")), asked.withColumn("band", F.explode(F.sequence(band("query") - 1, band("query") + 1)))
+    else:
+        named, asked = named.withColumn("band", F.lit(0).cast("long")), asked.withColumn("band", F.lit(0).cast("long"))
+    q, k = _kept(_blocks(asked, "query", "q", q_block)), _kept(_blocks(named, "key", "k", k_block))
+    pairs = q.select("band", "q").join(k.select("band", "k"), "band")
+    tasks = min(max(1, pairs.count()), MOST_TASKS)
+    both = pairs.join(q, ["band", "q"]).join(k, ["band", "k"]).repartition(tasks, "band", "q", "k").select("q_rows", "k_rows")
+    out = both.mapInPandas(lambda it: _score_blocks(it, cutoff, limit, kind), "query string, product_id long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "product_id")
+    return out.withColumn("r", F.row_number().over(best)).where(F.col("r") <= limit).drop("r")
 
 
 def _similar(items, products, item_key, product_key, cutoff, limit, method, kind="token_sort"):
@@ -217,8 +228,8 @@ def _without(candidates: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Kept on disk, so that later stages read it instead of planning and running it again."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    """Written, so that later stages read it instead of planning and running it again."""
+    return stored(df, "match-stage")
 
 
 def _pairs(*candidates: DataFrame) -> DataFrame:

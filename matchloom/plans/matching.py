@@ -161,8 +161,15 @@ def _cascade(t):
     return t._held["v_cascade"]
 
 
-@query("mat_cascade", "SELECT item_id, product_id, score, method, rank::INT AS rank FROM {v_cascade}")
+@query("mat_cascade")
 def mat_cascade(t):
+    """All stages of the cascade over all lines."""
+    return M.cascade(t("v_spec_items"), t("v_catalog"), nocyr=True).withColumn("score", F.round("score", 6))
+
+
+@query("mat_cascade_equal", "SELECT item_id, product_id, score, method, rank::INT AS rank FROM {v_cascade}")
+def mat_cascade_equal(t):
+    """The stages that SQL can express."""
     return _cascade(t)
 
 

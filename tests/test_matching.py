@@ -119,3 +119,76 @@ def test_upsert_twice_is_the_same(spark):
     once = H.upsert_catalog(cat, rows, "ss")
     twice = H.upsert_catalog(once.drop("change"), rows, "ss")
     assert {(r.id, r.article, r.name, r.segment) for r in once.collect()} == {(1, "A", "last", "ss"), (2, "A", "other", "os"), (3, "N", "new", "ss")} == {(r.id, r.article, r.name, r.segment) for r in twice.collect()}
+
+
+def plain_cascade(items, catalog, keep=5):
+    """The whole cascade one line at a time, over prepared rows."""
+    from matchloom.functions import similarity as Y
+
+    def ratio(a, b):
+        return min(len(a), len(b)) / max(len(a), len(b))
+
+    def best(key, text, score, cutoff, limit):
+        found = [(-s, p["id"]) for p in catalog if p[key] and (s := score(text, p[key])) >= cutoff - 1e-9 and s] if text else []
+        return {i: -s for s, i in sorted(found)[:limit]}
+
+    def contained(texts, key):
+        seen, ok = set(), set()
+        for t in {x for x in texts if x}:
+            for p in catalog:
+                if p[key] and (t in p[key] or p[key] in t):
+                    seen.add(p["id"])
+                    if ratio(t, p[key]) >= 0.7:
+                        ok.add(p["id"])
+        return ok, seen
+
+    def equal(key, text):
+        return min((p["id"] for p in catalog if text and p[key] == text), default=None)
+
+    out = {}
+    for r in items:
+        found, q, name = [], r["q"], r["q_name"] if len(r["q_name"]) >= 20 else ""
+        hit = next((i for i in (equal("norm_art", q), equal("norm_art", r["q_brandless"])) if i is not None), None)
+        if hit is not None:
+            out[r["item_id"]] = [(hit, 100.0, "exact")]
+            continue
+        ok, _ = contained((q, r["q_brandless"]), "norm_art")
+        found += [(i, 95.0, "contains") for i in ok]
+        known = set(ok)
+        for text, key, score, cutoff, limit, method in (
+            (q, "norm_art", Y.token_sort_ratio, 80, 10, "fuzzy_article"), (r["q_brandless"], "norm_art", Y.token_sort_ratio, 80, 10, "fuzzy_article"),
+            (q, "norm_name", Y.partial_ratio, 90, 5, "fuzzy_name_from_article"),
+        ):
+            more = {i: s for i, s in best(key, text, score, cutoff, limit).items() if i not in known}
+            known |= set(more)
+            found += [(i, s, method) for i, s in more.items()]
+        if not found and name:
+            same = equal("norm_name", name)
+            if same is not None:
+                found = [(same, 99.0, "name_exact")]
+            else:
+                ok, seen = contained((name,), "norm_name")
+                found = [(i, 93.0, "name_contains") for i in ok]
+                fuzzy = {i: s for i, s in best("norm_name", name, Y.token_sort_ratio, 93, 10).items() if i not in seen}
+                found += [(i, s, "name_fuzzy") for i, s in fuzzy.items()]
+                words = set(name.split(" "))
+                names = {p["id"]: set(p["norm_name"].split(" ")) for p in catalog}
+                found += [(i, s, "name_partial") for i, s in best("norm_name", name, Y.partial_ratio, 96, 10).items() if i not in seen and i not in fuzzy and len(words & names[i]) / len(words) >= 0.4]
+        found.sort(key=lambda x: (-round(x[1], 6), M.STAGE_ORDER.index(x[2]), x[0]))
+        if found:
+            out[r["item_id"]] = found[: 1 if found[0][1] >= 100 else keep]
+    return out
+
+
+def test_whole_cascade_equals_one_line_at_a_time(spark, sf):
+    from matchloom.operators.catalog import active, keyed
+    from matchloom.plans.views import Tables
+
+    t = Tables(spark, sf)
+    items = spark.createDataFrame(t("v_spec_items").where("item_id % 30 = 1").collect(), t("v_spec_items").schema).drop("kaznisa_code_raw").withColumn("kaznisa_code_raw", F.lit(""))
+    cat = spark.createDataFrame(t("v_catalog").collect(), t("v_catalog").schema)
+    want = plain_cascade([r.asDict() for r in M.prepared(items).collect()], [r.asDict() for r in keyed(active(cat)).collect()])
+    got = {}
+    for r in M.cascade(items, cat).orderBy("item_id", "rank").collect():
+        got.setdefault(r.item_id, []).append((r.product_id, round(r.score, 6), r.method))
+    assert len(got) > 100 and got == {i: [(p, round(s, 6), m) for p, s, m in x] for i, x in want.items()}
