@@ -66,7 +66,7 @@ def doc_scanned(t):
     return G.scanned(t("v_pages").withColumn("text", F.when(C("doc_id") % 3 != 0, C("text"))))
 
 
-@query("tbl_non_spec", "SELECT doc_id, page, table_no, row_no FROM {v_table_cells} WHERE (doc_id, page, table_no) NOT IN (SELECT (doc_id, page, table_no) FROM {v_table_cells} WHERE row_no < 4 AND (contains(lower(array_to_string(cells, ' ')), 'section') OR contains(lower(array_to_string(cells, ' ')), 'pnl-')))")
+@query("tbl_non_spec", "SELECT doc_id, page, table_no, row_no FROM {v_table_cells} ANTI JOIN (SELECT DISTINCT doc_id, page, table_no FROM {v_table_cells} WHERE row_no < 4 AND (contains(lower(array_to_string(cells, ' ')), 'section') OR contains(lower(array_to_string(cells, ' ')), 'pnl-'))) USING (doc_id, page, table_no)")
 def tbl_non_spec(t):
     return B.spec_tables(t("v_table_cells"), ("section", "pnl-")).select("doc_id", "page", "table_no", "row_no")
 

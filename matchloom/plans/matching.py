@@ -113,10 +113,10 @@ def _summed(found):
     return found.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.min_by("product_id", F.struct(-C("score"), "product_id")).alias("product_id"))
 
 
-@query("mat_name_contains")
+@query("mat_name_contains", _contains("q_name", "norm_name", 93, "name_contains", where="length(q_name) >= 20 AND item_id NOT IN (SELECT item_id FROM {v_equal})"))
 def mat_name_contains(t):
     items, products = _few(t)
-    return _summed(M.name_contains(items, products)[0])
+    return M.name_contains(items, products)[0]
 
 
 @query("mat_article_fuzzy")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,60 @@ def test_diff_golden_and_apply_is_refused_twice(spark):
         H.apply_diff(cat, diff, status="applied")
 
 
+def test_inactive_products_are_new_and_the_order_of_rows_counts_not_their_place(spark):
+    schema = "id long, article string, name string, brand string, rrts double, opt double, partner double, segment string, is_active boolean"
+    cat = spark.createDataFrame([(1, "A", "n", "b", 1.0, 1.0, None, "ss", True), (2, "I", "n", "b", 1.0, None, None, "ss", False), (3, "D", "n", "b", 1.0, None, None, "ss", True), (4, "D", "n", "b", 2.0, None, None, "os", True), (5, "E", "n", "b", 2.0, None, None, "os", False)], schema)
+    rows = [(k, "A", "n", "b", 5.0 if k == 3 else None, 100.0 + k, None, None) for k in range(1000)] + [(1000, "I", "n", "b", None, 7.0, None, None), (1001, "I", "m", "b", None, 8.0, None, None)]
+    inc = spark.createDataFrame(rows, "row_no long, article string, name string, brand string, price_base double, price_rrts double, price_opt double, price_partner double")
+    for parts in (1, 5, 16):
+        diff = H.price_diff(cat, inc.repartition(parts), mark_missing=True)
+        kinds = [(r.article, r.kind) for r in diff.where("article <> 'A'").collect()]
+        assert sorted(kinds) == [("D", "deleted"), ("I", "new"), ("I", "new")]
+        after = sorted((r.id, r.article, r.name, r.rrts, r.opt, r.is_active) for r in H.apply_diff(cat, diff).collect())
+        assert after == [(1, "A", "n", 1099.0, 5.0, True), (2, "I", "n", 1.0, None, False), (3, "D", "n", 1.0, None, False), (4, "D", "n", 2.0, None, False), (5, "E", "n", 2.0, None, False), (6, "I", "m", 8.0, None, True)]
+
+
+def test_numbers_are_gapless_and_repeatable(spark):
+    rows = spark.range(5000).selectExpr("concat('k', id) AS k")
+    top = spark.createDataFrame([(10,)], "m long")
+    got = {r.k: r.n for r in H.numbered(rows.repartition(7), "k", "n", top).collect()}
+    assert sorted(got.values()) == list(range(11, 5011))
+    assert got == {r.k: r.n for r in H.numbered(rows.repartition(2), "k", "n", top).collect()}
+
+
+def test_partial_index_loses_nothing():
+    rng = random.Random(11)
+    texts = sorted({"".join(rng.choice("AB-12 x") for _ in range(rng.randrange(1, 30))) for _ in range(300)})
+    index = Y.PartialIndex(texts)
+    for cutoff in (80, 90, 96):
+        for _ in range(60):
+            q = "".join(rng.choice("AB-12 x") for _ in range(rng.randrange(1, 25)))
+            at, scores = index.search(q, cutoff)
+            want = {k: s for k, t in enumerate(texts) if t and (s := slow_partial(q, t)) >= cutoff - 1e-9}
+            assert dict(zip(at.tolist(), np.round(scores, 6).tolist())) == {k: round(s, 6) for k, s in want.items()}
+
+
+def slow_partial(a, b):
+    a, b = sorted((a, b), key=len)
+    m, n = len(a), len(b)
+    return max([100.0 if a in b else 0.0] + [Y.indel_ratio(a, b[max(0, s) : min(n, s + m)]) for s in range(1 - m, n)])
+
+
+def test_top_k_with_many_equal_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 8)).astype("f4")
+    rows = [(int(i), "ss", base[i % 40 if i % 3 else 0].tolist()) for i in rng.permutation(3000)]
+    vectors = spark.createDataFrame(rows, "id long, segment string, embedding array<float>")
+    queries = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] % 300 == 0], "query_id long, embedding array<float>")
+    matrix = {i: np.array(v, dtype=float) / np.linalg.norm(np.array(v, dtype=float)) for i, _, v in rows}
+    got = {}
+    for r in V.top_k(queries, vectors, exclude_self=True).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id))
+    for q, found in got.items():
+        want = sorted((-round(float(matrix[q] @ v), 9), i) for i, v in matrix.items() if i != q)[:8]
+        assert [i for _, i in sorted(found)] == [i for _, i in want]
+
+
 def test_upsert_twice_is_the_same(spark):
     cat = catalog(spark, [(1, "A", "old", "", "ss"), (2, "A", "other", "", "os")])
     rows = spark.createDataFrame([(1, "A", "first"), (2, "A", "last"), (3, "N", "new"), (4, None, "none")], "row_no int, article string, name string")
