@@ -240,23 +240,23 @@ def mat_apply_choice(t):
 
 @query("mat_search_merge", """
 WITH db AS (SELECT id, 0 AS part FROM {v_catalog} WHERE is_active AND contains(lower(article), '-7-1')),
-sem AS (SELECT id, 1 AS part FROM {v_vectors} WHERE id % 50 = 0 AND id NOT IN (SELECT id FROM db))
+sem AS (SELECT id, 1 AS part FROM {v_vectors} WHERE id % 20 = 0 AND id NOT IN (SELECT id FROM db))
 SELECT id, part FROM db UNION ALL SELECT id, part FROM sem WHERE (SELECT count(*) FROM db) < 5
 """)
 def mat_search_merge(t):
     db = K.active(t("v_catalog")).where(F.contains(F.lower("article"), F.lit("-7-1"))).select("id")
-    return R.merge_search(db, t("v_vectors").where("id % 50 = 0").select("id"))
+    return R.merge_search(db, t("v_vectors").where("id % 20 = 0").select("id"))
 
 
 @query("mat_lookup_macro", """
-WITH q AS (SELECT DISTINCT lower(name) AS w FROM {v_catalog} WHERE id % 97 = 0 UNION SELECT lower(substring(article, 1, length(article) - 1)) FROM {v_catalog} WHERE id % 97 = 1),
+WITH q AS (SELECT DISTINCT lower(name) AS w FROM {v_catalog} WHERE id % 20 = 0 UNION SELECT lower(substring(article, 1, length(article) - 1)) FROM {v_catalog} WHERE id % 20 = 1),
 eq AS (SELECT w, min(num) AS num FROM q JOIN {v_catalog} ON lower(article) = w OR lower(name) = w GROUP BY 1),
 part AS (SELECT w, num FROM q JOIN {v_catalog} ON contains(lower(article), w) OR contains(lower(name), w) WHERE w NOT IN (SELECT w FROM eq))
 SELECT w AS query, num, TRUE AS whole FROM eq UNION ALL SELECT w, num, FALSE FROM part
 """)
 def mat_lookup_macro(t):
     cat = t("v_catalog")
-    queries = cat.where("id % 97 = 0").select(F.lower("name").alias("query")).union(cat.where("id % 97 = 1").select(F.lower(F.expr("substring(article, 1, length(article) - 1)")))).distinct()
+    queries = cat.where("id % 20 = 0").select(F.lower("name").alias("query")).union(cat.where("id % 20 = 1").select(F.lower(F.expr("substring(article, 1, length(article) - 1)")))).distinct()
     return R.workbook_lookup(queries, cat)
 
 
