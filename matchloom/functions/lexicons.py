@@ -74,6 +74,8 @@ METHOD_LABELS = {
 VECTOR_PREFIX, VECTOR_LABEL = "ai", "ИИ"
 SHEET_NAMES = ("БД", "бд", "BD", "bd", "База", "Sheet1")
 PEOPLE_HEADERS, BRAND_HEADERS = ("Фамилия, имя", "ФИО"), ("Бренд", "Brand")
+#: VAT of a stored layout that names no rate.
+MAPPED_VAT = 0.12
 MAPPING_KEYS = ("supplier_code", "supplier_name", "sheet", "header_row", "data_start_row", "columns")
 #: Sheets that name a vendor at once, then (sheet, row, column, keyword, vendor) rules in order.
 VENDOR_SHEETS = (("Продукция EKF", "ekf"), ("Прайс ДКС", "dkc"), ("Тариф 2026", "schneider"))

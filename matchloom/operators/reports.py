@@ -12,12 +12,18 @@ from matchloom.functions import lexicons as L
 
 def ordered_places(rows: DataFrame, leading: str, order: Sequence[str], block: int = 4096) -> DataFrame:
     """Gapless places from 1 in the order of ``order``, whose first column is the number
-    ``leading``: blocks of it are numbered in parallel and start after the ones before."""
-    blocked = rows.withColumn("_block", F.floor(F.col(leading) / block))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocked.groupBy("_block").count().select("_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
-    return blocked.withColumn("_rank", rank).join(starts, "_block").withColumn("place", (F.col("_rank") + F.col("_start")).cast("int")).drop("_block", "_rank", "_start")
+    ``leading``: blocks of it are numbered in parallel and start after the ones before.
+
+    Rows without a number come last.  They, and those whose number is 0, may be many, so
+    they are numbered in blocks of the second column, a whole number.
+    """
+    no, tie, keys = F.col(leading), F.col(order[1]), ["_late", "_block", "_some", "_tie"]
+    plain = F.coalesce(no != 0, F.lit(False))
+    blocked = rows.withColumns({"_late": no.isNull(), "_block": F.coalesce(F.floor(no / block), F.lit(0)), "_some": plain, "_tie": F.when(plain, 0).otherwise(F.floor(tie / block))})
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocked.groupBy(*keys).count().select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return blocked.withColumn("_rank", rank).join(starts, keys).withColumn("place", (F.col("_rank") + F.col("_start")).cast("int")).drop(*keys, "_rank", "_start")
 
 
 def match_stats(matches: DataFrame) -> DataFrame:

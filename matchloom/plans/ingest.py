@@ -46,8 +46,8 @@ def srt_constants(t):
     return brands.select("kind", "name", place).unionByName(people.select("kind", "name", place))
 
 
-def _cells(t):
-    return P.cells_of(t("v_pricelist_rows"), 8)
+def _cells(t, width=8):
+    return P.cells_of(t("v_pricelist_rows"), width)
 
 
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY created_at DESC, id DESC) AS r FROM {v_mapping}) WHERE r = 1"
@@ -58,9 +58,16 @@ def _mapped(x: str) -> str:
     return f"CASE WHEN {v} <> 0 THEN round({v} / CASE WHEN nds_included THEN 1 + nds_rate ELSE 1.0::DOUBLE END, 2) END"
 
 
-@query("src_pricelist_mapped", f"SELECT file, row_no, c2 AS article, c3 AS name, coalesce(nullif(c4, ''), 'шт') AS unit, CASE WHEN brand_column = 8 THEN c8 END AS brand, CASE WHEN col_price_base = 5 THEN {_mapped('c5')} ELSE {_mapped('c6')} END AS price_base, CASE WHEN col_price_rrts = 5 THEN {_mapped('c5')} ELSE {_mapped('c6')} END AS price_rrts FROM {{v_pricelist_rows}} p JOIN ({_LATEST}) m ON m.signature = p.file AND row_no >= data_start_row WHERE coalesce(c2, '') <> ''")
+@query("src_pricelist_mapped", f"""
+SELECT file, row_no, c2 AS article, c3 AS name, coalesce(nullif(c4, ''), 'шт') AS unit, {S.safe_int('c9')} AS multiplicity, CASE WHEN brand_column = 8 THEN c8 ELSE m.brand END AS brand,
+  CASE WHEN col_price_base = 5 THEN {_mapped('c5')} ELSE {_mapped('c6')} END AS price_base, CASE WHEN col_price_rrts = 5 THEN {_mapped('c5')} ELSE {_mapped('c6')} END AS price_rrts,
+  {_mapped('c10')} AS price_opt, CASE WHEN col_price_partner = 11 THEN {_mapped('c11')} END AS price_partner, nullif({S.clean('c12')}, '') AS ntin, nullif({S.clean('c13')}, '') AS status,
+  c7 AS category, CASE WHEN col_comment = 14 THEN {S.clean('c14')} END AS comment
+FROM {{v_pricelist_rows}} p JOIN ({_LATEST}) m ON m.signature = p.file AND row_no >= data_start_row
+WHERE coalesce(c2, '') <> '' AND NOT (coalesce(skip_row_if_empty_col, 0) = 6 AND coalesce(c6, '') = '')
+""")
 def src_pricelist_mapped(t):
-    return P.parse_mapped(_cells(t), P.latest_mappings(t("v_mapping")))
+    return P.parse_mapped(_cells(t, 14), P.latest_mappings(t("v_mapping")))
 
 
 @query("src_mapping_lookup", f"SELECT f.file, m.id, m.supplier_code FROM (SELECT DISTINCT file FROM {{v_pricelist_rows}} UNION ALL SELECT 'new.csv') f LEFT JOIN ({_LATEST}) m ON m.signature = f.file AND m.signature <> 'b.csv'")
@@ -89,6 +96,12 @@ def src_signature(t):
 _RULES = (("Price", 3, 2, "a", "vendor_b"), ("PRICE", 3, 3, "e", "vendor_c"), ("Price", 2, 3, "e", "vendor_a"))
 
 
+@query("src_signature_profile")
+def src_signature_profile(t):
+    """The MD5 of each file's profile (its JSON is Spark's: no SQL; tested on a small table)."""
+    return P.signature(P.snapshot(_cells(t)))
+
+
 @query("src_supplier_detect", "SELECT file, arg_min(s, k) AS supplier FROM (SELECT file, 'vendor_b' AS s, 1 AS k FROM {v_pricelist_rows} WHERE row_no = 3 AND contains(lower(c2), 'a') UNION ALL SELECT file, 'vendor_c', 2 FROM {v_pricelist_rows} WHERE row_no = 3 AND contains(lower(c3), 'e') UNION ALL SELECT file, 'vendor_a', 3 FROM {v_pricelist_rows} WHERE row_no = 2 AND contains(lower(c3), 'e')) GROUP BY 1")
 def src_supplier_detect(t):
     return P.detect_suppliers(_cells(t), _RULES, ())
@@ -97,14 +110,42 @@ def src_supplier_detect(t):
 _PRICE_BASE = f"{S.price('c5')}"
 
 
-@query("src_vendor_profiles", f"SELECT 'himel' AS vendor, file, row_no, {S.clean('c2')} AS article, {_PRICE_BASE} AS price_base FROM {{v_pricelist_rows}} WHERE row_no >= 4 AND coalesce(c2, '') <> '' UNION ALL SELECT 'iek', file, row_no, {S.clean('c2')}, round({_PRICE_BASE} / (1 + 0.12::DOUBLE), 2) FROM {{v_pricelist_rows}} WHERE row_no >= 9 AND coalesce(c2, '') <> '' UNION ALL SELECT 'legrand', file, row_no, CASE WHEN regexp_matches(c2, '^[0-9]+$') AND length(c2) < 6 THEN lpad(c2, 6, '0') ELSE c2 END, {_PRICE_BASE} FROM {{v_pricelist_rows}} WHERE row_no >= 5 AND coalesce(c2, '') <> ''")
+def _vendor(vendor: str, start: int, vat: float = 0.0, article: str = "c1", name: str = "c2", unit: str = "NULL", more: str = "", where: str = "", **columns: str) -> str:
+    """SQL of one vendor's items, from the columns named."""
+    net = lambda c: f"round({S.price(c)} / (1 + {vat}::DOUBLE), 2)" if vat else S.price(c)
+    some = lambda f: f"nullif({S.clean(columns[f])}, '')" if f in columns else "NULL::VARCHAR"
+    prices = ", ".join(f"{net(columns[p]) if p in columns else 'NULL::DOUBLE'} AS {p}" for p in P.PRICES)
+    texts = ", ".join(f"{some(f)} AS {f}" for f in ("ntin", "status", "category", "comment"))
+    pack = S.safe_int(columns["pack"]) if "pack" in columns else "NULL::BIGINT"
+    return (
+        f"SELECT * FROM (SELECT '{vendor}' AS file, row_no, {S.clean(article)} AS article, {S.clean(name)} AS name, coalesce(nullif({S.clean(unit)}, ''), 'шт') AS unit, {pack} AS multiplicity, "
+        f"{columns.get('brand', repr(vendor))} AS brand, {prices}, {texts}{more} FROM {{v_vendor_rows}} WHERE file = '{vendor}' AND row_no >= {start} {where}) WHERE article <> ''"
+    )
+
+
+def _discounted(vendor: str, sheet: str, last: int, least: str, items: str, group: str, value: str) -> str:
+    listed = f"SELECT {group} AS category, max(TRY_CAST({value} AS DOUBLE)) AS discount FROM {{v_vendor_rows}} WHERE file = '{vendor}' AND sheet = '{sheet}' AND row_no <= {last} AND TRY_CAST({value} AS DOUBLE) {least} GROUP BY 1"
+    return f"SELECT i.* REPLACE (coalesce(price_partner, round(price_base * (1 - discount), 2)) AS price_partner) FROM ({items} AND name <> '') i LEFT JOIN ({listed}) d USING (category)"
+
+
+_ITEM = "file, row_no, article, name, unit, multiplicity, brand, price_base, price_rrts, price_opt, price_partner, ntin, status, category, comment"
+_PADDED = "CASE WHEN regexp_matches(trim({x}), '^[0-9]+$') THEN lpad(CAST(CAST({x} AS BIGINT) AS VARCHAR), 6, '0') ELSE {x} END"
+_HIMEL = _vendor("himel", 4, unit="c3", pack="c4", price_base="c5", comment="c6", ntin="c7", brand="'Himel'")
+_EKF = _vendor("ekf", 13, 0.12, unit="c6", price_base="c7", price_opt="c8", price_rrts="c9", price_partner="c10", pack="c11", brand="'EKF'", more=", sheet") + " AND name <> '' QUALIFY row_number() OVER (PARTITION BY article ORDER BY sheet = 'Новинки', row_no) = 1"
+_IEK = _vendor("iek", 9, 0.12, category="c4", unit="c8", ntin="c9", status="c10", pack="c13", price_base="c15", price_rrts="c16", price_opt="c17", price_partner="c20", brand="'IEK'") + " AND name <> ''"
+_DKC_ROWS = "last_value(CASE WHEN trim(coalesce(c6, '')) = '' THEN nullif(c2, '') END IGNORE NULLS) OVER (ORDER BY row_no)"
+_DKC = _vendor("dkc", 17, article="c6", name="c8", unit="c9", pack="c10", price_rrts="c11", price_base="c12", brand="'DKC'", more=f", {_DKC_ROWS} AS above").replace("SELECT * FROM", "SELECT * REPLACE (above AS category) FROM", 1) + " AND name <> ''"
+_LEGRAND = _discounted("legrand", "Заказ", 10, "> 0", _vendor("legrand", 5, article=_PADDED.format(x="coalesce(c3, c2)"), name="c4", category="c6", brand="coalesce(nullif(c7, ''), 'Legrand')", unit="c15", price_base="c16", where="AND sheet = 'Тариф'"), "c4", "c5")
+_SCHNEIDER = _discounted("schneider", "Тариф 2026", 6, "IS NOT NULL", _vendor("schneider", 8, 0.12, price_base="c3", price_partner="c4", unit="c5", category="c6", brand="'Schneider Electric'"), "c1", "c2")
+
+
+@query("src_vendor_profiles", " UNION ALL ".join(f"SELECT {_ITEM} FROM ({x})" for x in (_HIMEL, _EKF, _IEK, _DKC, _LEGRAND, _SCHNEIDER)))
 def src_vendor_profiles(t):
-    """Presets with the fixture's sheet and columns in place of the vendors' own."""
+    """Each vendor's file by that vendor's own layout."""
+    rows = P.cells_of(t("v_vendor_rows"), 20)
     out = None
-    for vendor in ("himel", "iek", "legrand"):
-        _, start, vat, brand, _ = P.VENDORS[vendor]
-        layout = ("Price", start, vat, brand, {"article": 2, "name": 3, "unit": 4, "price_base": 5, "brand": 8})
-        part = P.parse_vendor(_cells(t), vendor, layout=layout).select(F.lit(vendor).alias("vendor"), "file", "row_no", "article", "price_base")
+    for vendor in P.VENDORS:
+        part = P.parse_vendor(rows.where(C("file") == vendor), vendor)
         out = part if out is None else out.unionByName(part)
     return out
 

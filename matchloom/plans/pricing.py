@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 from matchloom.functions import lexicons as L
 from matchloom.operators import pricing as P
 from matchloom.operators import review as R
+from matchloom.operators.stored import fresh_path
 from matchloom.plans.matching import matches
 from matchloom.plans.registry import query
 from matchloom.plans.views import DUCK
+from matchloom.sources import writers as W
 
 C = F.col
 
@@ -126,9 +128,23 @@ def fn_reference_price(t):
     return coefficients(t).select("item_id", p.alias("price"), (p * C("qty")).alias("total"))
 
 
-@query("sink_quote", "SELECT doc_id, item_id, nullif(brand, '') AS brand, coalesce(nullif(article, ''), nullif(article_raw, '')) AS article, coalesce(nullif(product_name, ''), nullif(name_raw, '')) AS name, coalesce(nullif(product_unit, ''), nullif(unit, '')) AS unit, coalesce(nullif(qty, 0), 1.0::DOUBLE) AS qty, nullif(quote, 0) AS price, nullif(quote_sum, 0) AS sum FROM {v_priced} WHERE status <> 'heading'")
+_WITH_PRODUCT = "coalesce(brand, '') <> '' AND coalesce(article, '') <> ''"
+
+
+@query("sink_quote", f"""
+SELECT doc_id, item_id, nullif(brand, '') AS brand, coalesce(nullif(article, ''), nullif(article_raw, '')) AS article, coalesce(nullif(product_name, ''), nullif(name_raw, '')) AS name, coalesce(nullif(product_unit, ''), nullif(unit, '')) AS unit,
+  coalesce(nullif(qty, 0), 1.0::DOUBLE) AS qty, nullif(quote, 0) AS price, nullif(quote_sum, 0) AS sum, CASE WHEN item_id % 7 = 0 THEN concat('see ', name_raw) END AS comment, CASE WHEN item_id % 3 = 1 THEN '10 days' END AS delivery,
+  CASE WHEN {_WITH_PRODUCT} THEN {_REF.format(p='kaznisa')} END AS ref_code_price, CASE WHEN {_WITH_PRODUCT} THEN {_REF.format(p='kaznisa')} * coalesce(nullif(qty, 0), 1) END AS ref_code_sum,
+  CASE WHEN {_WITH_PRODUCT} THEN {_REF.format(p='rrts')} END AS ref_retail_price, CASE WHEN {_WITH_PRODUCT} THEN {_REF.format(p='rrts')} * coalesce(nullif(qty, 0), 1) END AS ref_retail_sum
+FROM {{v_priced}} WHERE status <> 'heading'
+""")
 def sink_quote(t):
-    return P.quote_lines(priced(t))
+    """Quotes as written to the shared folder."""
+    comment = F.when(C("item_id") % 7 == 0, F.concat(F.lit("see "), "name_raw"))
+    delivery = F.when(C("item_id") % 3 == 0, "").when(C("item_id") % 3 == 1, "10 days")
+    path = fresh_path(t.spark, "quotes")
+    W.write_quote(priced(t).withColumns({"comment": comment, "delivery": delivery}), path)
+    return t.spark.read.parquet(path)
 
 
 @query("agg_quote_total", "SELECT doc_id, sum(quote_sum) AS total, count(*) AS n_lines FROM {v_priced} WHERE status <> 'heading' GROUP BY 1")

@@ -2,11 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from matchloom.functions import lexicons as L
 from matchloom.operators import catalog as K
 from matchloom.operators import review as R
 from matchloom.operators import search as Q
+from matchloom.operators.stored import fresh_path
 from matchloom.plans.matching import matches
 from matchloom.plans.registry import query
+from matchloom.sources.writers import write_catalog
 
 C = F.col
 
@@ -66,9 +69,13 @@ def srt_catalog(t):
     return ordered_places(t("v_catalog").where("is_active"), "num", ["num", "id"]).select("id", "num", "article", "place")
 
 
-@query("sink_catalog", "SELECT id, coalesce(CASE WHEN id % 10 <> 0 THEN num END, place) AS num, article FROM (SELECT *, row_number() OVER (ORDER BY num, id)::BIGINT AS place FROM {v_catalog} WHERE is_active)")
-def sink_catalog(t):
-    from matchloom.operators.reports import ordered_places
+_NULLABLE = ", ".join(f"nullif({c}, 0) AS {c}" for c in L.PRICE_FIELDS)
 
-    rows = ordered_places(t("v_catalog").where("is_active"), "num", ["num", "id"])
-    return rows.select("id", F.coalesce(F.when(C("id") % 10 != 0, C("num")), C("place").cast("long")).alias("num"), "article")
+
+@query("sink_catalog", f"SELECT id, coalesce(CASE WHEN id % 10 > 1 THEN num END, place) AS num, article, name, unit, {_NULLABLE}, coalesce(brand, '') AS brand, nullif(multiplicity, 0) AS multiplicity, kaznisa_code FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN id % 10 = 0 THEN 0 WHEN id % 10 > 1 THEN num END NULLS LAST, id)::BIGINT AS place FROM {{v_catalog}} WHERE is_active)")
+def sink_catalog(t):
+    """The catalog as written to the shared folder; some products have no number, or zero."""
+    num = F.when(C("id") % 10 == 0, 0).when(C("id") % 10 > 1, C("num"))
+    path = fresh_path(t.spark, "catalog")
+    write_catalog(t("v_catalog").withColumn("num", num), path)
+    return t.spark.read.parquet(path)

@@ -127,9 +127,49 @@ SELECT CASE WHEN p_partkey % 2 = 0 THEN 'a.csv' ELSE 'b.csv' END AS file, 'Price
   p_name AS c3, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'pcs' END AS c4,
   CASE WHEN p_partkey % 7 = 0 THEN '0' ELSE concat(CAST(p_size AS STRING), ',5') END AS c5,
   CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE concat('1 ', lpad(CAST(p_size AS STRING), 3, '0')) END AS c6,
-  p_type AS c7, p_brand AS c8
+  p_type AS c7, p_brand AS c8,
+  CASE p_partkey % 3 WHEN 0 THEN '10.0' WHEN 1 THEN 'x' ELSE '' END AS c9, concat(CAST(p_size AS STRING), '.25') AS c10,
+  CASE WHEN p_partkey % 11 = 0 THEN 'n/a' ELSE CAST(p_size * 2 AS STRING) END AS c11, CASE WHEN p_partkey % 13 = 0 THEN ' ' ELSE concat('N', CAST(p_partkey AS STRING)) END AS c12,
+  CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE 'stock' END AS c13, concat(' ', p_name, chr(10)) AS c14
 FROM {part}
 """
+#: Rows of six vendors' files, each laid out as that vendor does it; a part belongs to one vendor.
+_VENDOR_ROWS = {
+    "himel": ("'Тариф'", 4, {1: "{article}", 2: "{name}", 3: "{unit}", 4: "{pack}", 5: "{price}", 6: "{note}", 7: "{code}"}),
+    "ekf": ("CASE WHEN p_partkey % 5 = 0 THEN 'Новинки' ELSE 'Продукция EKF' END", 13, {1: "concat('E', CAST(p_partkey % 300 AS STRING))", 2: "{name}", 6: "{unit}", 7: "{price}", 8: "{price2}", 9: "{price3}", 10: "{price4}", 11: "{pack}"}),
+    "iek": ("'Прайс'", 9, {1: "{article}", 2: "{name}", 4: "{group}", 8: "{unit}", 9: "{code}", 10: "{note}", 13: "{pack}", 15: "{price}", 16: "{price2}", 17: "{price3}", 20: "{price4}"}),
+    "dkc": ("'Прайс ДКС'", 17, {2: "CASE WHEN p_partkey % 29 < 3 THEN p_type END", 6: "CASE WHEN p_partkey % 29 >= 3 THEN {article} END", 8: "{name}", 9: "{unit}", 10: "{pack}", 11: "{price2}", 12: "{price}"}),
+    "legrand": ("'Тариф'", 5, {2: "CAST(p_size AS STRING)", 3: "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE {article} END", 4: "{name}", 6: "{group}", 7: "CASE WHEN p_partkey % 5 = 0 THEN p_brand END", 15: "{unit}", 16: "{price}"}),
+    "schneider": ("'Тариф 2026'", 8, {1: "{article}", 2: "{name}", 3: "{price}", 4: "{price2}", 5: "{unit}", 6: "{group}"}),
+}
+_VENDOR_CELLS = {
+    "article": "CASE WHEN p_partkey % 29 = 0 THEN ' ' WHEN p_partkey % 5 = 0 THEN concat('00', CAST(p_partkey % 700 AS STRING)) ELSE concat('V', CAST(p_partkey AS STRING)) END",
+    "name": "CASE WHEN p_partkey % 31 = 0 THEN '' ELSE p_name END",
+    "unit": "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE ' pcs' END",
+    "pack": "CASE p_partkey % 5 WHEN 0 THEN '12.0' WHEN 1 THEN 'x' ELSE CAST(p_size AS STRING) END",
+    "price": "CASE WHEN p_partkey % 7 = 0 THEN '0' ELSE concat(CAST(p_size AS STRING), ' 025,5') END",
+    "price2": "CASE WHEN p_partkey % 11 < 6 THEN NULL ELSE concat(CAST(p_size AS STRING), '.75') END",
+    "price3": "CAST(p_size * 3 AS STRING)",
+    "price4": "CASE WHEN p_partkey % 13 = 0 THEN '-' ELSE CAST(p_size * 4 AS STRING) END",
+    "group": "concat('G', CAST(p_partkey % 7 AS STRING))",
+    "code": "CASE WHEN p_partkey % 5 = 1 THEN '' ELSE concat('N', CAST(p_size AS STRING)) END",
+    "note": "CASE WHEN p_partkey % 5 = 2 THEN NULL ELSE concat(p_type, chr(10), 'x') END",
+}
+
+
+def _vendor_rows() -> str:
+    wide = lambda cols: ", ".join(f"{cols.get(k, 'CAST(NULL AS STRING)')} AS c{k}" for k in range(1, 21))
+    parts = [
+        f"SELECT '{vendor}' AS file, {sheet} AS sheet, CAST({start - 1} + floor(p_partkey / 6) AS BIGINT) AS row_no, {wide({k: c.format(**_VENDOR_CELLS) for k, c in cols.items()})} FROM {{part}} WHERE p_partkey % 6 = {k}"
+        for k, (vendor, (sheet, start, cols)) in enumerate(_VENDOR_ROWS.items())
+    ]
+    group, value = "concat('G', CAST(r_regionkey AS STRING))", "CASE r_regionkey WHEN 0 THEN '0' WHEN 1 THEN 'none' ELSE CAST(r_regionkey * 0.125E0 AS STRING) END"
+    parts.append(f"SELECT 'legrand', 'Заказ', CAST(r_regionkey + 1 AS BIGINT), {wide({4: group, 5: value})} FROM {{region}}")
+    parts.append(f"SELECT 'schneider', 'Тариф 2026', CAST(r_regionkey + 2 AS BIGINT), {wide({1: group, 2: value})} FROM {{region}}")
+    return " UNION ALL ".join(parts)
+
+
+SHARED["v_vendor_rows"] = _vendor_rows()
 #: A layout a supplier; five files, so that several layouts compete for one.
 SHARED["v_mapping"] = """
 SELECT s_suppkey AS id, concat(substring('abcde', CAST(s_suppkey % 5 AS INT) + 1, 1), '.csv') AS signature,
@@ -137,6 +177,8 @@ SELECT s_suppkey AS id, concat(substring('abcde', CAST(s_suppkey % 5 AS INT) + 1
   CASE WHEN s_suppkey % 2 = 0 THEN 'Price' ELSE 'price' END AS sheet, 2 AS data_start_row, 2 AS col_article, 3 AS col_name, 4 AS col_unit,
   CASE WHEN s_suppkey % 5 = 1 THEN 6 ELSE 5 END AS col_price_base, CASE WHEN s_suppkey % 5 = 1 THEN 5 ELSE 6 END AS col_price_rrts,
   CASE WHEN s_suppkey % 5 <> 1 THEN 8 END AS brand_column, s_suppkey % 5 <> 1 AS nds_included, 0.25E0 AS nds_rate,
+  9 AS col_multiplicity, 10 AS col_price_opt, CASE WHEN s_suppkey % 5 <> 1 THEN 11 END AS col_price_partner, 12 AS col_ntin, 13 AS col_status, CASE WHEN s_suppkey % 5 = 1 THEN 14 END AS col_comment,
+  7 AS category_col, 'House' AS brand, CASE WHEN s_suppkey % 5 = 1 THEN 6 END AS skip_row_if_empty_col,
   concat('2024-', lpad(CAST(1 + s_suppkey % 12 AS STRING), 2, '0'), '-01') AS created_at
 FROM {supplier}
 """
