@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import lexicons as L
 from matchloom.functions import text as X
+from matchloom.operators.stored import stored
 from matchloom.plans import sql as S
 from matchloom.plans.registry import query
 from matchloom.plans.views import DUCK
@@ -141,8 +142,8 @@ _SCHNEIDER = _discounted("schneider", "Тариф 2026", 6, "IS NOT NULL", _vend
 
 @query("src_vendor_profiles", " UNION ALL ".join(f"SELECT {_ITEM} FROM ({x})" for x in (_HIMEL, _EKF, _IEK, _DKC, _LEGRAND, _SCHNEIDER)))
 def src_vendor_profiles(t):
-    """Each vendor's file by that vendor's own layout."""
-    rows = P.cells_of(t("v_vendor_rows"), 20)
+    """Each vendor's file by that vendor's own layout; the files are written as cells first."""
+    rows = stored(P.cells_of(t("v_vendor_rows"), 20), "vendor-rows")
     out = None
     for vendor in P.VENDORS:
         part = P.parse_vendor(rows.where(C("file") == vendor), vendor)

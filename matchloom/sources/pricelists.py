@@ -110,8 +110,9 @@ def discounts_of(rows: DataFrame, where: Discounts) -> DataFrame:
     """(file, grp, discount) in the rows of each file; the last row of a group counts."""
     some = rows.where((F.col("sheet") == where.sheet) & F.col("row_no").between(where.first, where.last))
     read = some.select("file", "row_no", X.clean_str(_at(where.group)).alias("grp"), _at(where.value).try_cast("double").alias("discount"))
-    read = read.where((F.col("grp") != "") & (F.col("discount") > 0 if where.positive else F.col("discount").isNotNull()))
-    return read.groupBy("file", "grp").agg(F.max_by("discount", "row_no").alias("discount"))
+    stated = F.col("discount") > 0 if where.positive else F.col("discount").isNotNull()
+    last = read.groupBy("file", "grp").agg(F.max(F.when(stated, F.struct("row_no", "discount"))).alias("last"))
+    return last.where((F.col("grp") != "") & F.col("last").isNotNull()).select("file", "grp", "last.discount")
 
 
 def parse_vendor(rows: DataFrame, vendor: str, layout: Layout | None = None) -> DataFrame:
