@@ -198,14 +198,26 @@ def flt_skip_keywords(t):
     return _plain(t).where(~(C("skip") & (C("code") == ""))).select("doc_id", "page", "table_no", "row_no")
 
 
-@query("agg_quality_gate")
+#: The lines of specifications as items of two tables a document; some have a carried layout, some no text.
+_BLANK = "CASE WHEN doc_id % 7 = 0 AND qty > 5 THEN '' ELSE {c} END AS {c}"
+_TABLE_ITEMS = f"""SELECT doc_id, 1 AS page, CAST(seq % 2 AS BIGINT) AS table_no, item_id AS seq, pos, {', '.join(_BLANK.format(c=c) for c in ('name_raw', 'article_raw', 'kaznisa_code_raw'))},
+  CASE WHEN is_heading THEN 0E0 ELSE qty END AS qty, is_heading, doc_id % 3 <> 0 AS carried FROM {{v_spec_items}}"""
+_NO_TEXT = " AND ".join(f"coalesce({c}, '') = ''" for c in ("name_raw", "article_raw", "kaznisa_code_raw"))
+
+
+@query("agg_quality_gate", f"""
+WITH i AS ({_TABLE_ITEMS}), bad AS (SELECT doc_id, table_no FROM i WHERE carried GROUP BY 1, 2 HAVING count(*) FILTER (qty > 45) > count(*) * 0.3::DOUBLE OR count(*) FILTER ({_NO_TEXT}) > count(*) * 0.8::DOUBLE)
+SELECT doc_id, table_no, seq, carried FROM i ANTI JOIN bad USING (doc_id, table_no)
+""")
 def agg_quality_gate(t):
-    return B.quality_gate(items(t), huge=45.0).groupBy("doc_id", "page", "table_no", "carried").agg(F.count("*").alias("n"))
+    return B.quality_gate(t.sql(_TABLE_ITEMS), huge=45.0).select("doc_id", "table_no", "seq", "carried")
 
 
-@query("win_renumber")
+@query("win_renumber", f"""
+SELECT doc_id, table_no, seq, CASE WHEN is_heading THEN pos ELSE (count(*) FILTER (NOT is_heading) OVER (PARTITION BY doc_id ORDER BY table_no, seq))::VARCHAR END AS pos, is_heading FROM ({_TABLE_ITEMS})
+""")
 def win_renumber(t):
-    return B.renumbered(items(t)).select("doc_id", "page", "table_no", "seq", "pos", "is_heading")
+    return B.renumbered(t.sql(_TABLE_ITEMS)).select("doc_id", "table_no", "seq", "pos", "is_heading")
 
 
 def _lined(t):
@@ -222,7 +234,12 @@ def win_cell_split(t):
     return B.split_cells(_lined(t))
 
 
-@query("win_line_group")
+@query("win_line_group", """
+WITH w AS (SELECT doc, page, list({'anchor': top::BIGINT, 'all': [top::BIGINT]} ORDER BY top, "left") AS words FROM {v_word_boxes} GROUP BY 1, 2),
+g AS (SELECT doc, page, list_reduce(words, lambda a, x: CASE WHEN x.anchor - a.anchor > 15 THEN {'anchor': x.anchor, 'all': list_append(a.all, x.anchor)} ELSE {'anchor': a.anchor, 'all': list_append(a.all, a.anchor)} END) AS r FROM w),
+o AS (SELECT doc, page, unnest(r.all) AS top FROM g)
+SELECT doc, page, (row_number() OVER (PARTITION BY doc, page ORDER BY top) - 1)::INT AS line, count(*) AS n_words, top::INT AS top FROM o GROUP BY doc, page, top
+""")
 def win_line_group(t):
     return B.line_groups(t("v_word_boxes")).groupBy("doc", "page", "line").agg(F.count("*").alias("n_words"), F.min("top").alias("top"))
 

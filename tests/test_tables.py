@@ -8,10 +8,33 @@ def table(spark, rows, doc=1, no=0):
     return spark.createDataFrame([(doc, 1, no, k, r) for k, r in enumerate(head + rows)], "doc_id long, page long, table_no long, row_no long, cells array<string>")
 
 
-def items(spark, rows):
+def row_fields(spark, rows):
     cells = table(spark, rows)
-    fields = B.row_fields(cells, B.table_layouts(cells))
-    return [(r.pos, r.name_raw, r.article_raw, r.kaznisa_code_raw, r.unit, r.qty, r.is_heading) for r in B.table_items(fields).orderBy("seq").collect()]
+    return B.row_fields(cells, B.table_layouts(cells))
+
+
+def items(spark, rows):
+    return [(r.pos, r.name_raw, r.article_raw, r.kaznisa_code_raw, r.unit, r.qty, r.is_heading) for r in B.table_items(row_fields(spark, rows)).orderBy("seq").collect()]
+
+
+def test_row_classes(spark):
+    fields = row_fields(spark, [
+        ["", "Before all", "B1", "", "", "1"],
+        ["1", "Pump", "", "", "", ""],
+        ["", "more", "ab", "", "", "4"],
+        ["", "", "", "247-201-0001", "", ""],
+        ["", "Other", "X1", "247-201-0002", "шт", "2"],
+        ["-", "Seal", "S1", "", "", "5"],
+        ["", "2 / Nut", "N1", "", "", "6"],
+        ["", "3. Section", "", "", "", ""],
+        ["ВРУ-1", "Panel", "", "", "", "1"],
+        ["", "Part", "P9", "247-201-0109", "", "2"],
+        ["5", "кабели", "гост 5", "", "", "1"],
+        ["", None, "", "", "", ""],
+    ])
+    got = [r.kind for r in B.row_classes(fields).orderBy("row_no").collect()]
+    assert got == ["content_first", "item", "content_merge", "bare", "content_complete", "dash", "numbered", "section", "item", "content_part", "skipped", "bare"]
+    assert B.row_classes(fields.limit(0)).collect() == []
 
 
 def test_row_pass(spark):
