@@ -89,3 +89,11 @@ VENDOR_RULES = (
 )
 #: Weekday (Monday is 0) on which a segment's vectors are rebuilt.
 SEGMENT_WEEKDAYS = {"ss": 0, "os": 1, "sil": 4}
+#: Characters that count as a hyphen, and quotes that are dropped.
+DASHES = "[–—−‒]"
+QUOTES = "[«»“”„‟‘’`]"
+#: The end of a title from a standard on.
+NORM_SUFFIX = r"(?i)\s+(ТУ|ГОСТ|СТ\s+РК)\s+\S+.*$"
+#: Fields that a new match overwrites, and those that a reset clears.
+REMATCH_FIELDS = ("status", "best_match", "candidates", "match_method", "ai_confidence", "ai_used", "ai_reason", "ai_low_confidence", "ai_downgraded")
+RESET_FIELDS = ("best_match", "candidates", "match_method", "ai_confidence", "ai_used", "ai_reason", "user_edited", "user_const_price", "corrected", "comment", "delivery")

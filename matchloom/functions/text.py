@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import lexicons as L
 
-_DASHES = "[–—−‒]"
-_QUOTES = "[«»“”„‟‘’`]"
-
 
 def _escaped(word: str) -> str:
     return "".join("\\" + c if c in r"\.[]{}()*+?^$|" else c for c in word)
@@ -61,7 +58,7 @@ def normalize(text: Column) -> Column:
     """Upper case, one kind of dash, no quotes or brackets, single spaces, and no trailing
     `` Wd.d`` group (a rating after the letter W)."""
     t = strip(F.upper(F.coalesce(text, F.lit(""))))
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, _DASHES, "-"), _QUOTES, ""), r"[(){}\[\]]", "")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, L.DASHES, "-"), L.QUOTES, ""), r"[(){}\[\]]", "")
     t = strip(F.regexp_replace(t, r"(?U)\s+", " "))
     return strip(F.regexp_replace(t, r"(?U)\s+W\d+\.\d+$", ""))
 

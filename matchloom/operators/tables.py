@@ -138,7 +138,6 @@ def row_fields(rows: DataFrame, layouts: DataFrame, skip: Sequence[str] = L.SKIP
     )
 
 
-_NORM_SUFFIX = r"(?i)\s+(ТУ|ГОСТ|СТ\s+РК)\s+\S+.*$"
 ITEM_SCHEMA = "doc_id long, page long, table_no long, row_no long, seq int, kind string, pos string, name_raw string, article_raw string, kaznisa_code_raw string, unit string, qty double, is_heading boolean, carried boolean"
 
 
@@ -220,7 +219,7 @@ class _RowPass:
 def _cut(title: str) -> str:
     import re
 
-    return re.sub(_NORM_SUFFIX, "", title).strip()
+    return re.sub(L.NORM_SUFFIX, "", title).strip()
 
 
 def _walked(fields: DataFrame, schema: str, unit: str, classes: bool) -> DataFrame:
@@ -288,7 +287,7 @@ def carried_sections(fields: DataFrame) -> DataFrame:
     """Short names get the last section title above them, without its norm suffix."""
     title = F.when((F.length("name") > 8) & (F.col("article_cell") == "") & (F.col("code") == "") & (F.col("qty_cell") == "") & F.col("pos").isNull() & ~F.col("dash") & ~F.col("numbered") & ~F.col("section"), F.col("name"))
     w = Window.partitionBy(*TABLE).orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    cut = X.strip(F.regexp_replace(F.last(title, ignorenulls=True).over(w), _NORM_SUFFIX.replace("(?i)", "(?iuU)"), ""))
+    cut = X.strip(F.regexp_replace(F.last(title, ignorenulls=True).over(w), L.NORM_SUFFIX.replace("(?i)", "(?iuU)"), ""))
     short = (F.length("name") <= 20) & (F.col("has_article") | (F.col("code") != "")) & (F.coalesce(cut, F.lit("")) != "")
     return fields.withColumn("full_name", F.when(short, F.concat(cut, F.lit(" "), "name")).otherwise(F.col("name")))
 
