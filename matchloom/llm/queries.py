@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import ce_difference, language_id, lpt_sharding, merge_dropout, quality_crf, secret_scan, simhash_trie, suffix_decontam, trie_token_counts, warc_index
+from matchloom.llm import ce_difference, conversation_repair, grid_codes, language_id, license_scan, lpt_sharding, merge_dropout, quality_crf, secret_scan, simhash_trie, suffix_decontam, trie_token_counts, warc_index
 from matchloom.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op12_grid_cell_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_codes.coded_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_survivor_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_trie_token_counts": op1_trie_token_counts,
     "op2_quality_line_crf": op2_quality_line_crf,
@@ -68,6 +80,9 @@ QUERIES = {
     "op8_suffix_array_decontam": op8_suffix_array_decontam,
     "op9_ce_difference": op9_ce_difference,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_license_set_join": op11_license_set_join,
+    "op12_grid_cell_codes": op12_grid_cell_codes,
+    "op13_survivor_viterbi": op13_survivor_viterbi,
 }
 #: Where SQL can express the contract; the others are tested against brute force,
 #: exact round trips or held-out accuracy in tests/llm.
@@ -92,4 +107,7 @@ ORACLES: dict[str, str] = {
         SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM words LEFT JOIN hits ON hits.doc_id = id LEFT JOIN named ON named.doc_id = id WHERE kind = 'd'
     """,
+    "op11_license_set_join": license_scan.scan_sql(),
+    "op12_grid_cell_codes": grid_codes.codes_sql(),
+    "op13_survivor_viterbi": conversation_repair.repair_sql(),
 }
