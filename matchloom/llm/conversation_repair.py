@@ -5,7 +5,7 @@ assistant turns.  The turns of a conversation stream past a trellis of four stat
 (nothing yet, system, user, assistant), each with the cheapest edits that lead to it.
 
 The survivors' edits are a tree of back pointers with reference counts: a branch that no
-survivor needs goes at once, chains are held as one string, and as soon as all survivors
+survivor needs goes at once, as does a survivor that another one beats whatever follows, chains are held as one string, and as soon as all survivors
 share an ancestor the edits up to it are final and are given out.  Equal costs are decided by
 the whole edits since the survivors' last common ancestor.  What is held is thus the
 unresolved part, one byte an edit, and no text: every survivor carries the running digest of
@@ -47,6 +47,13 @@ def _inserts(state: int) -> list[tuple[int, str]]:
 
 
 INSERTS = [_inserts(s) for s in range(4)]
+#: (state, other): what the rest costs at most more from ``state`` than from ``other``, whatever
+#: follows.  Inserts lead from one to the other; before any turn all is legal that is legal
+#: between pairs, and there only a system turn more, which can be deleted instead.
+SLACK = {
+    (ASSISTANT, SYSTEM): 0, (ASSISTANT, START): DELETE, (ASSISTANT, USER): INSERT, (USER, ASSISTANT): INSERT, (USER, SYSTEM): INSERT, (USER, START): INSERT + DELETE,
+    (START, ASSISTANT): 0, (START, SYSTEM): 0, (START, USER): INSERT, (SYSTEM, USER): INSERT, (SYSTEM, ASSISTANT): 2 * INSERT,
+}
 
 
 class _Node:
@@ -141,6 +148,8 @@ class Trellis:
                         self._best(offers, FILL[state][1], cost + REROLE + kept, survivor, before + "R", source)
         old, self.alive = self.alive, {}
         for state, (cost, survivor, edits, source) in offers.items():
+            if any(other != state and offers[other][0] + SLACK.get((other, state), cost) < cost for other in offers):
+                continue  # whatever follows, another one's end is cheaper
             survivor.node.refs += 1
             self.alive[state] = _Survivor(cost, _Node(survivor.node, edits.encode()), *self._written(survivor, source, edits, role, text))
         for survivor in old.values():
