@@ -23,9 +23,13 @@ def any_of(words: Sequence[str]) -> str:
     return "|".join(_escaped(w) for w in words)
 
 
+#: White space of Unicode.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def safe_float(text: Column) -> Column:
@@ -56,11 +60,12 @@ def clean_str(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Upper case, one kind of dash, no quotes or brackets, single spaces, and no trailing
-    `` Wd.d`` group (a rating after the letter W)."""
-    t = strip(F.upper(F.coalesce(text, F.lit(""))))
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, L.DASHES, "-"), L.QUOTES, ""), r"[(){}\[\]]", "")
-    t = strip(F.regexp_replace(t, r"(?U)\s+", " "))
-    return strip(F.regexp_replace(t, r"(?U)\s+W\d+\.\d+$", ""))
+    `` Wd.d`` group (a rating after the letter W).
+
+    One pass over the characters, and two short patterns after it."""
+    dashes, gone = L.DASHES.strip("[]"), L.QUOTES.strip("[]") + "(){}[]"
+    t = F.translate(F.upper(F.coalesce(text, F.lit(""))), dashes + SPACES + gone, "-" * len(dashes) + " " * len(SPACES))
+    return F.regexp_replace(F.trim(F.regexp_replace(t, " {2,}", " ")), r"(?U) W\d+\.\d+$", "")
 
 
 def strip_brand(text: Column, brands: Sequence[str] = L.BRAND_SUFFIXES) -> Column:

@@ -3,29 +3,24 @@
 Every stage gives candidates (item_id, product_id, score, method).  A stage only
 sees the items that earlier stages left over.  Equality stages are equi-joins on
 normalised keys; containment is an equi-join on the rarest 3-gram of the shorter
-string (which any containing string has), then the exact test; similarity compares
-the distinct texts of both sides, block by block within bands of length.
+string (which any containing string has), then the exact test; similarity stages are the
+joins of ``similar``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import lexicons as L
-from matchloom.functions import similarity
 from matchloom.functions import text as X
 from matchloom.operators.catalog import active, keyed
+from matchloom.operators.similar import inside_pairs, partial_join, token_sort_join
 from matchloom.operators.stored import stored
 
 CANDIDATE = "item_id long, product_id long, score double, method string"
-#: Distinct texts of the two sides that a task of a similarity stage compares, and its most tasks.
-QUERY_BLOCK, KEY_BLOCK = 500, 4000
-MOST_TASKS = 20_000
 STAGE_ORDER = ("exact", "code_exact", "exact_nocyr", "name_exact", "contains", "contains_nocyr", "name_contains", "fuzzy_article", "fuzzy_nocyr", "fuzzy_name_from_article", "name_fuzzy", "name_partial")
 
 
@@ -72,36 +67,16 @@ def name_exact(items, products):
     return equal_key(items, products, long, "norm_name", L.NAME_EXACT_SCORE, "name_exact")
 
 
-def _grams(text: Column) -> Column:
-    """Distinct 3-grams; a shorter string has none."""
-    n = F.length(text)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
-
-
 def containing_pairs(queries: DataFrame, keys: DataFrame) -> DataFrame:
     """(query, key) of distinct texts where one contains the other, whatever their lengths.
 
     Equi-join on the shorter text's rarest 3-gram (by count over ``keys``); texts of
     one or two characters are joined by all their occurrences in a gram.
     """
-    q = queries.select("query").where("query <> ''").distinct()
-    k = keys.select("key").where("key <> ''").distinct()
-    k_grams = k.select("key", F.explode(_grams(F.col("key"))).alias("gram"))
-    q_grams = q.select("query", F.explode(_grams(F.col("query"))).alias("gram"))
-    common = k_grams.groupBy("gram").count()
-
-    def rarest(grams: DataFrame, name: str) -> DataFrame:
-        counted = grams.join(common, "gram", "left")
-        return counted.groupBy(name).agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "gram")).alias("least")).select(name, F.col("least.gram").alias("gram"))
-
-    inside = rarest(q_grams, "query").join(k_grams, "gram").where(F.contains("key", "query")).select("query", "key")
-    outside = rarest(k_grams, "key").join(q_grams, "gram").where(F.contains("query", "key")).select("query", "key")
-
-    def short(texts: DataFrame, name: str, other: DataFrame, other_name: str) -> DataFrame:
-        parts = other.select(other_name, F.explode(F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda n: F.transform(F.sequence(F.lit(1), F.length(other_name)), lambda i: F.substring(F.col(other_name), i, n)))))).alias(name))
-        return texts.where(F.length(name) < 3).join(parts, name).select("query", "key")
-
-    return inside.unionByName(outside).unionByName(short(q, "query", k, "key")).unionByName(short(k, "key", q, "query")).distinct()
+    q, k = queries.select("query"), keys.select("key")
+    inside = inside_pairs(q.withColumnRenamed("query", "short"), k.withColumnRenamed("key", "long")).select(F.col("short").alias("query"), F.col("long").alias("key"))
+    outside = inside_pairs(k.withColumnRenamed("key", "short"), q.withColumnRenamed("query", "long")).select(F.col("long").alias("query"), F.col("short").alias("key"))
+    return inside.unionByName(outside).distinct()
 
 
 def _ratio_ok(a: str, b: str) -> Column:
@@ -131,59 +106,11 @@ def name_contains(items, products):
     return contains_stage(long, products, ("long_name",), "norm_name", L.NAME_CONTAINS_SCORE, "name_contains")
 
 
-def _blocks(texts: DataFrame, text: str, name: str, size: int) -> DataFrame:
-    """(band, ``name``: number of a block, rows): the rows (band, text, ...) of each band in
-    hashed blocks of about ``size``."""
-    counts = texts.groupBy("band").agg(F.ceil(F.count("*") / size).alias("_n"))
-    dealt = texts.join(counts, "band").withColumn(name, F.pmod(F.xxhash64(text), F.col("_n")))
-    return dealt.groupBy("band", name).agg(F.collect_list(F.struct(*[c for c in texts.columns if c != "band"])).alias(f"{name}_rows"))
-
-
-def _score_blocks(batches, cutoff: float, limit: int, kind: str):
-    """Rows (queries, keys with product ids) -> each query's ``limit`` best products among them."""
-    for pdf in batches:
-        rows = []
-        for queries, keys in zip(pdf["q_rows"], pdf["k_rows"]):
-            names, ids = [r["key"] for r in keys], [r["ids"].tolist() for r in keys]
-            index = similarity.TokenSortIndex(names) if kind == "token_sort" else similarity.PartialIndex(names)
-            for r in queries:
-                at, scores = index.search(r["query"], cutoff)
-                best = sorted((-s, i) for k, s in zip(at.tolist(), scores.tolist()) for i in ids[k])[:limit]
-                rows += [(r["query"], i, -s) for s, i in best]
-        yield pd.DataFrame(rows, columns=["query", "product_id", "score"])
-
-
-def similar_texts(queries: DataFrame, keys: DataFrame, cutoff: float, limit: int, kind: str = "token_sort", q_block: int = QUERY_BLOCK, k_block: int = KEY_BLOCK) -> DataFrame:
-    """(query, product_id, score): for each distinct query the ``limit`` best products.
-
-    ``keys`` is (product_id, key).  Distinct texts of either side are dealt into blocks;
-    for token-sort scores by bands of length first, as a score of at least ``cutoff`` bounds
-    the ratio of lengths, so a query meets the keys of three bands.  A task scores a block
-    of queries with a block of keys and passes on ``limit`` a query; nothing is collected.
-    Ties go to the smaller product id.
-    """
-    place = Window.partitionBy("key").orderBy("product_id")
-    named = keys.where("key <> ''").withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= limit).groupBy("key").agg(F.collect_list("product_id").alias("ids"))
-    asked = queries.select("query").where("query <> ''").distinct()
-    if kind == "token_sort":
-        step = math.log((200 - cutoff) / cutoff) * (1 + 1e-9)
-        band = lambda c: F.floor(F.log(F.length(c).cast("double")) / step)
-        named, asked = named.withColumn("band", band("key")), asked.withColumn("band", F.explode(F.sequence(band("query") - 1, band("query") + 1)))
-    else:
-        named, asked = named.withColumn("band", F.lit(0).cast("long")), asked.withColumn("band", F.lit(0).cast("long"))
-    q, k = _kept(_blocks(asked, "query", "q", q_block)), _kept(_blocks(named, "key", "k", k_block))
-    pairs = q.select("band", "q").join(k.select("band", "k"), "band")
-    tasks = min(max(1, pairs.count()), MOST_TASKS)
-    both = pairs.join(q, ["band", "q"]).join(k, ["band", "k"]).repartition(tasks, "band", "q", "k").select("q_rows", "k_rows")
-    out = both.mapInPandas(lambda it: _score_blocks(it, cutoff, limit, kind), "query string, product_id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "product_id")
-    return out.withColumn("r", F.row_number().over(best)).where(F.col("r") <= limit).drop("r")
-
-
 def _similar(items, products, item_key, product_key, cutoff, limit, method, kind="token_sort"):
     queries = items.select("item_id", F.col(item_key).alias("query")).where("query <> ''")
     keys = products.select(F.col("id").alias("product_id"), F.col(product_key).alias("key"))
-    return queries.join(similar_texts(queries, keys, cutoff, limit, kind), "query").select("item_id", "product_id", "score", F.lit(method).alias("method"))
+    found = (token_sort_join if kind == "token_sort" else partial_join)(queries, keys, cutoff, limit)
+    return queries.join(found, "query").select("item_id", "product_id", "score", F.lit(method).alias("method"))
 
 
 def article_fuzzy(items, products, key="q"):
@@ -215,10 +142,16 @@ def name_partial(items, products):
     return both.where(share >= L.WORD_COVERAGE).select(*found.columns)
 
 
+def _stage(candidates: DataFrame) -> Column:
+    """The order of candidates of equal score: their step, or else their method's place."""
+    if "step" in candidates.columns:
+        return F.col("step")
+    return F.array_position(F.array(*[F.lit(s) for s in STAGE_ORDER]), F.col("method"))
+
+
 def ranked(candidates: DataFrame, keep: int = 5) -> DataFrame:
     """Ranks by score, then stage, then product; an exact score keeps one, else ``keep``."""
-    stage = F.array_position(F.array(*[F.lit(s) for s in STAGE_ORDER]), F.col("method"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), stage, "product_id")
+    w = Window.partitionBy("item_id").orderBy(F.desc("score"), _stage(candidates), "product_id")
     top = F.max("score").over(Window.partitionBy("item_id"))
     return candidates.withColumns({"rank": F.row_number().over(w), "top": top}).where(F.col("rank") <= F.when(F.col("top") >= L.EXACT_SCORE, 1).otherwise(keep)).drop("top")
 
@@ -232,6 +165,13 @@ def _kept(df: DataFrame) -> DataFrame:
     return stored(df, "match-stage")
 
 
+def _all(*candidates: DataFrame) -> DataFrame:
+    out = candidates[0]
+    for more in candidates[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _pairs(*candidates: DataFrame) -> DataFrame:
     out = candidates[0].select("item_id", "product_id")
     for more in candidates[1:]:
@@ -239,11 +179,19 @@ def _pairs(*candidates: DataFrame) -> DataFrame:
     return out
 
 
-def _article_similar(rest: DataFrame, products: DataFrame, contained: DataFrame) -> DataFrame:
-    first = _kept(_without(article_fuzzy(rest, products), contained))
-    second = _kept(_without(article_fuzzy(rest, products, "q_brandless"), _pairs(contained, first)))
-    third = _kept(_without(name_from_article(rest, products), _pairs(contained, first, second)))
-    return first.unionByName(second).unionByName(third)
+def _article_stages(rest: DataFrame, products: DataFrame, similar: bool) -> DataFrame:
+    """Candidates of articles with their step: the whole article's containment and similarity, then
+    those of the article without brand, then names like the article; each without what came before."""
+    found: list[DataFrame] = []
+    for step, key in ((1, "q"), (3, "q_brandless")):
+        stages = [lambda: contains_stage(rest, products, (key,), "norm_art", L.CONTAINS_SCORE, "contains")[0]]
+        stages += [lambda: article_fuzzy(rest, products, key)] if similar else []
+        for k, stage in enumerate(stages):
+            new = stage()
+            found.append(_kept((_without(new, _pairs(*found)) if found else new).withColumn("step", F.lit(step + k))))
+    if similar:
+        found.append(_kept(_without(name_from_article(rest, products), _pairs(*found)).withColumn("step", F.lit(5))))
+    return _all(*found)
 
 
 def with_equal(items: DataFrame, catalog: DataFrame, segments: Sequence[str] = L.SEGMENTS) -> tuple[DataFrame, DataFrame]:
@@ -294,34 +242,32 @@ def cascade(items: DataFrame, catalog: DataFrame, segments: Sequence[str] = L.SE
     kept on disk between stages, so that no stage repeats the ones before it.
     ``similar`` and ``names`` switch the similarity and the inexact name stages.
     """
+    at = lambda df, step: df.withColumn("step", F.lit(step))
     rows, products = with_equal(items, catalog, segments)
     rows, products = _kept(rows), _kept(products)
-    every = rows.where("method is not null").select(*_CANDIDATE_COLUMNS)
+    every = [at(rows.where("method is not null").select(*_CANDIDATE_COLUMNS), 0)]
     rest = _kept(rows.where("method is null").drop("product_id", "score", "method"))
-    found = _kept(contains_stage(rest, products, ("q", "q_brandless"), "norm_art", L.CONTAINS_SCORE, "contains")[0])
-    if similar:
-        found = _kept(found.unionByName(_article_similar(rest, products, _pairs(found))))
-    every = every.unionByName(found)
+    found = _article_stages(rest, products, similar)
+    every.append(found)
     rest = _kept(rest.join(found, "item_id", "left_anti"))
     if nocyr:
-        hit = _kept(nocyr_exact(rest, products))
+        hit = _kept(at(nocyr_exact(rest, products), 6))
         more = _kept(rest.join(hit, "item_id", "left_anti"))
-        found = _kept(nocyr_contains(more, products))
+        found = [hit, _kept(at(nocyr_contains(more, products), 7))]
         if similar:
-            found = found.unionByName(_without(nocyr_fuzzy(more, products), _pairs(found)))
-        found = _kept(hit.unionByName(found))
-        every = every.unionByName(found)
-        rest = _kept(rest.join(found, "item_id", "left_anti"))
-    every = every.unionByName(_named(rest))
+            found.append(_kept(at(_without(nocyr_fuzzy(more, products), _pairs(found[1])), 8)))
+        every += found
+        rest = _kept(rest.join(_all(*found), "item_id", "left_anti"))
+    every.append(at(_named(rest), 9))
     if names:
         rest = _kept(rest.where("name_product_id is null"))
         found, seen = name_contains(rest, products)
         seen = _kept(seen)
-        every = every.unionByName(found)
+        every.append(at(found, 10))
         if similar:
             fuzzy = _kept(_without(name_fuzzy(rest, products), seen))
-            every = every.unionByName(fuzzy).unionByName(_without(name_partial(rest, products), _pairs(seen, fuzzy)))
-    return ranked(every)
+            every += [at(fuzzy, 11), at(_without(name_partial(rest, products), _pairs(seen, fuzzy)), 12)]
+    return ranked(_all(*every)).drop("step")
 
 
 def segment_filter(candidates: DataFrame, catalog: DataFrame, segments: Sequence[str]) -> DataFrame:
@@ -337,7 +283,7 @@ def statuses(items: DataFrame, candidates: DataFrame, catalog: DataFrame) -> Dat
     (multiple over several segments), several within 5 points are multiple.
     """
     seg = catalog.select(F.col("id").alias("product_id"), F.coalesce("segment", F.lit(L.DEFAULT_SEGMENT)).alias("_segment"))
-    stage = F.array_position(F.array(*[F.lit(s) for s in STAGE_ORDER]), F.col("method"))
+    stage = F.col("rank") if "rank" in candidates.columns else _stage(candidates)
     per = candidates.join(seg, "product_id").withColumn("top", F.max("score").over(Window.partitionBy("item_id")))
     close = F.col("top") - F.col("score") <= L.CLOSE_SCORE
     best = per.groupBy("item_id").agg(

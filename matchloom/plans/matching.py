@@ -7,6 +7,7 @@ from matchloom.functions import text as X
 from matchloom.operators import catalog as K
 from matchloom.operators import matching as M
 from matchloom.operators import review as R
+from matchloom.operators.stored import stored
 from matchloom.plans import sql as S
 from matchloom.plans.registry import query
 from matchloom.plans.views import DUCK
@@ -103,14 +104,31 @@ def mat_name_exact(t):
 
 
 def _few(t):
-    """Lines that no equality stage finds, and their products."""
+    """Lines that no equality stage finds, written once, and their products."""
     rows, products = M.with_equal(t("v_spec_items"), t("v_catalog"))
-    return rows.where("method is null and name_product_id is null").drop("product_id", "score", "method"), products
+    return stored(rows.where("method is null and name_product_id is null").drop("product_id", "score", "method"), "lines-left"), products
 
 
-def _summed(found):
-    """A digest of a wide result: candidates and best score of each line."""
-    return found.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.min_by("product_id", F.struct(-C("score"), "product_id")).alias("product_id"))
+DUCK["v_few"] = "SELECT * FROM {v_queries} WHERE item_id NOT IN (SELECT item_id FROM {v_equal})"
+
+
+def _token_sort(key: str, product_key: str, cutoff: int, method: str, where: str = "TRUE") -> str:
+    """Every text against every other by a bit-parallel common subsequence of sorted tokens (up to 120 characters)."""
+    chars = lambda c: f"string_split({c}, '')"
+    texts = lambda c, of: f"SELECT t, length(t) AS n, {chars('t')} AS cs, k FROM (SELECT array_to_string(list_sort(list_filter(string_split({c}, ' '), lambda w: w <> '')), ' ') AS t, {c} AS k FROM (SELECT DISTINCT {c} FROM {of})) WHERE t <> ''"
+    return f"""
+    WITH asked AS (SELECT DISTINCT t, n, list_distinct(cs) AS ds, list_transform(list_distinct(cs), lambda d: list_sum(list_transform(list_filter(range(n), lambda i: cs[i + 1] = d), lambda i: 1::HUGEINT << i::INT))::HUGEINT) AS ms, (1::HUGEINT << n::INT) - 1 AS whole, k FROM ({texts(key, f"(SELECT * FROM {{v_few}} WHERE {where})")})),
+    names AS ({texts(product_key, "{v_keyed}")}),
+    pairs AS (SELECT a.k AS q, b.k AS p, a.n + b.n AS total, a.n AS n, list_reduce(list_prepend(whole, list_transform(b.cs, lambda c: coalesce(ms[list_position(ds, c)], 0::HUGEINT))), lambda v, m: ((v + (v & m)) | (v - (v & m))) & whole) AS v
+      FROM asked a, names b WHERE 200 * least(a.n, b.n) >= {cutoff} * (a.n + b.n)),
+    scored AS (SELECT q, id AS product_id, 200.0::DOUBLE * (n - bit_count(v)) / total AS score FROM pairs JOIN {{v_keyed}} ON {product_key} = p WHERE 200 * (n - bit_count(v)) >= {cutoff} * total),
+    best AS (SELECT q, product_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, product_id) <= 10)
+    SELECT f.item_id, product_id, round(score, 6) AS score, '{method}' AS method FROM {{v_few}} f JOIN best ON best.q = f.{key} AND {where}
+    """
+
+
+def _scored(found):
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("mat_name_contains", _contains("q_name", "norm_name", 93, "name_contains", where="length(q_name) >= 20 AND item_id NOT IN (SELECT item_id FROM {v_equal})"))
@@ -119,29 +137,37 @@ def mat_name_contains(t):
     return M.name_contains(items, products)[0]
 
 
-@query("mat_article_fuzzy")
+@query("mat_article_fuzzy", _token_sort("q", "norm_art", 80, "fuzzy_article"))
 def mat_article_fuzzy(t):
-    return _summed(M.article_fuzzy(*_few(t)))
+    return _scored(M.article_fuzzy(*_few(t)))
 
 
-@query("mat_nocyr_fuzzy")
+@query("mat_nocyr_fuzzy", _token_sort("q_nocyr", "norm_nocyr", 80, "fuzzy_nocyr"))
 def mat_nocyr_fuzzy(t):
-    return _summed(M.nocyr_fuzzy(*_few(t)))
+    return _scored(M.nocyr_fuzzy(*_few(t)))
+
+
+def _named_articles(t):
+    """Lines whose article cell holds a part of a name, as a mislabelled column gives it."""
+    items, products = _few(t)
+    words = F.split("q_name", " ")
+    cut = F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 3, F.lit(1))), " ")
+    return items.withColumn("q", F.when((C("item_id") % 3 == 0) & (C("q_name") != ""), F.concat(cut, F.lit("X"))).otherwise(C("q"))), products
 
 
 @query("mat_name_from_article")
 def mat_name_from_article(t):
-    return M.name_from_article(*_few(t))
+    return _scored(M.name_from_article(*_named_articles(t)))
 
 
-@query("mat_name_fuzzy")
+@query("mat_name_fuzzy", _token_sort("q_name", "norm_name", 93, "name_fuzzy", "length(q_name) >= 20"))
 def mat_name_fuzzy(t):
-    return _summed(M.name_fuzzy(*_few(t)))
+    return _scored(M.name_fuzzy(*_few(t)))
 
 
 @query("mat_name_partial")
 def mat_name_partial(t):
-    return _summed(M.name_partial(*_few(t)))
+    return _scored(M.name_partial(*_few(t)))
 
 
 DUCK["v_contains"] = _contains("q", "norm_art", 95, "contains", "q_brandless", "item_id NOT IN (SELECT item_id FROM ({v_equal_first}))".replace("({v_equal_first})", "v_equal WHERE method <> 'name_exact'"))
@@ -154,6 +180,13 @@ WHERE rank <= CASE WHEN score >= 100 THEN 1 ELSE 5 END
 """
 
 
+def _whole(t):
+    """Candidates of all stages, written once."""
+    if "v_whole" not in t._held:
+        t._held["v_whole"] = stored(M.cascade(t("v_spec_items"), t("v_catalog"), nocyr=True), "cascade")
+    return t._held["v_whole"]
+
+
 def _cascade(t):
     """Equality and containment stages of articles, then equal names."""
     if "v_cascade" not in t._held:
@@ -164,7 +197,7 @@ def _cascade(t):
 @query("mat_cascade")
 def mat_cascade(t):
     """All stages of the cascade over all lines."""
-    return M.cascade(t("v_spec_items"), t("v_catalog"), nocyr=True).withColumn("score", F.round("score", 6))
+    return _scored(_whole(t))
 
 
 @query("mat_cascade_equal", "SELECT item_id, product_id, score, method, rank::INT AS rank FROM {v_cascade}")
@@ -173,13 +206,28 @@ def mat_cascade_equal(t):
     return _cascade(t)
 
 
-@query("mat_rank", "SELECT item_id, string_agg(product_id::VARCHAR, ',' ORDER BY rank) AS products, count(*) AS n FROM {v_cascade} GROUP BY item_id")
+def _products(candidates):
+    return candidates.groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "product_id"))), lambda x: x["product_id"].cast("string")), ",").alias("products"), F.count("*").alias("n"))
+
+
+@query("mat_rank")
 def mat_rank(t):
-    return _cascade(t).groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "product_id"))), lambda x: x["product_id"].cast("string")), ",").alias("products"), F.count("*").alias("n"))
+    return _products(_whole(t))
 
 
-@query("win_candidate_rank", "SELECT item_id, product_id, rank::INT AS rank FROM {v_cascade}")
+@query("win_candidate_rank")
 def win_candidate_rank(t):
+    return _whole(t).select("item_id", "product_id", "rank")
+
+
+@query("mat_rank_equal", "SELECT item_id, string_agg(product_id::VARCHAR, ',' ORDER BY rank) AS products, count(*) AS n FROM {v_cascade} GROUP BY item_id")
+def mat_rank_equal(t):
+    """Of the stages that SQL can express; so are the other two."""
+    return _products(_cascade(t))
+
+
+@query("win_candidate_rank_equal", "SELECT item_id, product_id, rank::INT AS rank FROM {v_cascade}")
+def win_candidate_rank_equal(t):
     return _cascade(t).select("item_id", "product_id", "rank")
 
 
@@ -188,13 +236,18 @@ def mat_segment_filter(t):
     return M.segment_filter(M.equality_candidates(t("v_spec_items"), t("v_catalog")), t("v_catalog"), ["ss", "sil"])
 
 
-@query("mat_status", """
+@query("mat_status")
+def mat_status(t):
+    return M.statuses(t("v_spec_items"), _whole(t), t("v_catalog")).select("item_id", "status", "match_method", "product_id", "qty")
+
+
+@query("mat_status_equal", """
 WITH best AS (SELECT item_id, max(score) AS top FROM {v_cascade} GROUP BY 1),
 near AS (SELECT item_id, any_value(top) AS top, count(*) FILTER (top - score <= 5) AS n FROM {v_cascade} JOIN best USING (item_id) GROUP BY 1)
 SELECT i.item_id, CASE WHEN is_heading THEN 'heading' WHEN top IS NULL THEN 'not_found' WHEN top >= 100 THEN 'exact' WHEN n > 1 THEN 'multiple' ELSE 'fuzzy' END AS status, CASE WHEN is_heading THEN 0.0::DOUBLE ELSE qty END AS qty
 FROM {v_spec_items} i LEFT JOIN near USING (item_id)
 """)
-def mat_status(t):
+def mat_status_equal(t):
     return M.statuses(t("v_spec_items"), _cascade(t), t("v_catalog")).select("item_id", "status", "qty")
 
 

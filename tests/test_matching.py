@@ -135,24 +135,6 @@ def test_numbers_are_gapless_and_repeatable(spark):
     assert got == {r.k: r.n for r in H.numbered(rows.repartition(2), "k", "n", top).collect()}
 
 
-def test_partial_index_loses_nothing():
-    rng = random.Random(11)
-    texts = sorted({"".join(rng.choice("AB-12 x") for _ in range(rng.randrange(1, 30))) for _ in range(300)})
-    index = Y.PartialIndex(texts)
-    for cutoff in (80, 90, 96):
-        for _ in range(60):
-            q = "".join(rng.choice("AB-12 x") for _ in range(rng.randrange(1, 25)))
-            at, scores = index.search(q, cutoff)
-            want = {k: s for k, t in enumerate(texts) if t and (s := slow_partial(q, t)) >= cutoff - 1e-9}
-            assert dict(zip(at.tolist(), np.round(scores, 6).tolist())) == {k: round(s, 6) for k, s in want.items()}
-
-
-def slow_partial(a, b):
-    a, b = sorted((a, b), key=len)
-    m, n = len(a), len(b)
-    return max([100.0 if a in b else 0.0] + [Y.indel_ratio(a, b[max(0, s) : min(n, s + m)]) for s in range(1 - m, n)])
-
-
 def test_top_k_with_many_equal_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 8)).astype("f4")
@@ -177,73 +159,90 @@ def test_upsert_twice_is_the_same(spark):
 
 
 def plain_cascade(items, catalog, keep=5):
-    """The whole cascade one line at a time, over prepared rows."""
-    from matchloom.functions import similarity as Y
+    """The whole cascade one line at a time, over prepared rows; equal texts are looked up once."""
+    from functools import cache
 
-    def ratio(a, b):
-        return min(len(a), len(b)) / max(len(a), len(b))
+    names = {p["id"]: set(p["norm_name"].split(" ")) for p in catalog}
 
+    @cache
     def best(key, text, score, cutoff, limit):
-        found = [(-s, p["id"]) for p in catalog if p[key] and (s := score(text, p[key])) >= cutoff - 1e-9 and s] if text else []
-        return {i: -s for s, i in sorted(found)[:limit]}
-
-    def contained(texts, key):
-        seen, ok = set(), set()
-        for t in {x for x in texts if x}:
-            for p in catalog:
-                if p[key] and (t in p[key] or p[key] in t):
-                    seen.add(p["id"])
-                    if ratio(t, p[key]) >= 0.7:
-                        ok.add(p["id"])
-        return ok, seen
+        found = [(-s, p["id"]) for p in catalog if p[key] and (s := score(text, p[key], cutoff) if score is Y.partial_ratio else score(text, p[key])) and s >= cutoff - 1e-9] if text else []
+        return [(i, -s) for s, i in sorted(found)[:limit]]
 
+    @cache
+    def contained(text, key):
+        """(near enough in length, all) of the products whose key has the text in it, or the other way."""
+        every = [p for p in catalog if text and p[key] and (text in p[key] or p[key] in text)]
+        return [p["id"] for p in every if min(len(text), len(p[key])) / max(len(text), len(p[key])) >= 0.7], {p["id"] for p in every}
+
+    @cache
     def equal(key, text):
         return min((p["id"] for p in catalog if text and p[key] == text), default=None)
 
+    def like(found, seen, method, rows):
+        for i, s in rows:
+            if i not in seen:
+                found.append((i, s, method))
+                seen.add(i)
+
+    def line(r):
+        q, bare, name = r["q"], r["q_brandless"], r["q_name"] if len(r["q_name"]) >= 20 else ""
+        code = r["q_code"] if sum(c.isdigit() for c in r["q_code"]) == 10 and (q or r["q_name"]) else ""
+        for key, text, method in (("norm_art", q, "exact"), ("norm_art", bare, "exact"), ("norm_code", code, "code_exact")):
+            if equal(key, text) is not None:
+                return [(equal(key, text), 100.0, method)]
+        found, seen = [], set()
+        for text in (q, bare):
+            like(found, seen, "contains", [(i, 95.0) for i in contained(text, "norm_art")[0]])
+            like(found, seen, "fuzzy_article", best("norm_art", text, Y.token_sort_ratio, 80, 10))
+        like(found, seen, "fuzzy_name_from_article", best("norm_name", q, Y.partial_ratio, 90, 5))
+        if found:
+            return found
+        for text in (r["q_nocyr"], r["q_nocyr_brandless"]):
+            if equal("norm_nocyr", text) is not None:
+                return [(equal("norm_nocyr", text), 100.0, "exact_nocyr")]
+        like(found, seen, "contains_nocyr", [(i, 95.0) for i in contained(r["q_nocyr"], "norm_nocyr")[0]])
+        like(found, seen, "fuzzy_nocyr", best("norm_nocyr", r["q_nocyr"], Y.token_sort_ratio, 80, 10))
+        if found or not name:
+            return found
+        if equal("norm_name", name) is not None:
+            return [(equal("norm_name", name), 99.0, "name_exact")]
+        near, seen = contained(name, "norm_name")
+        found, seen = [(i, 93.0, "name_contains") for i in near], set(seen)
+        like(found, seen, "name_fuzzy", best("norm_name", name, Y.token_sort_ratio, 93, 10))
+        words = set(name.split(" "))
+        like(found, seen, "name_partial", [(i, s) for i, s in best("norm_name", name, Y.partial_ratio, 96, 10) if len(words & names[i]) / len(words) >= 0.4])
+        return found
+
     out = {}
     for r in items:
-        found, q, name = [], r["q"], r["q_name"] if len(r["q_name"]) >= 20 else ""
-        hit = next((i for i in (equal("norm_art", q), equal("norm_art", r["q_brandless"])) if i is not None), None)
-        if hit is not None:
-            out[r["item_id"]] = [(hit, 100.0, "exact")]
-            continue
-        ok, _ = contained((q, r["q_brandless"]), "norm_art")
-        found += [(i, 95.0, "contains") for i in ok]
-        known = set(ok)
-        for text, key, score, cutoff, limit, method in (
-            (q, "norm_art", Y.token_sort_ratio, 80, 10, "fuzzy_article"), (r["q_brandless"], "norm_art", Y.token_sort_ratio, 80, 10, "fuzzy_article"),
-            (q, "norm_name", Y.partial_ratio, 90, 5, "fuzzy_name_from_article"),
-        ):
-            more = {i: s for i, s in best(key, text, score, cutoff, limit).items() if i not in known}
-            known |= set(more)
-            found += [(i, s, method) for i, s in more.items()]
-        if not found and name:
-            same = equal("norm_name", name)
-            if same is not None:
-                found = [(same, 99.0, "name_exact")]
-            else:
-                ok, seen = contained((name,), "norm_name")
-                found = [(i, 93.0, "name_contains") for i in ok]
-                fuzzy = {i: s for i, s in best("norm_name", name, Y.token_sort_ratio, 93, 10).items() if i not in seen}
-                found += [(i, s, "name_fuzzy") for i, s in fuzzy.items()]
-                words = set(name.split(" "))
-                names = {p["id"]: set(p["norm_name"].split(" ")) for p in catalog}
-                found += [(i, s, "name_partial") for i, s in best("norm_name", name, Y.partial_ratio, 96, 10).items() if i not in seen and i not in fuzzy and len(words & names[i]) / len(words) >= 0.4]
-        found.sort(key=lambda x: (-round(x[1], 6), M.STAGE_ORDER.index(x[2]), x[0]))
+        found = sorted(line(r), key=lambda x: -round(x[1], 9))  # stable: equal scores as they were found
         if found:
             out[r["item_id"]] = found[: 1 if found[0][1] >= 100 else keep]
     return out
 
 
 def test_whole_cascade_equals_one_line_at_a_time(spark, sf):
+    """All lines with their codes; some with Cyrillic before the article, some with a name as article."""
     from matchloom.operators.catalog import active, keyed
     from matchloom.plans.views import Tables
 
     t = Tables(spark, sf)
-    items = spark.createDataFrame(t("v_spec_items").where("item_id % 30 = 1").collect(), t("v_spec_items").schema).drop("kaznisa_code_raw").withColumn("kaznisa_code_raw", F.lit(""))
+    raw = F.when(F.expr("item_id % 11 = 0"), F.concat(F.lit("ЩИТ РАСПРЕДЕЛИТЕЛЬНЫЙ "), "article_raw")).when(F.expr("item_id % 101 = 5"), F.concat(F.expr("substring(name_raw, 3, 30)"), F.lit("q"))).otherwise(F.col("article_raw"))
+    lines = t("v_spec_items").withColumn("article_raw", raw)
+    items = spark.createDataFrame(lines.collect(), lines.schema)
     cat = spark.createDataFrame(t("v_catalog").collect(), t("v_catalog").schema)
     want = plain_cascade([r.asDict() for r in M.prepared(items).collect()], [r.asDict() for r in keyed(active(cat)).collect()])
     got = {}
-    for r in M.cascade(items, cat).orderBy("item_id", "rank").collect():
+    for r in M.cascade(items, cat, nocyr=True).orderBy("item_id", "rank").collect():
         got.setdefault(r.item_id, []).append((r.product_id, round(r.score, 6), r.method))
-    assert len(got) > 100 and got == {i: [(p, round(s, 6), m) for p, s, m in x] for i, x in want.items()}
+    assert len(got) > 3000 and got == {i: [(p, round(s, 6), m) for p, s, m in x] for i, x in want.items()}
+    methods = {m for x in got.values() for _, _, m in x}
+    assert methods >= {"exact", "code_exact", "contains", "fuzzy_article", "exact_nocyr", "name_exact"}
+
+
+def test_similarity_of_the_whole_article_comes_before_containment_of_the_bare_one(spark):
+    cat = catalog(spark, [(1, "ABCDEFGHIJK", "n", "", "ss")])
+    items = spark.createDataFrame([(1, "ABCDEFGHIJ IEK", "n", "", False, 1.0)], "item_id long, article_raw string, name_raw string, kaznisa_code_raw string, is_heading boolean, qty double")
+    (r,) = M.cascade(items, cat).collect()
+    assert (r.product_id, r.method) == (1, "fuzzy_article") and 80 <= r.score < 95
