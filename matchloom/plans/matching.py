@@ -112,18 +112,42 @@ def _few(t):
 DUCK["v_few"] = "SELECT * FROM {v_queries} WHERE item_id NOT IN (SELECT item_id FROM {v_equal})"
 
 
-def _token_sort(key: str, product_key: str, cutoff: int, method: str, where: str = "TRUE") -> str:
-    """Every text against every other by a bit-parallel common subsequence of sorted tokens (up to 120 characters)."""
-    chars = lambda c: f"string_split({c}, '')"
-    texts = lambda c, of: f"SELECT t, length(t) AS n, {chars('t')} AS cs, k FROM (SELECT array_to_string(list_sort(list_filter(string_split({c}, ' '), lambda w: w <> '')), ' ') AS t, {c} AS k FROM (SELECT DISTINCT {c} FROM {of})) WHERE t <> ''"
+def _bits(text: str, of: str) -> str:
+    """Distinct texts of ``of`` with the places of their characters as bits, for common subsequences (up to 120 characters)."""
+    return f"""SELECT t, k, n, cs, ds, list_transform(ds, lambda d: list_sum(list_transform(list_filter(range(n), lambda i: cs[i + 1] = d), lambda i: 1::HUGEINT << i::INT))::HUGEINT) AS ms, (1::HUGEINT << n::INT) - 1 AS whole
+      FROM (SELECT t, k, length(t) AS n, string_split(t, '') AS cs, list_distinct(string_split(t, '')) AS ds FROM (SELECT {text} AS t, k FROM (SELECT DISTINCT {of}) WHERE k <> '') WHERE t <> '')"""
+
+
+_SORTED = "array_to_string(list_sort(list_filter(string_split(k, ' '), lambda w: w <> '')), ' ')"
+_LCS = "list_reduce(list_prepend({a}.whole, {masks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {a}.whole)"
+
+
+def _best(score: str, key: str, product_key: str, limit: int, method: str, where: str, items: str, also: str = "TRUE") -> str:
+    """The products of each text's pairs (q, p, score), the first ``limit`` a text, by line."""
+    return f"""best AS (SELECT q, product_id, score FROM (SELECT q, id AS product_id, score FROM ({score}) JOIN {{v_keyed}} ON {product_key} = p) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, product_id) <= {limit})
+    SELECT f.item_id, product_id, round(score, 6) AS score, '{method}' AS method FROM {items} f JOIN best ON best.q = f.{key} AND {where} JOIN {{v_keyed}} ON id = product_id WHERE {also}"""
+
+
+def _token_sort(key: str, product_key: str, cutoff: int, method: str, where: str = "TRUE", items: str = "{v_few}") -> str:
+    """Every text against every other by sorted tokens."""
+    masks = "list_transform(b.cs, lambda c: coalesce(a.ms[list_position(a.ds, c)], 0::HUGEINT))"
+    return f"""
+    WITH asked AS ({_bits(_SORTED, f"{key} AS k FROM {items} WHERE {where}")}), names AS ({_bits(_SORTED, f"{product_key} AS k FROM {{v_keyed}}")}),
+    pairs AS (SELECT a.k AS q, b.k AS p, a.n + b.n AS total, a.n - bit_count({_LCS.format(a="a", masks=masks)}) AS lcs FROM asked a, names b WHERE 200 * least(a.n, b.n) >= {cutoff} * (a.n + b.n)),
+    {_best(f"SELECT q, p, 200.0::DOUBLE * lcs / total AS score FROM pairs WHERE 200 * lcs >= {cutoff} * total", key, product_key, 10, method, where, items)}
+    """
+
+
+def _partial(key: str, product_key: str, cutoff: int, limit: int, method: str, where: str = "TRUE", items: str = "{v_few}", also: str = "TRUE") -> str:
+    """Every window of the longer text against the shorter one, where the whole text has enough of it."""
+    masks = "list_transform(l.cs, lambda c: coalesce(s.ms[list_position(s.ds, c)], 0::HUGEINT))"
+    side = lambda s, l, cmp: f"SELECT a.k AS q, b.k AS p, {s}.n AS m, {l}.n AS n, {s}.whole AS whole, {masks.replace('s.', s + '.').replace('l.', l + '.')} AS ms FROM asked a, names b WHERE a.n {cmp} b.n"  # noqa: E731,E741
     return f"""
-    WITH asked AS (SELECT DISTINCT t, n, list_distinct(cs) AS ds, list_transform(list_distinct(cs), lambda d: list_sum(list_transform(list_filter(range(n), lambda i: cs[i + 1] = d), lambda i: 1::HUGEINT << i::INT))::HUGEINT) AS ms, (1::HUGEINT << n::INT) - 1 AS whole, k FROM ({texts(key, f"(SELECT * FROM {{v_few}} WHERE {where})")})),
-    names AS ({texts(product_key, "{v_keyed}")}),
-    pairs AS (SELECT a.k AS q, b.k AS p, a.n + b.n AS total, a.n AS n, list_reduce(list_prepend(whole, list_transform(b.cs, lambda c: coalesce(ms[list_position(ds, c)], 0::HUGEINT))), lambda v, m: ((v + (v & m)) | (v - (v & m))) & whole) AS v
-      FROM asked a, names b WHERE 200 * least(a.n, b.n) >= {cutoff} * (a.n + b.n)),
-    scored AS (SELECT q, id AS product_id, 200.0::DOUBLE * (n - bit_count(v)) / total AS score FROM pairs JOIN {{v_keyed}} ON {product_key} = p WHERE 200 * (n - bit_count(v)) >= {cutoff} * total),
-    best AS (SELECT q, product_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, product_id) <= 10)
-    SELECT f.item_id, product_id, round(score, 6) AS score, '{method}' AS method FROM {{v_few}} f JOIN best ON best.q = f.{key} AND {where}
+    WITH asked AS ({_bits("k", f"{key} AS k FROM {items} WHERE {where}")}), names AS ({_bits("k", f"{product_key} AS k FROM {{v_keyed}}")}),
+    pairs AS ({side("a", "b", "<=")} UNION ALL {side("b", "a", ">")}),
+    near AS (SELECT * FROM (SELECT *, m - bit_count({_LCS.format(a="x", masks="ms")}) AS lcs FROM pairs x) WHERE 200 * lcs >= {cutoff} * (m + lcs)),
+    wins AS (SELECT q, p, m, whole, ms[greatest(i, 0) + 1 : least(i + m, n)] AS ms FROM (SELECT *, unnest(range(1 - m, n)) AS i FROM near)),
+    {_best(f"SELECT q, p, max(200.0::DOUBLE * (m - bit_count({_LCS.format(a='w', masks='ms')})) / (m + len(ms))) AS score FROM wins w GROUP BY q, p HAVING score >= {cutoff}", key, product_key, limit, method, where, items, also)}
     """
 
 
@@ -155,7 +179,11 @@ def _named_articles(t):
     return items.withColumn("q", F.when((C("item_id") % 3 == 0) & (C("q_name") != ""), F.concat(cut, F.lit("X"))).otherwise(C("q"))), products
 
 
-@query("mat_name_from_article")
+_CUT = "array_to_string(list_slice(string_split(q_name, ' '), 2, 1 + greatest(len(string_split(q_name, ' ')) - 3, 1)), ' ')"
+DUCK["v_named_articles"] = f"SELECT * REPLACE (CASE WHEN item_id % 3 = 0 AND q_name <> '' THEN {_CUT} || 'X' ELSE q END AS q) FROM {{v_few}}"
+
+
+@query("mat_name_from_article", _partial("q", "norm_name", 90, 5, "fuzzy_name_from_article", items="{v_named_articles}"))
 def mat_name_from_article(t):
     return _scored(M.name_from_article(*_named_articles(t)))
 
@@ -165,7 +193,10 @@ def mat_name_fuzzy(t):
     return _scored(M.name_fuzzy(*_few(t)))
 
 
-@query("mat_name_partial")
+_SHARE = "len(list_intersect(string_split(f.q_name, ' '), string_split(norm_name, ' '))) / len(list_distinct(string_split(f.q_name, ' '))) >= 0.4"
+
+
+@query("mat_name_partial", _partial("q_name", "norm_name", 96, 10, "name_partial", "length(q_name) >= 20", also=_SHARE))
 def mat_name_partial(t):
     return _scored(M.name_partial(*_few(t)))
 
@@ -180,6 +211,49 @@ WHERE rank <= CASE WHEN score >= 100 THEN 1 ELSE 5 END
 """
 
 
+def _left(name: str, before: str, *stages: str) -> None:
+    """View ``name``: the lines of ``before`` without a candidate of ``stages``."""
+    DUCK[name] = f"SELECT * FROM {{{before}}} WHERE item_id NOT IN ({' UNION ALL '.join(f'SELECT item_id FROM {{{s}}}' for s in stages)})"
+
+
+def _stage(name: str, sql: str, *before: str) -> None:
+    """View ``name``: candidates that are in none of the stages before."""
+    seen = " UNION ALL ".join(f"SELECT item_id, product_id FROM {{{b}}}" for b in before)
+    DUCK[name] = f"SELECT item_id, product_id, score, method FROM ({sql})" + (f" ANTI JOIN ({seen}) USING (item_id, product_id)" if before else "")
+
+
+def _of(view: str) -> str:
+    return f"item_id IN (SELECT item_id FROM {{{view}}})"
+
+
+_stage("v_stage_0", "SELECT * FROM {v_equal} WHERE method <> 'name_exact'")
+_left("v_stage_lines1", "v_queries", "v_stage_0")
+_stage("v_stage_1", _contains("q", "norm_art", 95, "contains", where=_of("v_stage_lines1")))
+_stage("v_stage_2", _token_sort("q", "norm_art", 80, "fuzzy_article", items="{v_stage_lines1}"), "v_stage_1")
+_stage("v_stage_3", _contains("q_brandless", "norm_art", 95, "contains", where=_of("v_stage_lines1")), "v_stage_1", "v_stage_2")
+_stage("v_stage_4", _token_sort("q_brandless", "norm_art", 80, "fuzzy_article", items="{v_stage_lines1}"), "v_stage_1", "v_stage_2", "v_stage_3")
+_stage("v_stage_5", _partial("q", "norm_name", 90, 5, "fuzzy_name_from_article", items="{v_stage_lines1}"), "v_stage_1", "v_stage_2", "v_stage_3", "v_stage_4")
+_left("v_stage_lines2", "v_stage_lines1", *[f"v_stage_{k}" for k in range(1, 6)])
+_stage("v_stage_6", f"WITH whole AS ({_NOCYR}), both_ AS (SELECT * FROM whole UNION ALL SELECT * FROM ({_NOCYR_BARE}) WHERE item_id NOT IN (SELECT item_id FROM whole)) SELECT * FROM both_ WHERE {_of('v_stage_lines2')}")
+_left("v_stage_lines3", "v_stage_lines2", "v_stage_6")
+_stage("v_stage_7", _contains("q_nocyr", "norm_nocyr", 95, "contains_nocyr", where=_of("v_stage_lines3")))
+_stage("v_stage_8", _token_sort("q_nocyr", "norm_nocyr", 80, "fuzzy_nocyr", items="{v_stage_lines3}"), "v_stage_7")
+_left("v_stage_lines4", "v_stage_lines3", "v_stage_7", "v_stage_8")
+_stage("v_stage_9", f"SELECT * FROM ({_NAM}) WHERE {_of('v_stage_lines4')}")
+_left("v_stage_lines5", "v_stage_lines4", "v_stage_9")
+_LONG = f"{_NAME} AND {_of('v_stage_lines5')}"
+_stage("v_stage_seen", _contains("q_name", "norm_name", 93, "name_contains", where=_LONG).replace(">= 0.7", ">= 0"))
+_stage("v_stage_10", _contains("q_name", "norm_name", 93, "name_contains", where=_LONG))
+_stage("v_stage_11", _token_sort("q_name", "norm_name", 93, "name_fuzzy", _NAME, "{v_stage_lines5}"), "v_stage_seen")
+_stage("v_stage_12", _partial("q_name", "norm_name", 96, 10, "name_partial", _NAME, "{v_stage_lines5}", _SHARE), "v_stage_seen", "v_stage_11")
+DUCK["v_stage_all"] = f"""
+SELECT item_id, product_id, score, method, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, step, product_id)::INT AS rank, max(score) OVER (PARTITION BY item_id) AS top
+  FROM ({' UNION ALL '.join(f'SELECT *, {k} AS step FROM {{v_stage_{k}}}' for k in range(13))}))
+WHERE rank <= CASE WHEN top >= 100 THEN 1 ELSE 5 END
+"""
+
+
 def _whole(t):
     """Candidates of all stages, written once."""
     if "v_whole" not in t._held:
@@ -194,7 +268,7 @@ def _cascade(t):
     return t._held["v_cascade"]
 
 
-@query("mat_cascade")
+@query("mat_cascade", "SELECT * FROM {v_stage_all}")
 def mat_cascade(t):
     """All stages of the cascade over all lines."""
     return _scored(_whole(t))
@@ -210,12 +284,12 @@ def _products(candidates):
     return candidates.groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "product_id"))), lambda x: x["product_id"].cast("string")), ",").alias("products"), F.count("*").alias("n"))
 
 
-@query("mat_rank")
+@query("mat_rank", "SELECT item_id, string_agg(product_id::VARCHAR, ',' ORDER BY rank) AS products, count(*) AS n FROM {v_stage_all} GROUP BY item_id")
 def mat_rank(t):
     return _products(_whole(t))
 
 
-@query("win_candidate_rank")
+@query("win_candidate_rank", "SELECT item_id, product_id, rank FROM {v_stage_all}")
 def win_candidate_rank(t):
     return _whole(t).select("item_id", "product_id", "rank")
 
@@ -236,7 +310,13 @@ def mat_segment_filter(t):
     return M.segment_filter(M.equality_candidates(t("v_spec_items"), t("v_catalog")), t("v_catalog"), ["ss", "sil"])
 
 
-@query("mat_status")
+@query("mat_status", """
+WITH per AS (SELECT s.*, segment, max(score) OVER (PARTITION BY item_id) AS top FROM {v_stage_all} s JOIN {v_catalog} c ON c.id = s.product_id),
+best AS (SELECT item_id, max(top) AS top, count(*) FILTER (top - score <= 5) AS n, count(DISTINCT segment) FILTER (top - score <= 5 AND score >= 100) AS segments, arg_min(method, rank) AS method, arg_min(product_id, rank) AS product_id FROM per GROUP BY 1)
+SELECT i.item_id, CASE WHEN is_heading THEN 'heading' WHEN top IS NULL THEN 'not_found' WHEN top >= 100 THEN CASE WHEN segments > 1 THEN 'multiple' ELSE 'exact' END WHEN n > 1 THEN 'multiple' ELSE 'fuzzy' END AS status,
+  method AS match_method, product_id, CASE WHEN is_heading THEN 0.0::DOUBLE ELSE qty END AS qty
+FROM {v_spec_items} i LEFT JOIN best USING (item_id)
+""")
 def mat_status(t):
     return M.statuses(t("v_spec_items"), _whole(t), t("v_catalog")).select("item_id", "status", "match_method", "product_id", "qty")
 

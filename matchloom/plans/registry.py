@@ -32,7 +32,8 @@ def with_views(sql: str) -> str:
     body = plain(sql).strip()
     if not order:
         return body
-    ctes = ",\n".join(f"{n} AS ({plain(DUCK[n]).strip()})" for n in order)
+    # Stages are used by all that follow them, so they are computed once.
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n.startswith('v_stage_') else ''}({plain(DUCK[n]).strip()})" for n in order)
     return f"WITH {ctes},\n{body[4:].lstrip()}" if body.upper().startswith("WITH") else f"WITH {ctes}\n{body}"
 
 
