@@ -133,12 +133,15 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_words, n_distinct, n_tokens): one row per input row, over whole texts.
 
     Words are separated by ASCII white space.  Null, empty and blank texts have no
-    words and no tokens; repeated rows come out repeatedly.
+    words and no tokens; repeated rows come out repeatedly.  Of segmentations of equal
+    score that counts whose last token is the shortest.  Words over TRIE_DEPTH are scored
+    alone, of any length, and not remembered.  An empty table gives none; further columns,
+    whatever their names, are left out.
     """
 
     def make():
         model = unigram(path)
-        known: dict[bytes, int] = {}
+        known: dict[bytes, int] = {}  # of at most TRIE_DEPTH bytes each, so bounded in bytes too
 
         def run(batch):
             if len(known) > REMEMBERED:
@@ -147,12 +150,14 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kinds = [set(w) for w in words]
             new = list(set().union(*kinds).difference(known))
             counts = trie_counts([SPACE + w.decode("utf-8", "surrogatepass") for w in new], model).tolist() if new else []
-            known.update(zip(new, counts))
+            fresh = dict(zip(new, counts))
+            known.update((w, n) for w, n in fresh.items() if len(w) <= TRIE_DEPTH)
+            of = lambda w: known[w] if w in known else fresh[w]
             return {
                 "doc_id": batch.column(0),
                 "n_words": pa.array([len(w) for w in words], pa.int64()),
                 "n_distinct": pa.array([len(k) for k in kinds], pa.int64()),
-                "n_tokens": pa.array([sum(map(known.__getitem__, w)) for w in words], pa.int64()),
+                "n_tokens": pa.array([sum(map(of, w)) for w in words], pa.int64()),
             }
 
         return run

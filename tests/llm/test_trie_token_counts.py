@@ -50,3 +50,10 @@ def test_edges(spark):
     got = {r.doc_id: r.n_tokens for r in C.token_counts(docs).collect()}
     assert got[1] == got[2] == got[3] == 0 and got[None] == 2 and got[4] > 0
     assert C.token_counts(docs).count() == 6 and C.token_counts(docs.limit(0)).count() == 0
+
+
+def test_long_words_are_scored_each_time(spark):
+    rows = [(k, f"short {'y' * (100 + k % 3)} short") for k in range(30)]
+    model = C.unigram()
+    for r in C.token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        assert r.n_tokens == 2 * C.count_one(SPACE + "short", model) + C.count_one(SPACE + "y" * (100 + r.doc_id % 3), model)
