@@ -258,14 +258,12 @@ class Encoder:
         """Packed ids of occurrences of units with their keys."""
         if len(self.ids) > REMEMBERED:
             self._forget()
-        fresh = [u for u in dict.fromkeys(units) if u not in self.known]
-        single = {u for u in fresh if len(u) > BATCH_CHARS or SPACE in u}
-        self.known.update(dict.fromkeys(single, -1))
-        fresh = [u for u in fresh if u not in single]
+        # Long units go one by one and are not remembered, so what is held is bounded.
+        fresh = [u for u in dict.fromkeys(units) if u not in self.known and not (len(u) > BATCH_CHARS or SPACE in u)]
         if fresh:
             self.known.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh))))
             self._grow(fresh, np.full(len(fresh), -1), np.empty((len(fresh), 0), np.int64))
-        run = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        run = np.fromiter((self.known.get(u, -1) for u in units), np.int64, len(units))
         live, depth = np.flatnonzero(run >= 0), 0
         while len(live):
             own, key = run[live], keys[live]

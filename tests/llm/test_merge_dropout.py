@@ -113,3 +113,10 @@ def test_edges(spark):
     assert all(r.lossless for r in M.round_trip(docs).collect())
     assert M.round_trip(docs.limit(0)).count() == 0 and M.encode(docs.limit(0)).count() == 0
     assert load(MODEL).raw[load(MODEL).byte_ids[65]] == b"A"
+
+
+def test_long_units_are_not_remembered():
+    e = encoder(0.1)
+    texts = [" ".join("".join(random.Random(k * 1000 + j).choices("abcdef", k=60)) for j in range(200)) for k in range(3)]
+    first = [e.encode(t, 7) for t in texts]
+    assert not e.known and [e.encode(t, 7) for t in texts] == first
