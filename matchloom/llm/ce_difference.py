@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import map_rows, materialize, slices
+from matchloom.llm.common import SLICE_BYTES, map_rows, materialize, slices
 from matchloom.llm.suffix_decontam import words_of
 
 #: Weight of the unigram model in a bigram estimate, in counts.
@@ -33,6 +33,8 @@ SMOOTHING = 50.0
 #: Bytes of text a bucket and a chunk, and how many there are at least.
 BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 256
 CHUNK_BYTES, LEAST_CHUNKS = 8 << 20, 64
+#: Slices up to which a bucket's counts are added up at once; beyond, those of so many partitions are first.
+MOST_SLICES, FEW_PARTITIONS = 2048, 64
 #: Bits of a key beyond those that count the bytes of text.
 SPARE_BITS = 20
 
@@ -161,7 +163,7 @@ def fit_tables(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     bits = (max(LEAST_BUCKETS, -(-total // BUCKET_BYTES)) - 1).bit_length()
     width = min(62, max(total.bit_length() + SPARE_BITS, bits))
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("string").alias("id"), F.lit(True).alias("good")).distinct()
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).join(good, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).join(good, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"), F.spark_partition_id().alias("part"))
 
     def count(batches):
         for part in slices(batches, "text"):
@@ -171,7 +173,8 @@ def fit_tables(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             own = part.column(1).to_numpy(zero_copy_only=False)
             background, target = s.counts(np.ones(len(own))), s.counts(own)
             bucket, parts = s.buckets(bits)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket), "keys": _packed(s.keys, parts, True), "background": _packed(background, parts), "target": _packed(target, parts)})
+            here = pa.array(np.full(len(parts), part.column(2)[0].as_py(), np.int32))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket), "part": here, "keys": _packed(s.keys, parts, True), "background": _packed(background, parts), "target": _packed(target, parts)})
 
     def add_up(part: pa.Table) -> pa.Table:
         keys, at = np.unique(np.concatenate(_unpacked(part["keys"], True)), return_inverse=True)
@@ -182,10 +185,16 @@ def fit_tables(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         is_word = (keys & np.uint64(3)) == _WORD
         one = [slice(0, len(keys))]
         sums = {"n_words": int(is_word.sum()), "n_background": int(n[0][is_word].sum()), "n_target": int(n[1][is_word].sum())}
-        return pa.table({"bucket": part["bucket"][:1], "keys": _packed(keys, one, True), "background": _packed(n[0], one), "target": _packed(n[1], one), **{k: pa.array([v], pa.int64()) for k, v in sums.items()}})
-
-    kind = "bucket int, keys binary, background binary, target binary"
-    counts = rows.mapInArrow(count, kind).groupBy("bucket").applyInArrow(add_up, f"{kind}, n_words long, n_background long, n_target long")
+        return pa.table({"bucket": part["bucket"][:1], "part": part["part"][:1], "keys": _packed(keys, one, True), "background": _packed(n[0], one), "target": _packed(n[1], one), **{k: pa.array([v], pa.int64()) for k, v in sums.items()}})
+
+    kind = "bucket int, part int, keys binary, background binary, target binary"
+    summed = f"{kind}, n_words long, n_background long, n_target long"
+    counts, many = rows.mapInArrow(count, kind), total // SLICE_BYTES + 1
+    # A frequent word's bucket has a row a slice: sums of few partitions keep its last group small.
+    while many > MOST_SLICES:
+        few = counts.withColumn("part", (F.col("part") / FEW_PARTITIONS).cast("int"))
+        counts, many = few.groupBy("bucket", "part").applyInArrow(add_up, summed).select("bucket", "part", "keys", "background", "target"), many // FEW_PARTITIONS
+    counts = counts.groupBy("bucket").applyInArrow(add_up, summed)
     counts = materialize(counts, "n-gram-counts")
     n_words, background, target = (x or 0 for x in counts.agg(F.sum("n_words"), F.sum("n_background"), F.sum("n_target")).first())
     return Tables(counts.select("bucket", "keys", "background", "target"), bits, width, n_words if words is None else len(words), background, target, smoothing, words)
@@ -234,7 +243,8 @@ def ce_difference(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_
         return pa.table({"doc_id": texts["doc_id"], "n_tokens": pa.array(s.length), **{k: pa.array(v, pa.float64(), mask=none) for k, v in columns.items()}})
 
     chunks = max(LEAST_CHUNKS, -(-_total_bytes(docs, text_col) // CHUNK_BYTES))
-    texts = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).alias("chunk"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # Rows that repeat an id and a text are told apart by where they are read, so no chunk gets them all.
+    texts = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(chunks)).alias("chunk"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # Both groupings read one exchange of the texts.
     asked = texts.groupBy("chunk").applyInArrow(ask, "bucket int, chunk long, keys binary")
     found = asked.groupBy("bucket").cogroup(tables.counts.groupBy("bucket")).applyInArrow(look_up, "chunk long, bucket int, target binary, background binary")

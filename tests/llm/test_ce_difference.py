@@ -81,3 +81,25 @@ def test_rare_words_and_all_good_documents_count(spark):
     for i, (n, target, background) in want.items():
         assert got[i].n_tokens == n and abs(got[i].loss_target - target) < 1e-9 and abs(got[i].loss_background - background) < 1e-9
     assert got[3000].score < got[3350].score  # they differ in rare words only
+
+
+def test_sums_of_few_partitions_first_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the w{i % 40} the x{i % 7}") for i in range(400)], "doc_id long, text string").repartition(9)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 400, 3)], "doc_id long, quality int, toxic int")
+
+    def scored():
+        return sorted((r.doc_id, r.n_tokens, round(r.loss_target, 12), round(r.loss_background, 12)) for r in M.ce_difference(docs, M.fit_tables(docs, labels)).collect())
+
+    once = scored()
+    monkeypatch.setattr(M, "MOST_SLICES", 0)
+    monkeypatch.setattr(M, "FEW_PARTITIONS", 2)
+    assert scored() == once
+
+
+def test_equal_rows_and_long_texts(spark):
+    rows = [(None, "same text here")] * 300 + [(1, "word " * 100_000), (2, "same text here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")
+    got = M.ce_difference(docs, M.fit_tables(docs, labels)).collect()
+    same = {(r.n_tokens, r.score) for r in got if r.doc_id != 1}
+    assert len(got) == 302 and len(same) == 1 and {r.n_tokens for r in got if r.doc_id == 1} == {100_000}
