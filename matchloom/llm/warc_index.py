@@ -95,8 +95,10 @@ def write_archives(pages: DataFrame, base: str, id_col: str = "page_id", url_col
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     # Digests alone are grouped; only those with copies take part in the join.
-    copies = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
-    planned = rows.join(copies, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id").eqNullSafe(F.col("original")), F.lit(None)).otherwise(F.col("original")).alias("original"), capture_key(F.col("url"), F.col("page_id")).alias("key"))
+    # They are written, so their size is known before the pages are read; small payloads stay where they are.
+    large = F.octet_length("html") >= min_bytes
+    copies = materialize(rows.where(large).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-copies")
+    planned = rows.where(large).join(copies, "digest", "left").unionByName(rows.where(~large).withColumn("original", F.lit(None).cast("long"))).select("page_id", "url", "html", "digest", F.when(F.col("page_id").eqNullSafe(F.col("original")), F.lit(None)).otherwise(F.col("original")).alias("original"), capture_key(F.col("url"), F.col("page_id")).alias("key"))
 
     def run(batches):
         store, name, at, out = None, "", 0, None
