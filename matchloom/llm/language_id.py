@@ -186,7 +186,9 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
 
     A null text, one without a letter, or any text without a model is ``und`` with
     score 0 and not accepted; ``accepted`` is whether the calibrated score reaches
-    the threshold.  Only the text is looked at.
+    the threshold.  Only the text is looked at: whole, of any length, so equal texts
+    get equal results and repeated rows come out repeatedly; of equal probabilities the first
+    language in order counts.  An empty table gives none; further columns are left out.
     """
 
     def make():

@@ -88,7 +88,9 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows are copies in one group and get a slot each; a null id gets a
     place like any other.  Slots count from 0 within a shard without gaps.  A group
     larger than a shard's even share stays whole, on a shard of its own if need
-    be.  An empty table gives no rows.
+    be.  An empty table gives no rows.  Texts of any length count whole; of equal
+    groups that of the smaller digest goes first, of equal loads the smaller shard.  Further
+    columns, whatever their names, are left out.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(

@@ -206,8 +206,10 @@ def _joined(spans: list[tuple[int, int, int]], kinds: list[str]) -> str:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per input row: counts of the base kinds, the digest of their spans, all spans.
 
-    Spans are in code points of the whole text, end exclusive.  A null text has
-    none, as an empty one; repeated rows come out repeatedly.
+    Spans are in code points of the whole text, of any length, end exclusive.  A null text
+    has none, as an empty one; repeated rows come out repeatedly.  Spans of several kinds may
+    overlap: all stay, by start and then in the order of the rules.  An empty table gives
+    none; further columns, whatever their names, are left out.
     """
 
     def make():
