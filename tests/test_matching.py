@@ -150,6 +150,31 @@ def test_top_k_with_many_equal_vectors(spark):
         assert [i for _, i in sorted(found)] == [i for _, i in want]
 
 
+@pytest.mark.parametrize("minimum", [None, 0.3, 0.92])
+def test_tiles_lose_nothing_and_skip_what_cannot_reach(spark, minimum):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, ["ss", "os", "xx"][i % 3], [float(x) for x in centres[i % 12] + rng.normal(size=16) * 0.15]) for i in range(1500)] + [(9000, "ss", None)]
+    vectors = spark.createDataFrame(rows, "id long, segment string, embedding array<double>")
+    queries = spark.createDataFrame([(i, [x + 0.05 for x in v]) for i, _, v in rows[:1500:25]] + [(1, None)], "query_id long, embedding array<double>")
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    stored = {i: unit(v) for i, s, v in rows if v and s in ("ss", "os")}
+    got = {}
+    for r in V.top_k(queries, vectors, 4, ("ss", "os"), minimum=minimum, tile=40).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, round(r.similarity, 9)))
+    want = {}
+    for i, v in [(i, [x + 0.05 for x in v]) for i, _, v in rows[:1500:25]]:
+        best = sorted((-round(float(unit(v) @ s), 9), k) for k, s in stored.items() if minimum is None or unit(v) @ s >= minimum)[:4]
+        if best:
+            want[i] = [(k, -s) for s, k in best]
+    assert got == want and len(got) >= 40
+    wanted = vectors.where("segment in ('ss', 'os') and embedding is not null")
+    pivots = V.pivots_of(wanted)
+    tiles, (_, asked) = V.vector_tiles(wanted, pivots, 40), V.query_tiles(queries.where("embedding is not null"), pivots, 40)
+    share = V.tile_pairs(asked, tiles, minimum).count() / V.tile_pairs(asked, tiles, None).count()
+    assert share == 1 if minimum is None else share < (0.9 if minimum < 0.5 else 0.4)
+
+
 def test_upsert_twice_is_the_same(spark):
     cat = catalog(spark, [(1, "A", "old", "", "ss"), (2, "A", "other", "", "os")])
     rows = spark.createDataFrame([(1, "A", "first"), (2, "A", "last"), (3, "N", "new"), (4, None, "none")], "row_no int, article string, name string")
