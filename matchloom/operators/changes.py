@@ -69,16 +69,27 @@ def upsert_currencies(currencies: DataFrame, rows: DataFrame, order: str = "row_
     return currencies.join(last, "name", "full_outer").select("name", F.coalesce("_rate", "rate").alias("rate"))
 
 
-def upsert_people(people: DataFrame, rows: DataFrame) -> DataFrame:
-    """By name: given fields replace, and the person is active again."""
-    joined = people.join(rows.select("full_name", F.struct("position", "email", "phone").alias("_n")), "full_name", "full_outer")
+def one_of(rows: DataFrame, key: str, fields: Sequence[str], order: str | None, last: bool) -> DataFrame:
+    """(key, _e): of rows that repeat a key the first or last by ``order`` (ties and no order: the
+    least or greatest fields), so that a join by the key does not fan out."""
+    struct = F.struct(*[F.col(f).alias(f) for f in fields])
+    place = F.struct(*([F.col(order).alias("_o")] if order else []), struct.alias("_f"))
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg((F.max if last else F.min)(place).alias("_p")).select(key, F.col("_p._f").alias("_e"))
+
+
+def upsert_people(people: DataFrame, rows: DataFrame, order: str | None = None) -> DataFrame:
+    """By name: given fields replace, and the person is active again.  Of a name that rows repeat the
+    first (by ``order``) counts; rows without a name are left out."""
+    joined = people.join(one_of(rows, "full_name", ("position", "email", "phone"), order, last=False).withColumnRenamed("_e", "_n"), "full_name", "full_outer")
     return joined.select("full_name", *[F.coalesce(F.col("_n")[c], F.col(c)).alias(c) for c in ("position", "email", "phone")], (F.col("_n").isNotNull() | F.coalesce("is_active", F.lit(False))).alias("is_active"))
 
 
-def patch(table: DataFrame, edits: DataFrame, key: str = "id") -> DataFrame:
-    """Rows with an edit take the fields that it gives."""
-    fields = [c for c in edits.columns if c != key]
-    joined = table.join(edits.select(key, F.struct(*fields).alias("_e")), key, "left")
+def patch(table: DataFrame, edits: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Rows with an edit take the fields that it gives; of several edits the last (by ``order``) that gives a field."""
+    fields = [c for c in edits.columns if c not in (key, order)]
+    given = edits.where(F.col(key).isNotNull()).groupBy(key)
+    last = lambda f: F.max_by(f, F.when(F.col(f).isNotNull(), F.struct(order, f))) if order else F.max(f)
+    joined = table.join(given.agg(*[last(f).alias(f"_{f}") for f in fields]).select(key, F.struct(*[F.col(f"_{f}").alias(f) for f in fields]).alias("_e")), key, "left")
     return joined.select(*[F.coalesce(F.col("_e")[c], F.col(c)).alias(c) if c in fields else F.col(c) for c in table.columns])
 
 
@@ -158,12 +169,18 @@ def apply_diff(catalog: DataFrame, diff: DataFrame, status: str = "pending") ->
     return kept.unionByName(added)
 
 
-def new_version(versions: DataFrame, uploads: DataFrame) -> DataFrame:
-    """Uploads (filename, file_hash) become the next versions and the only active ones, all
-    earlier are deactivated; those whose hash is known are rejected (left out)."""
-    fresh = uploads.join(versions.select("file_hash"), "file_hash", "left_anti")
+def new_version(versions: DataFrame, uploads: DataFrame, order: str | None = None) -> DataFrame:
+    """Uploads (filename, file_hash) become the next versions of their file, in order, and the
+    last of a file its only active one; all earlier are deactivated.  Uploads whose hash
+    is known, or came before in the same batch, are rejected (left out).  ``order`` is a
+    column of the uploads; without it they go by name and hash."""
+    place = F.struct(*([order] if order else []), "filename", "file_hash")
+    once = uploads.groupBy("file_hash").agg(F.min(F.struct(place.alias("place"), F.col("filename").alias("filename"))).alias("f")).select("file_hash", "f.filename", F.col("f.place").alias("place"))
+    fresh = once.join(versions.select("file_hash").distinct(), "file_hash", "left_anti")
     top = versions.groupBy("filename").agg(F.max("version").alias("top"))
-    added = fresh.join(top, "filename", "left").select("filename", (F.coalesce("top", F.lit(0)) + 1).alias("version"), "file_hash", F.lit(True).alias("is_active"))
+    by = Window.partitionBy("filename")
+    ranked = fresh.withColumns({"n": F.row_number().over(by.orderBy("place")), "of": F.count("*").over(by)})
+    added = ranked.join(top, "filename", "left").select("filename", (F.coalesce("top", F.lit(0)) + F.col("n")).cast("long").alias("version"), "file_hash", (F.col("n") == F.col("of")).alias("is_active"))
     touched = fresh.select("filename", F.lit(True).alias("_new")).distinct()
     old = versions.join(touched, "filename", "left").select("filename", "version", "file_hash", (F.col("is_active") & F.col("_new").isNull()).alias("is_active"))
     return old.unionByName(added)

@@ -99,10 +99,10 @@ def cdc_currency_upsert(t):
 
 @query("cdc_people_upsert", "SELECT coalesce(full_name, 'Old') AS full_name, email, full_name IS NOT NULL AS is_active FROM (SELECT c2 AS full_name, arg_min(c4, row_no) AS email FROM {v_const_rows} WHERE c2 NOT IN ('Фамилия, имя', 'ФИО') GROUP BY 1 UNION ALL SELECT NULL, 'old@example.org')")
 def cdc_people_upsert(t):
-    from matchloom.sources.sheets import people
+    from matchloom.sources.sheets import people_rows
 
     old = t.spark.createDataFrame([("Person 1", "x", "y", "z", False), ("Old", None, "old@example.org", None, False)], "full_name string, position string, email string, phone string, is_active boolean")
-    return H.upsert_people(old, people(t("v_const_rows"))).select("full_name", "email", "is_active")
+    return H.upsert_people(old, people_rows(t("v_const_rows")), "row_no").select("full_name", "email", "is_active")
 
 
 @query("cdc_patch", "SELECT id, CASE WHEN id % 10 = 0 THEN 'patched' ELSE name END AS name, CASE WHEN id % 20 = 0 THEN 9.5::DOUBLE ELSE rrts END AS rrts FROM {v_catalog}")
@@ -118,16 +118,19 @@ def cdc_soft_delete(t):
 
 @query("cdc_versions", """
 WITH v AS (SELECT filename, row_number() OVER (PARTITION BY filename ORDER BY id) AS version, concat(file_hash, id::VARCHAR) AS file_hash, TRUE AS is_active FROM {v_uploads}),
-u AS (SELECT DISTINCT filename, CASE WHEN version % 2 = 0 THEN 'fresh' ELSE NULL END AS f FROM {v_uploads})
-SELECT filename, version, is_active AND f IS NULL AS is_active FROM v JOIN u USING (filename) UNION ALL SELECT filename, max(version) + 1, TRUE FROM v JOIN u USING (filename) WHERE f IS NOT NULL GROUP BY 1
+u AS (SELECT DISTINCT filename, CASE WHEN version % 2 = 0 THEN 'fresh' ELSE NULL END AS f FROM {v_uploads}),
+new AS (SELECT filename, max(version) AS top FROM v JOIN u USING (filename) WHERE f IS NOT NULL GROUP BY 1)
+SELECT filename, version, is_active AND f IS NULL AS is_active FROM v JOIN u USING (filename) UNION ALL SELECT filename, top + 1, FALSE FROM new UNION ALL SELECT filename, top + 2, TRUE FROM new
 """)
 def cdc_versions(t):
     from pyspark.sql import Window
 
     v = t("v_uploads").select("filename", F.row_number().over(Window.partitionBy("filename").orderBy("id")).cast("long").alias("version"), F.concat("file_hash", C("id").cast("string")).alias("file_hash"), F.lit(True).alias("is_active"))
-    even = t("v_uploads").where("version % 2 = 0").select("filename").distinct().select("filename", F.concat(F.lit("fresh"), "filename").alias("file_hash"))
-    known = v.where("version = 1").select("filename", "file_hash")
-    return H.new_version(v, even.unionByName(known)).select("filename", "version", "is_active")
+    # Two new uploads of every second file in one batch, the first given again after them, and known ones.
+    even = t("v_uploads").where("version % 2 = 0").select("filename").distinct()
+    sent = even.select("filename", F.explode(F.array(*[F.struct(F.lit(k).alias("seq"), F.concat(F.lit(h), "filename").alias("file_hash")) for k, h in ((1, "z"), (2, "a"), (3, "z"))])).alias("u")).select("filename", "u.*")
+    known = v.where("version = 1").select("filename", F.lit(4).alias("seq"), "file_hash")
+    return H.new_version(v, sent.unionByName(known), "seq").select("filename", "version", "is_active")
 
 
 @query("cdc_active_version", "SELECT filename, max(version) AS version FROM {v_uploads} WHERE is_active GROUP BY 1")

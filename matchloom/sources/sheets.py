@@ -34,10 +34,15 @@ def catalog_rows(rows: DataFrame, segment: str = L.DEFAULT_SEGMENT) -> DataFrame
     return typed.where(C("article").isNotNull())
 
 
+def people_rows(rows: DataFrame) -> DataFrame:
+    """All rows of people of a constants sheet, with their row numbers."""
+    some = rows.select("row_no", X.safe_str(C("c2")).alias("full_name"), X.safe_str(C("c3")).alias("position"), X.safe_str(C("c4")).alias("email"), X.safe_str(C("c5")).alias("phone"))
+    return some.where(C("full_name").isNotNull() & ~C("full_name").isin(*L.PEOPLE_HEADERS))
+
+
 def people(rows: DataFrame) -> DataFrame:
     """People of a constants sheet; the first row of a name counts."""
-    some = rows.select("row_no", X.safe_str(C("c2")).alias("full_name"), X.safe_str(C("c3")).alias("position"), X.safe_str(C("c4")).alias("email"), X.safe_str(C("c5")).alias("phone"))
-    some = some.where(C("full_name").isNotNull() & ~C("full_name").isin(*L.PEOPLE_HEADERS))
+    some = people_rows(rows)
     first = some.groupBy("full_name").agg(F.min_by(F.struct("row_no", "position", "email", "phone"), "row_no").alias("r"))
     return first.select("full_name", "r.*")
 

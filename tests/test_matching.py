@@ -183,6 +183,26 @@ def test_upsert_twice_is_the_same(spark):
     assert {(r.id, r.article, r.name, r.segment) for r in once.collect()} == {(1, "A", "last", "ss"), (2, "A", "other", "os"), (3, "N", "new", "ss")} == {(r.id, r.article, r.name, r.segment) for r in twice.collect()}
 
 
+def test_batches_that_repeat_a_key(spark):
+    from matchloom.operators import review as R
+
+    versions = spark.createDataFrame([("a", 1, "h1", True), ("b", 1, "h2", True)], "filename string, version long, file_hash string, is_active boolean")
+    sent = spark.createDataFrame([(1, "a", "z"), (2, "a", "y"), (3, "a", "z"), (4, "b", "h1"), (5, "c", "x"), (6, "c", "x")], "seq int, filename string, file_hash string")
+    got = sorted((r.filename, r.version, r.file_hash, r.is_active) for r in H.new_version(versions, sent, "seq").collect())
+    assert got == [("a", 1, "h1", False), ("a", 2, "z", False), ("a", 3, "y", True), ("b", 1, "h2", True), ("c", 1, "x", True)]
+    people = spark.createDataFrame([("P", "x", None, None, False)], "full_name string, position string, email string, phone string, is_active boolean")
+    rows = spark.createDataFrame([(2, "P", None, "late", None), (1, "P", None, "first", None), (3, None, "n", "n", "n"), (4, "Q", None, None, "7")], "row_no int, full_name string, position string, email string, phone string")
+    assert sorted((r.full_name, r.position, r.email, r.phone, r.is_active) for r in H.upsert_people(people, rows, "row_no").collect()) == [("P", "x", "first", None, True), ("Q", None, None, "7", True)]
+    table = spark.createDataFrame([(1, "n", 1.0), (2, "m", 2.0)], "id long, name string, rrts double")
+    edits = spark.createDataFrame([(1, 1, "old", 5.0), (2, 1, "new", None)], "at int, id long, name string, rrts double")
+    assert sorted(tuple(r) for r in H.patch(table, edits, order="at").collect()) == [(1, "new", 5.0), (2, "m", 2.0)]
+    lines = spark.createDataFrame([(1, "fuzzy", "x", 7)], "item_id long, status string, match_method string, product_id long")
+    choices = spark.createDataFrame([(1, 1, 8, False), (2, 1, 9, False)], "at int, item_id long, chosen_id long, confirm_only boolean")
+    assert [(r.status, r.product_id, r.corrected) for r in R.apply_choices(lines, choices, "at").collect()] == [("exact", 9, True)]
+    new = spark.createDataFrame([(1, 1, "ai_match", 3), (2, 1, "ai_match", 4)], "at int, item_id long, status string, product_id long")
+    assert [r.product_id for r in R.apply_rematch(lines, new, "at").collect()] == [4]
+
+
 def plain_cascade(items, catalog, keep=5):
     """The whole cascade one line at a time, over prepared rows; equal texts are looked up once."""
     from functools import cache
