@@ -9,9 +9,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from matchloom.functions import lexicons as L
 from matchloom.functions import text as X
+from matchloom.sources.commits import commit, commits, committed, is_committed, prepare
 
 TRACKED = ("rrts", "opt", "partner")
 TOLERANCE = 0.01
@@ -169,6 +171,40 @@ def apply_diff(catalog: DataFrame, diff: DataFrame, status: str = "pending") ->
     return kept.unionByName(added)
 
 
+JOB_FIELDS = "job_id long, status string, rows_new long, rows_updated long, rows_deleted long, rows_history long"
+
+
+HISTORY = "supplier_code string, article string, field string, old_value double, new_value double, import_log_id long"
+
+
+def confirm_import(catalog: DataFrame, diff: DataFrame, path: str, job_id: int, supplier: str) -> DataFrame:
+    """Applies a pending diff once: the catalog after it and its price history are written, then the
+    job's record with its counts.  The stored record refuses a second confirmation, and a job
+    that died before its record is done anew.  The catalog as committed."""
+    spark, batch = catalog.sparkSession, f"job-{job_id}"
+    if is_committed(spark, f"{path}/catalog", batch):
+        raise ValueError(f"import {job_id} was confirmed already")
+    after = apply_diff(catalog, diff)
+    attempt = prepare(after, f"{path}/catalog", batch)
+    history = price_history(diff, supplier, job_id)
+    prepare(history, f"{path}/history", batch, attempt=attempt)
+    n = {r["kind"]: r["n"] for r in diff.where("kind <> 'skipped'").groupBy("kind").agg(F.count_distinct("article").alias("n")).collect()}
+    counts = {"rows_new": n.get("new", 0), "rows_updated": n.get("updated", 0), "rows_deleted": n.get("deleted", 0), "rows_history": history.count()}
+    if not commit(spark, f"{path}/catalog", batch, attempt, job_id=job_id, status="confirmed", **counts):
+        raise ValueError(f"import {job_id} was confirmed already")
+    return committed(spark, f"{path}/catalog", after.schema).where(F.col("batch") == batch).drop("batch")
+
+
+def confirmed_history(spark, path: str) -> DataFrame:
+    """Price history of all confirmed imports."""
+    return committed(spark, f"{path}/history", _parse_datatype_string(HISTORY), records=f"{path}/catalog").drop("batch")
+
+
+def confirmed_jobs(spark, path: str) -> DataFrame:
+    """(job_id, status, counts) of all confirmed imports."""
+    return commits(spark, f"{path}/catalog", JOB_FIELDS).drop("batch", "attempt")
+
+
 def new_version(versions: DataFrame, uploads: DataFrame, order: str | None = None) -> DataFrame:
     """Uploads (filename, file_hash) become the next versions of their file, in order, and the
     last of a file its only active one; all earlier are deactivated.  Uploads whose hash

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import text as X
 from matchloom.operators import changes as H
 from matchloom.plans import sql as S
+from matchloom.operators.stored import fresh_path
 from matchloom.plans.registry import query
 from matchloom.plans.views import DUCK
 
@@ -56,7 +57,23 @@ SELECT c.article, coalesce(n.rrts, c.rrts) AS rrts, coalesce(n.opt, c.opt) AS op
 UNION ALL SELECT d.article, n.rrts, n.opt, n.partner, 'ss', TRUE FROM {v_diff} d LEFT JOIN n USING (article) WHERE kind = 'new'
 """)
 def cdc_apply_diff(t):
-    return H.apply_diff(t("v_catalog"), diff(t)).select("article", "rrts", "opt", "partner", "segment", "is_active")
+    """The catalog as a confirmed import left it."""
+    return H.confirm_import(t("v_catalog"), diff(t), fresh_path(t.spark, "imports"), 7, "sup_a").select("article", "rrts", "opt", "partner", "segment", "is_active")
+
+
+@query("cdc_confirmed_jobs", """
+SELECT 7::BIGINT AS job_id, 'confirmed' AS status, count(DISTINCT article) FILTER (kind = 'new') AS rows_new, count(DISTINCT article) FILTER (kind = 'updated') AS rows_updated, count(DISTINCT article) FILTER (kind = 'deleted') AS rows_deleted,
+  (SELECT count(*) FROM {v_changes} JOIN (SELECT DISTINCT article FROM {v_diff} WHERE kind = 'updated') USING (article)) AS rows_history FROM {v_diff}
+""")
+def cdc_confirmed_jobs(t):
+    """The stored records of confirmed imports; a second confirmation is refused by them."""
+    path = fresh_path(t.spark, "imports")
+    H.confirm_import(t("v_catalog"), diff(t), path, 7, "sup_a")
+    try:
+        H.confirm_import(t("v_catalog"), diff(t), path, 7, "sup_a")
+        raise AssertionError("confirmed twice")
+    except ValueError:
+        return H.confirmed_jobs(t.spark, path)
 
 
 _ROWS = f"SELECT row_no, {S.safe_str('c2')} AS article, {S.safe_str('c3')} AS name, {S.safe_float('c6')} AS rrts FROM {{v_sheet_rows}}"

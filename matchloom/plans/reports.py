@@ -8,7 +8,8 @@ from matchloom.plans.changes import diff
 from matchloom.plans.matching import matches
 from matchloom.plans.pricing import lines
 from matchloom.plans.registry import query
-from matchloom.sources.writers import append_logs
+from matchloom.sources.commits import prepare
+from matchloom.sources.writers import append_logs, log_rows, read_logs
 
 C = F.col
 
@@ -89,10 +90,18 @@ def top_suppliers(t):
     return t("v_mapping").where("nds_included").select("supplier_code", "supplier_name").distinct()
 
 
-@query("src_logs", "SELECT segment, status, count(*) AS n, sum(rows_added)::BIGINT AS rows_added FROM {v_import_logs} GROUP BY 1, 2")
+@query("src_logs", """
+SELECT kind, subject, status, count(*) AS n, sum(rows_added)::BIGINT AS rows_added FROM (
+  SELECT 'import' AS kind, segment AS subject, status, rows_added FROM {v_import_logs} UNION ALL SELECT 'upload', filename, is_active::VARCHAR, NULL FROM {v_uploads}
+  UNION ALL SELECT 'correction', selected_product_id::VARCHAR, original_status, NULL FROM {v_corrections}) GROUP BY 1, 2, 3
+""")
 def src_logs(t):
-    """Log rows appended import by import (here in two runs), then counted."""
+    """Imports, uploads and corrections appended batch by batch; a batch that comes twice and one that was not committed change nothing."""
     path = fresh_path(t.spark, "logs")
-    for part in ("id % 2 = 0", "id % 2 <> 0"):
-        append_logs(t("v_import_logs").where(part), path)
-    return t.spark.read.parquet(path).groupBy("segment", "status").agg(F.count("*").alias("n"), F.sum("rows_added").alias("rows_added"))
+    imports = log_rows(t("v_import_logs"), "import", "segment", "status", "created_at", "rows_added")
+    uploads = log_rows(t("v_uploads"), "upload", "filename", "is_active", "uploaded_at")
+    fixed = log_rows(t("v_corrections"), "correction", "selected_product_id", "original_status", "created_at")
+    for batch, rows in (("imports-0", imports.where("id % 2 = 0")), ("imports-1", imports.where("id % 2 <> 0")), ("imports-0", imports.where("id % 2 = 0")), ("uploads", uploads), ("corrections", fixed)):
+        append_logs(rows, path, batch)
+    prepare(uploads, path, "lost")
+    return read_logs(t.spark, path).groupBy("kind", "subject", "status").agg(F.count("*").alias("n"), F.sum("rows_added").alias("rows_added"))

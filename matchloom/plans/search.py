@@ -9,7 +9,7 @@ from matchloom.operators import search as Q
 from matchloom.operators.stored import fresh_path
 from matchloom.plans.matching import matches
 from matchloom.plans.registry import query
-from matchloom.sources.writers import write_catalog
+from matchloom.sources.writers import write_catalog, write_template
 
 C = F.col
 
@@ -79,3 +79,22 @@ def sink_catalog(t):
     path = fresh_path(t.spark, "catalog")
     write_catalog(t("v_catalog").withColumn("num", num), path)
     return t.spark.read.parquet(path)
+
+
+@query("sink_template", """
+WITH p AS (SELECT row_number() OVER (ORDER BY full_name) + 1 AS row_no, full_name, coalesce(nullif(position, '—'), '') AS position, coalesce(email, '') AS email, coalesce(nullif(phone, ''), '') AS phone FROM (
+    SELECT c2 AS full_name, first(c3 ORDER BY row_no) AS position, first(c4 ORDER BY row_no) AS email, first(c5 ORDER BY row_no) AS phone FROM {v_const_rows} WHERE c2 NOT IN ('Фамилия, имя', 'ФИО') GROUP BY 1)),
+b AS (SELECT row_number() OVER (ORDER BY brand) + 1 AS row_no, brand, margin, gp FROM {v_constants}),
+c AS (SELECT row_number() OVER (ORDER BY name) + 1 AS row_no, name AS currency, rate AS currency_value FROM (SELECT c22 AS name, arg_max(c23::DOUBLE, row_no) AS rate FROM {v_const_rows} WHERE c22 IS NOT NULL GROUP BY 1))
+SELECT row_no::INT AS row_no, full_name, position, email, phone, brand, margin, gp, currency, currency_value FROM p FULL JOIN b USING (row_no) FULL JOIN c USING (row_no)
+""")
+def sink_template(t):
+    """The constants table of the base template as written: people, brands and currencies by name."""
+    from matchloom.operators.changes import upsert_currencies
+    from matchloom.sources.sheets import currency_rows, people
+
+    path = fresh_path(t.spark, "template")
+    staff = people(t("v_const_rows")).withColumn("is_active", F.lit(True))
+    money = upsert_currencies(t.spark.createDataFrame([], "name string, rate double"), currency_rows(t("v_const_rows")))
+    write_template(t("v_catalog"), staff, t("v_constants"), money, path)
+    return t.spark.read.parquet(f"{path}/constants").select("row_no", "full_name", "position", "email", "phone", "brand", "margin", "gp", "currency", "currency_value")

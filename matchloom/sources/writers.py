@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
+from matchloom.functions import lexicons as L
 from matchloom.operators.pricing import quote_lines
 from matchloom.operators.reports import ordered_places
+from matchloom.sources.commits import append_batch, committed
 
 CATALOG_FIELDS = ("article", "name", "unit", "kaznisa", "rrts", "mrc", "opt", "partner", "brand", "multiplicity", "kaznisa_code")
 
@@ -32,7 +35,43 @@ def write_quote(lines: DataFrame, path: str, kind: str = "parquet", **options) -
     quote_lines(lines).orderBy("doc_id", "item_id").write.format(kind).options(**options).mode("overwrite").save(path)
 
 
-def append_logs(logs: DataFrame, path: str, kind: str = "parquet", **options) -> None:
-    """Log rows after those that the folder has.  Rows of a failed job are not seen; a job
-    that is run again after it ended appends again, as each import is a row of its own."""
-    logs.write.format(kind).options(**options).mode("append").save(path)
+LOG = "kind string, id long, subject string, status string, rows_added long, created_at timestamp"
+
+
+def constants_sheet(people: DataFrame, brands: DataFrame, currencies: DataFrame) -> DataFrame:
+    """Rows of the constants table from 2 on: people, brands and currencies side by side, each by name.
+
+    Missing texts of people become empty; the lists are of a company's people, brands and
+    currencies, so each is numbered in one task."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    sides = (
+        people.where("is_active").select(text("full_name"), text("position"), text("email"), text("phone")),
+        brands.select("brand", *L.BRAND_DEFAULTS),
+        currencies.select(F.col("name").alias("currency"), F.col("rate").alias("currency_value")),
+    )
+    out = None
+    for side in sides:
+        placed = side.withColumn("row_no", F.row_number().over(Window.orderBy(side.columns[0])) + 1)
+        out = placed if out is None else out.join(placed, "row_no", "full_outer")
+    return out
+
+
+def write_template(catalog: DataFrame, people: DataFrame, brands: DataFrame, currencies: DataFrame, path: str, kind: str = "parquet") -> None:
+    """All tables of the base template: ``path/catalog`` and ``path/constants``."""
+    write_catalog(catalog, f"{path}/catalog", kind)
+    constants_sheet(people, brands, currencies).write.format(kind).mode("overwrite").save(f"{path}/constants")
+
+
+def log_rows(rows: DataFrame, kind: str, subject: str, status: str, created_at: str, rows_added: str | None = None) -> DataFrame:
+    """Imports, uploads or corrections in the shape of the log."""
+    added = F.col(rows_added) if rows_added else F.lit(None)
+    return rows.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), F.col(subject).cast("string").alias("subject"), F.col(status).cast("string").alias("status"), added.cast("long").alias("rows_added"), F.col(created_at).cast("timestamp").alias("created_at"))
+
+
+def append_logs(logs: DataFrame, path: str, batch: str) -> bool:
+    """Rows of ``log_rows`` as one batch of the log; false if the batch is in it already."""
+    return append_batch(logs, path, batch)
+
+
+def read_logs(spark, path: str) -> DataFrame:
+    return committed(spark, path, _parse_datatype_string(LOG)).drop("batch")

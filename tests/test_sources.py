@@ -3,6 +3,8 @@
 import hashlib
 import json
 
+import pytest
+
 from matchloom.operators import vectors as V
 from matchloom.sources import pricelists as P
 from matchloom.sources import writers as W
@@ -89,12 +91,48 @@ def test_writers(spark, tmp_path):
     assert got == {r.id: r.num or place for place, r in enumerate(order, 1)}
     first = spark.read.parquet(f"{tmp_path}/catalog").first()
     assert first.brand == "" and first.opt is None
-    logs = spark.createDataFrame([("a.csv", 3)], "filename string, rows_added int")
-    for _ in range(2):
-        W.append_logs(logs, f"{tmp_path}/logs", "csv", header=True)
-    assert spark.read.csv(f"{tmp_path}/logs", header=True).count() == 2
-    W.append_logs(logs.limit(0), f"{tmp_path}/empty")
-    assert spark.read.schema(logs.schema).parquet(f"{tmp_path}/empty").count() == 0
+
+
+def test_a_batch_counts_once_and_only_when_committed(spark, tmp_path):
+    from datetime import datetime
+
+    from matchloom.sources import commits as C
+
+    path = f"file://{tmp_path}/logs"
+    rows = spark.createDataFrame([(1, "a.csv", "ok", 3, datetime(2024, 1, 1))], "id long, file string, status string, rows_added int, at timestamp")
+    logs = W.log_rows(rows, "import", "file", "status", "at", "rows_added")
+    assert W.read_logs(spark, path).collect() == []
+    lost = C.prepare(logs, path, "2024-01-01")  # a job that died before its record
+    assert W.read_logs(spark, path).collect() == []
+    assert [W.append_logs(logs, path, "2024-01-01") for _ in range(3)] == [True, False, False]
+    assert W.append_logs(logs.limit(0), path, "empty") and W.append_logs(logs, path, "next")
+    assert not C.commit(spark, path, "2024-01-01", lost)  # and one that comes back late
+    got = W.read_logs(spark, path).collect()
+    assert [tuple(r)[:5] for r in got] == [("import", 1, "a.csv", "ok", 3)] * 2
+    assert {r.batch for r in C.commits(spark, path).collect()} == {"2024-01-01", "empty", "next"}
+
+
+def test_an_import_is_confirmed_once(spark, tmp_path):
+    from matchloom.operators import changes as H
+
+    cat = spark.createDataFrame([(1, "A", "n", "b", 100.0, None, None, "ss", True), (2, "B", "n", "b", 100.0, None, None, "ss", True)], "id long, article string, name string, brand string, rrts double, opt double, partner double, segment string, is_active boolean")
+    inc = spark.createDataFrame([("A", "n", "b", None, 101.0, None, None), ("N", "x", None, 7.0, None, None, None)], "article string, name string, brand string, price_base double, price_rrts double, price_opt double, price_partner double")
+    diff, path = H.price_diff(cat, inc, mark_missing=True), f"file://{tmp_path}/imports"
+    assert H.confirmed_jobs(spark, path).collect() == []
+    after = {r.article: (r.rrts, r.opt, r.is_active) for r in H.confirm_import(cat, diff, path, 1, "s").collect()}
+    assert after == {"A": (101.0, None, True), "B": (100.0, None, False), "N": (None, 7.0, True)}
+    with pytest.raises(ValueError):
+        H.confirm_import(cat, diff, path, 1, "s")
+    assert [tuple(r) for r in H.confirmed_jobs(spark, path).collect()] == [(1, "confirmed", 1, 1, 1, 1)]
+    assert [(r.article, r.field, r.old_value, r.new_value) for r in H.confirmed_history(spark, path).collect()] == [("A", "rrts", 100.0, 101.0)]
+
+
+def test_constants_sheet(spark):
+    people = spark.createDataFrame([("Q", None, None, None, True), ("P", "x", "e", None, True), ("gone", None, None, None, False)], "full_name string, position string, email string, phone string, is_active boolean")
+    brands = spark.createDataFrame([("b", 1.0, 1.0, 2.0, 1.0, 1.1, 0.8)], "brand string, margin double, logistics double, rate double, currency_rate double, nds double, gp double")
+    currencies = spark.createDataFrame([("USD", 4.0), ("EUR", 5.0), ("KZT", 1.0)], "name string, rate double")
+    got = [(r.row_no, r.full_name, r.position, r.brand, r.currency) for r in W.constants_sheet(people, brands, currencies).orderBy("row_no").collect()]
+    assert got == [(2, "P", "x", "b", "EUR"), (3, "Q", "", None, "KZT"), (4, None, None, None, "USD")]
 
 
 def test_hybrid_takes_the_chosen_product(spark):
