@@ -293,7 +293,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key = free_name(docs, "_text_key")
     gone = found.join(first, "group").where(F.struct("id", "key") != F.col("first")).select(F.col("id").alias(id_col), F.col("key").alias(key)).distinct()
     marked = docs.withColumn(key, text_key(F.col(text_col)))
-    kept = marked.join(gone, [id_col, key], "left_anti")
+    kept = marked.join(gone.hint("merge"), [id_col, key], "left_anti")  # what goes grows with the input
     repeated = materialize(found.groupBy("id", "key").count().where("count > 1").select(F.col("id").alias(id_col), F.col("key").alias(key)), "repeated-rows")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
