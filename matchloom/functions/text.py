@@ -27,6 +27,14 @@ def any_of(words: Sequence[str]) -> str:
 SPACES = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
+def has_any(text: Column, words: Sequence[str]) -> Column:
+    """Whether one of the plain words is in the text."""
+    found = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        found = found | F.contains(text, F.lit(w))
+    return found
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.trim(text, F.lit(SPACES))
@@ -137,7 +145,8 @@ def header_norm(text: Column) -> Column:
 
 
 def header_key(text: Column) -> Column:
-    return F.regexp_replace(header_norm(text), r"(?U)[-\s]+", "")
+    """The header in lower case without any white space or dash."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), "-" + SPACES, "")
 
 
 def pos_value(text: Column) -> Column:

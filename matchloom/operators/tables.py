@@ -59,23 +59,30 @@ def _row_text() -> Column:
 
 def spec_tables(rows: DataFrame, markers: Sequence[str] = L.NON_SPEC_MARKERS, first: int = 4) -> DataFrame:
     """The rows of tables without a marker in their first rows."""
-    marked = rows.where((F.col("row_no") < first) & _row_text().rlike(X.any_of(markers))).select(*TABLE).distinct()
+    marked = rows.where((F.col("row_no") < first) & X.has_any(_row_text(), markers)).select(*TABLE).distinct()
     return rows.join(marked, list(TABLE), "left_anti")
 
 
+def _keys(words: Sequence[str]) -> list[str]:
+    return [w.lower().replace("-", "").replace(" ", "") for w in words]
+
+
 def _column_of(words: Sequence[str]) -> Column:
     """Index of the first cell whose header key has one of the words, or null."""
-    keys = [w.lower().replace("-", "").replace(" ", "") for w in words]
-    hit = F.transform("cells", lambda c, i: F.when(X.header_key(c).rlike(X.any_of(keys)), i))
-    return F.array_min(hit)
+    return F.array_min(F.transform("cells", lambda c, i: F.when(X.has_any(X.header_key(c), _keys(words)), i)))
 
 
 def header_layouts(rows: DataFrame, patterns: dict[str, Sequence[str]] = L.HEADER_PATTERNS, excluded: Sequence[str] = L.HEADER_EXCLUDED, first: int = 6) -> DataFrame:
     """(table, header_row, column indexes): the first row with position, article and quantity
     columns and no phrase of other tables."""
-    found = rows.where(F.col("row_no") < first).withColumns({k: _column_of(patterns[k]) for k in KEYS})
+    # What a cell has, the whole row has: few rows are looked at cell by cell.
+    whole = X.header_key(F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|"))
+    some = rows.where(F.col("row_no") < first).withColumn("_whole", whole)
+    for k in ("qty", "article", "pos"):
+        some = some.where(X.has_any(F.col("_whole"), _keys(patterns[k])))
+    found = some.drop("_whole").withColumns({k: _column_of(patterns[k]) for k in KEYS})
     plain = F.array_join(F.transform("cells", lambda c: X.header_norm(c)), " ")
-    good = found.where(F.col("pos").isNotNull() & F.col("article").isNotNull() & F.col("qty").isNotNull() & ~plain.rlike(X.any_of(excluded)))
+    good = found.where(F.col("pos").isNotNull() & F.col("article").isNotNull() & F.col("qty").isNotNull() & ~X.has_any(plain, excluded))
     best = good.groupBy(*TABLE).agg(F.min_by(F.struct(F.col("row_no").alias("header_row"), *KEYS), "row_no").alias("h"))
     return best.select(*TABLE, "h.*")
 
@@ -84,7 +91,7 @@ def column_votes(rows: DataFrame, units: Sequence[str] = L.UNITS, first: int = 2
     """(table, code_col, unit_col): the columns with most code-like and unit cells (ties: left)."""
     cells = rows.where(F.col("row_no") < first).select(*TABLE, F.posexplode("cells").alias("col", "c")).withColumn("c", X.strip(F.coalesce("c", F.lit(""))))
     low = F.lower("c")
-    voted = cells.groupBy(*TABLE, "col").agg(F.count_if(F.col("c").rlike(r"^\d{3}-\d{3}")).alias("codes"), F.count_if(low.isin(*units) | F.regexp_replace(low, r"\.+$", "").isin(*units)).alias("units"))
+    voted = cells.groupBy(*TABLE, "col").agg(F.count_if(F.col("c").rlike(r"^\d{3}-\d{3}")).alias("codes"), F.count_if(low.isin(*units) | F.rtrim(low, F.lit(".")).isin(*units)).alias("units"))
     best = lambda n: F.max_by(F.when(F.col(n) > 0, F.col("col")), F.struct(n, -F.col("col")))
     return voted.groupBy(*TABLE).agg(best("codes").alias("code_col"), best("units").alias("unit_col"))
 
@@ -92,7 +99,7 @@ def column_votes(rows: DataFrame, units: Sequence[str] = L.UNITS, first: int = 2
 def headerless_layouts(rows: DataFrame, units: Sequence[str] = L.UNITS, excluded: Sequence[str] = L.HEADERLESS_EXCLUDED) -> DataFrame:
     """Layouts from votes: position, name and article are left of the code, quantity right of
     the unit; no position column if none of the first rows has a position value there."""
-    other = rows.where((F.col("row_no") < 3) & _row_text().rlike(X.any_of(excluded))).select(*TABLE).distinct()
+    other = rows.where((F.col("row_no") < 3) & X.has_any(_row_text(), excluded)).select(*TABLE).distinct()
     votes = column_votes(rows, units).where("code_col is not null").join(other, list(TABLE), "left_anti")
     left = lambda k: F.when(F.col("code_col") >= k, F.col("code_col") - k)
     lay = votes.select(*TABLE, left(3).alias("pos"), left(2).alias("name"), left(1).alias("article"), F.col("code_col").alias("code"), F.col("unit_col").alias("unit"), (F.col("unit_col") + 1).alias("qty"))
