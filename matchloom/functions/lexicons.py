@@ -4,11 +4,13 @@ Fixed values: they must equal the established ones for right results.  Every
 operator takes them as arguments, so that other languages can be used.
 """
 
+#: Brands that stand at the end of an article.
 BRAND_SUFFIXES = (
     "IEK", "EKF", "DEK", "HIKVISION", "DAHUA", "AJAX", "BOLID", "BOSCH", "ABB", "LEGRAND", "SCHNEIDER", "HAGER",
     "REXANT", "TDM", "KEAZ", "TEXENERGO", "TEKFOR", "ELVERT", "ANDELI", "CHINT", "NOARK", "APATOR", "EASTEC",
     "WAGO", "PHOENIX", "SIEMENS", "MOELLER", "EATON", "RITTAL", "MEANWELL", "DELTA", "FLUKE", "FLIR", "HIOKI",
 )
+#: Segments, texts that mean nothing, scores, bounds and lengths of matching and of vector search.
 SEGMENTS = ("ss", "os", "sil")
 NULL_TEXTS = ("None", "-", "—", "")
 EXACT_SCORE, CONTAINS_SCORE, NAME_EXACT_SCORE, NAME_CONTAINS_SCORE = 100, 95, 99, 93
@@ -17,14 +19,17 @@ LENGTH_RATIO, WORD_COVERAGE = 0.70, 0.40
 NAME_MIN_LENGTH, NOCYR_MIN_LENGTH, CODE_DIGITS = 20, 3, 10
 CLOSE_SCORE = 5
 VECTOR_TOP_K, VECTOR_MIN, VECTOR_SURE, VECTOR_GAP, VECTOR_LOW, CORRECTION_MIN = 8, 0.72, 0.90, 0.05, 0.82, 0.92
+#: Units and the segment of rows that name none.
 CATALOG_UNIT, PRICE_UNIT, DEFAULT_SEGMENT = "шт.", "шт", "ss"
 PIECE_UNITS = ("шт", "шт.", "")
 
+#: Beginnings and parts of references to norms, words of title blocks, of rows to skip, and units.
 STANDARD_PREFIXES = ("гост", "ст рк", "снип", "сп ", "ту ", "ту-")
 STANDARD_PARTS = ("гост", "ст рк")
 STAMP_WORDS = ("изм", "лист", "подпись", "дата", "инв", "взам", "формат", "кол\\.уч", "гип", "проверил", "выполнил", "утвердил", "н\\.конт", "н\\.к\\.", "рп ", "стадия", "согласов", "разработ")
 SKIP_KEYWORDS = ("оборудование", "кабели", "провода", "монтажные", "кабеленесущие", "материалы и изделия", "комплектующ")
 UNITS = ("шт", "шт.", "м", "м.", "м2", "м3", "м³", "компл", "компл.", "рул", "рул.", "кг", "км", "л", "уп", "уп.", "п.м", "п.м.", "пм", "пог.м", "пог.м.")
+#: What header cells hold, by field, and phrases of tables that are no specifications.
 HEADER_PATTERNS = {
     "pos": ("поз", "позиция", "№"),
     "name": ("наименование", "наим", "техническ", "обозначениеитехн"),
@@ -39,8 +44,10 @@ NON_SPEC_MARKERS = (
     "уго", "позиционное обозначение", "тип линии связи", "граф. обозначение", "маркировка кабел", "кабельная трасса", "марка кабеля",
     "структурированные кабельн", "ведомость земляных", "ведомость основного", "ведомость рабочих", "ведомость строительных", "основного комплекта",
 )
+#: What is cut from both ends of a name before it is asked for.
 CONTEXT_PREFIX = r"^\.{0,3}\s*на\s+(?:вводе?|линий?|ответвлении?|отходящих?)\s*"
 CONTEXT_SUFFIX = r",?\s*в\s+том\s+числе\s*[:.]?\s*$"
+#: Words of project titles, and of page kinds.
 PROJECT_KEYWORDS = (
     "проектирование", "строительство", "реконструкция", "здание", "здания", "объект", "объекта", "сооружение", "сооружения",
     "комплекс", "система", "автоматизация", "оснащение", "монтаж", "установка", "реализация", "разработка",
@@ -54,10 +61,12 @@ PAGE_LEXICON = {
     "quantity": ("кол-во", "количество", "кол.", "коли-", "кол-"),
     "type": ("тип, марка", "тип,марка", "тип марка"),
 }
+#: Constants of a brand without its own, and the price that each rate number takes.
 BRAND_DEFAULTS = {"margin": 1.2, "logistics": 1.03, "rate": 4.0, "currency_rate": 1.0, "nds": 1.16, "gp": 0.8}
 RATE_FIELDS = ("kaznisa", "kaznisa", "rrts", "mrc", "opt", "rrts", "rrts", "partner")
 GP_RATES = (6, 7)
 PRICE_FIELDS = ("kaznisa", "rrts", "mrc", "opt", "partner")
+#: What a match method is called in a quote.
 METHOD_LABELS = {
     "exact": "Артикул (точн.)",
     "contains": "Артикул (вхожд.)",
@@ -72,6 +81,7 @@ METHOD_LABELS = {
     "correction_history": "📚 История",
 }
 VECTOR_PREFIX, VECTOR_LABEL = "ai", "ИИ"
+#: Names of sheets, and headings among their rows.
 SHEET_NAMES = ("БД", "бд", "BD", "bd", "База", "Sheet1")
 PEOPLE_HEADERS, BRAND_HEADERS = ("Фамилия, имя", "ФИО"), ("Бренд", "Brand")
 #: VAT of a stored layout that names no rate.
