@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
+#: Where the public model lies unless a caller names another path; it is read there and never copied.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 
