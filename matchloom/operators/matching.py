@@ -210,7 +210,9 @@ def with_equal(items: DataFrame, catalog: DataFrame, segments: Sequence[str] = L
     code = F.when(X.valid_code(F.col("q_code")) & ((F.col("q") != "") | (F.col("q_name") != "")), F.col("q_code"))
     q = q.withColumns({"k_code": code, "k_name": F.when(F.length("q_name") >= L.NAME_MIN_LENGTH, F.col("q_name"))})
     for key, name, out in (("norm_art", "q", "_a"), ("norm_art", "q_brandless", "_b"), ("norm_code", "k_code", "_c"), ("norm_name", "k_name", "name_product_id")):
-        q = q.join(index(key, name, out), name, "left")
+        # Lines without a key get one of their own, which no product has, so they are not one hot key.
+        own = F.when(F.coalesce(F.col(name), F.lit("")) == "", F.concat(F.lit("\0"), F.col("item_id").cast("string"))).otherwise(F.col(name))
+        q = q.withColumn("_key", own).join(index(key, "_key", out), "_key", "left").drop("_key")
     hit = F.coalesce("_a", "_b", "_c")
     method = F.when(F.coalesce("_a", "_b").isNotNull(), "exact").when(F.col("_c").isNotNull(), "code_exact")
     return q.withColumns({"product_id": hit, "score": F.when(hit.isNotNull(), float(L.EXACT_SCORE)), "method": method}).drop("_a", "_b", "_c", "k_code", "k_name"), products
