@@ -48,3 +48,13 @@ def test_edges(spark):
     assert L.fit_languages(docs.limit(0)) is None
     assert {r.lang_pred for r in L.predict(docs, None).collect()} == {"und"}
     assert L.predict(docs.limit(0), model).count() == 0
+
+
+def test_very_long_and_equal_texts(spark):
+    rows = [(i, "the and of " * 5 if i % 2 else "le la une " * 5, "en" if i % 2 else "fr") for i in range(60)]
+    model = L.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(k, "the and of " * 30_000) for k in range(3)] + [(9, "the and of " * 5)], "doc_id long, text string")
+    got = L.predict(docs, model).collect()
+    assert {r.lang_pred for r in got} == {"en"} and len({r.score for r in got if r.doc_id < 3}) == 1
+    tie = L.LanguageModel(["a", "b"], np.zeros((1 << L.BUCKET_BITS, 2)), np.zeros(2))
+    assert {r.lang_pred for r in L.predict(docs, tie).collect()} == {"a"}

@@ -72,3 +72,12 @@ def test_size_classes_are_bounded(spark):
     got = {r.id: r.c for r in spark.createDataFrame([(x,) for x in (1, 2047, 4095, 4096, 4097, 123456789, 10**15)], "id long").select("id", L.size_class(F.col("id")).alias("c")).collect()}
     assert got[1] == 1 and got[4095] == 4095 and got[4097] == 4096
     assert all(c <= x <= c * 1.0005 for x, c in got.items())
+
+
+def test_equal_loads_and_a_very_long_text(spark):
+    rows = [(k, f"text {k:03d}") for k in range(64)] + [(100, "é" * 300_000), (101, "é" * 300_000)]
+    texts, docs = dict(rows), spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{r.doc_id: (r.shard, r.slot) for r in L.shard_documents(docs.repartition(n)).collect()} for n in (1, 5)]
+    assert {k: v[0] for k, v in got[0].items()} == {k: v[0] for k, v in got[1].items()}
+    loads = check(L.shard_documents(docs).collect(), texts, 16)
+    assert max(loads) == 2 * 600_001 and len({x for x in loads if x < 600_001}) <= 2  # equal groups over the other 15
