@@ -24,13 +24,15 @@ from matchloom.llm.common import materialize
 
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
 #: Width of a grid cell in the integers' unit (1,024 a unit of the vectors).
-CELL_WIDTH = 64
+CELL_WIDTH = 16
 #: Cells that a task remembers at most for a part; beyond that it begins anew, which changes no result.
 CELLS_KEPT = 20_000
 #: Rows that one numpy pass works on, and integers of a temporary array at most.
 ROWS, SCRATCH = 2048, 4 << 20
 #: Below this absolute value distances of parts of up to 2^6 components stay in 64 bits.
 SMALL = 1 << 27
+#: Below this one sums of squares of up to 2^8 doubled components are whole numbers of a double.
+CENTRED = 1 << 20
 #: Components beyond are held at this value, errors at the greatest long.
 LARGEST = 1 << 62
 LONG = (1 << 63) - 1
@@ -50,18 +52,33 @@ class GridCells:
         self.book, self.width, self.kept = book, width, kept
         self.memo: dict[bytes, np.ndarray] = {}
         self.asked = self.evaluated = 0
+        self.doubled = 2.0 * book if book.size and np.abs(book).max() < CENTRED else None
+        self.squares = (self.doubled * self.doubled).sum(axis=1) if self.doubled is not None else None
+
+    def _near_centre(self, low: np.ndarray) -> np.ndarray:
+        """cells x entries: those that the ball round the box leaves.  An entry farther from the centre than
+        the nearest one by the ball's diameter is dominated; a matrix product tells, exact in this range."""
+        if self.doubled is None or np.abs(low).max(initial=0) >= CENTRED:
+            return np.ones((len(low), len(self.book)), dtype=bool)
+        centre = 2.0 * low + (self.width - 1)
+        square = (centre * centre).sum(axis=1)[:, None] + self.squares - 2 * (centre @ self.doubled.T)
+        distance = np.sqrt(np.maximum(square, 0)) / 2
+        return distance <= distance.min(axis=1, keepdims=True) + (self.width - 1) * np.sqrt(self.book.shape[1]) + 1e-3
 
     def _undominated(self, cells: np.ndarray) -> list[np.ndarray]:
         """For each cell the entries that can be nearest to an integer point of its box."""
         out: list[np.ndarray] = []
         size = max(1, SCRATCH // max(1, self.book.size))
         for k in range(0, len(cells), size):
-            low = (cells[k : k + size] * self.width)[:, None, :]
-            above, below = low - self.book, self.book - (low + self.width - 1)
-            least = np.maximum(np.maximum(above, below), 0)
-            most = np.maximum(np.abs(above), np.abs(below))
-            near, far = (least * least).sum(axis=2), (most * most).sum(axis=2)
-            out += [np.flatnonzero(row) for row in near <= far.min(axis=1, keepdims=True)]
+            lows = cells[k : k + size] * self.width
+            cell, entry = np.nonzero(self._near_centre(lows))
+            low, e = lows[cell], self.book[entry]
+            above, below = low - e, e - (low + self.width - 1)
+            least, most = np.maximum(np.maximum(above, below), 0), np.maximum(np.abs(above), np.abs(below))
+            near, far = (least * least).sum(axis=1), (most * most).sum(axis=1)
+            bound = np.minimum.reduceat(far, np.searchsorted(cell, np.arange(len(lows))))
+            keep = near <= bound[cell]
+            out += np.split(entry[keep], np.cumsum(np.bincount(cell[keep], minlength=len(lows)))[:-1])
         return out
 
     def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
