@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,125 +139,83 @@ def row_fields(rows: DataFrame, layouts: DataFrame, skip: Sequence[str] = L.SKIP
 
 ITEM_SCHEMA = "doc_id long, page long, table_no long, row_no long, seq int, kind string, pos string, name_raw string, article_raw string, kaznisa_code_raw string, unit string, qty double, is_heading boolean, carried boolean"
 
-
-class _RowPass:
-    """Walks the rows of one table: what a row is depends on the last item emitted."""
-
-    def __init__(self, unit: str):
-        self.unit, self.items, self.auto, self.title = unit, [], 0, ""
-
-    def _next(self) -> str:
-        self.auto += 1
-        return f"-{self.auto}"
-
-    def kind(self, r) -> str:
-        if not r.has_pos:
-            return "auto"
-        if r.pos is not None:
-            return "item"
-        for name in ("dash", "numbered", "section"):
-            if getattr(r, name):
-                return name
-        if not (r.name and (r.article_clean or r.code)):
-            return "bare"
-        last = self.items[-1] if self.items else None
-        if last is None:
-            return "content_first"
-        if r.code and last["kaznisa_code_raw"]:
-            return "content_complete"
-        group = last["is_heading"] or not (last["pos"][:1].isdigit() or last["pos"].startswith("-"))
-        return "content_part" if r.code and group else "content_merge"
-
-    def _merge(self, r, content: bool) -> None:
-        last = self.items[-1]
-        if content:
-            last["article_raw"] = last["article_raw"] or r.article_clean
-            last["qty"] = r.qty if r.qty_cell else last["qty"]
-            last["unit"] = r.unit or last["unit"]
-        else:
-            if r.qty_cell and last["qty"] == 1:
-                last["qty"] = r.qty
-            if r.unit and r.qty_cell and last["unit"] == self.unit:
-                last["unit"] = r.unit
-        last["kaznisa_code_raw"] = last["kaznisa_code_raw"] or r.code
-
-    def _emit(self, r, kind: str, pos: str, heading: bool, name: str, code: str) -> None:
-        self.items.append({"row_no": r.row_no, "kind": kind, "pos": pos, "name_raw": name, "article_raw": r.article, "kaznisa_code_raw": code, "unit": "" if heading else r.unit or self.unit, "qty": 0.0 if heading else r.qty, "is_heading": heading})
-
-    def row(self, r) -> str:
-        kind = self.kind(r)
-        if kind == "bare":
-            if len(r.name) > 8 and not (r.article_cell or r.code or r.qty_cell):
-                self.title = r.name
-            if self.items:
-                self._merge(r, False)
-            return kind
-        if kind == "content_merge":
-            self._merge(r, True)
-            return kind
-        if kind == "auto":
-            self.auto += 1
-            pos = str(self.auto)
-        else:
-            pos = r.pos if kind == "item" else self._next()
-        if not (r.name or r.article_cell or r.code):
-            return kind
-        panel = kind in ("item", "auto") and not pos[:1].isdigit() and not pos.startswith("-")
-        heading = kind == "section" or panel
-        if r.skip and not heading and not r.code:
-            return "skipped"
-        name = r.name
-        if self.title and len(name) <= 20 and (r.has_article or r.code):
-            name = f"{_cut(self.title)} {name}".strip()
-        self._emit(r, kind, pos, heading, f"{pos}  {name}".strip() if panel else name, r.code)
-        if panel and r.code:
-            self._emit(r, "panel_part", self._next(), False, name, r.code)
-        return kind
-
-
-def _cut(title: str) -> str:
-    import re
-
-    return re.sub(L.NORM_SUFFIX, "", title).strip()
-
-
-def _walked(fields: DataFrame, schema: str, unit: str, classes: bool) -> DataFrame:
-    """One pass over each table in row order.  Partitions hold whole tables, sorted, and stream
-    through, so a task has one table's items at a time and no per-group overhead."""
-
-    def run(batches):
-        key, table, out = None, None, []
-
-        def flush():
-            if table is not None and not classes:
-                out.extend((*key, x["row_no"], k, x["kind"], x["pos"], x["name_raw"], x["article_raw"], x["kaznisa_code_raw"], x["unit"], float(x["qty"]), x["is_heading"], carried) for k, x in enumerate(table.items))
-
-        carried = False
-        for pdf in batches:
-            for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
-                if key != (r.doc_id, r.page, r.table_no):
-                    flush()
-                    key, table, carried = (r.doc_id, r.page, r.table_no), _RowPass(unit), bool(r.carried)
-                kind = table.row(r)
-                if classes:
-                    out.append((*key, r.row_no, kind))
-            yield pd.DataFrame(out, columns=names)
-            out.clear()
-        flush()
-        yield pd.DataFrame(out, columns=names)
-
-    names = [c.split()[0] for c in schema.split(", ")]
-    return fields.repartition(*TABLE).sortWithinPartitions(*TABLE, "row_no").mapInPandas(run, schema)
-
-
-def row_classes(fields: DataFrame, unit: str = L.CATALOG_UNIT) -> DataFrame:
+#: Kinds of rows that give an item whatever stands above them.
+_OWN = ("auto", "item", "dash", "numbered", "section")
+
+
+def _classed(fields: DataFrame) -> DataFrame:
+    """Adds ``kind``, ``emits``, ``heading``, ``panel`` (a heading with an item of its own) and ``title``.
+
+    What a row with a name and an article or code is depends on the last item, of which only three
+    things count: that there is one, that it has a code by now, and that it heads a group.  All
+    three are known from the last *anchor*, a row that gives an item by itself or is the first that
+    can: later rows give items only with a code, and every code since then is in the last item.  So
+    running windows over the rows of a table do, with one shuffle and one sort.  Row numbers are
+    unique in a table.
+    """
+    above = Window.partitionBy(*TABLE).orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    coded, some = F.col("code") != "", (F.col("name") != "") | (F.col("article_cell") != "") | (F.col("code") != "")
+    content = (F.col("name") != "") & ((F.col("article_clean") != "") | coded)
+    own = F.when(~F.col("has_pos"), "auto").when(F.col("pos").isNotNull(), "item").when(F.col("dash"), "dash").when(F.col("numbered"), "numbered").when(F.col("section"), "section")
+    named = (F.col("_own") == "item") & ~F.col("pos").rlike(r"(?U)^[\d-]")
+    first = fields.withColumn("_own", F.coalesce(own, F.when(content, "content"), F.lit("bare"))).withColumn("heading", (F.col("_own") == "section") | named)
+    gives = F.col("_own").isin("content", *_OWN) & some & ~(F.col("skip") & ~F.col("heading") & ~coded)
+    heads = F.when((F.col("_own") == "bare") & (F.length("name") > 8) & (F.col("article_cell") == "") & (F.col("qty_cell") == "") & ~coded, F.col("name"))
+    seen = first.withColumn("_gives", gives).withColumns({"_any": F.coalesce(F.max("_gives").over(above), F.lit(False)), "title": F.last(heads, ignorenulls=True).over(above), "_coded": F.max(F.when(coded, F.col("row_no"))).over(above)})
+    anchor = F.col("_gives") & ((F.col("_own") != "content") | ~F.col("_any"))
+    last = F.last(F.when(anchor, F.struct("row_no", "heading")), ignorenulls=True).over(above)
+    known = seen.withColumn("_last", last)
+    later = F.when(coded & (F.col("_coded") >= F.col("_last.row_no")), "content_complete").when(coded & F.col("_last.heading"), "content_part").otherwise("content_merge")
+    kind = F.when(F.col("_own") != "content", F.col("_own")).when(F.col("_any"), later).otherwise("content_first")
+    classed = known.withColumn("kind", kind).withColumn("emits", F.col("_gives") & (F.col("kind") != "content_merge"))
+    return classed.withColumn("panel", F.col("emits") & named & coded).drop("_any", "_coded", "_last")
+
+
+def row_classes(fields: DataFrame) -> DataFrame:
     """(table, row_no, kind) of every data row."""
-    return _walked(fields, "doc_id long, page long, table_no long, row_no long, kind string", unit, True)
+    left_out = F.col("kind").isin("content_first", *_OWN) & ~F.col("_gives") & F.col("skip") & ((F.col("name") != "") | (F.col("article_cell") != ""))
+    return _classed(fields).select(*TABLE, "row_no", F.when(left_out, "skipped").otherwise(F.col("kind")).alias("kind"))
 
 
 def table_items(fields: DataFrame, unit: str = L.CATALOG_UNIT) -> DataFrame:
-    """Items of every table after the row pass, continuation rows merged, before renumbering."""
-    return _walked(fields, ITEM_SCHEMA, unit, False)
+    """Items of every table after the row pass, continuation rows merged, before renumbering.
+
+    Rows up to the next one that gives an item are one group.  Its code and article are the
+    first that are not empty.  Content rows set quantity and unit, bare ones replace what was
+    left at the default after that; so the last content value and the first bare one after it count.
+    """
+    ordered = Window.partitionBy(*TABLE).orderBy("row_no")
+    above, here = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(Window.unboundedPreceding, 0)
+    given = F.coalesce(F.nullif("unit", F.lit("")), F.lit(unit))
+    grows = F.col("kind").isin("auto", "dash", "numbered", "section", "content_first", "content_complete", "content_part").cast("int") + F.col("panel").cast("int")
+    merges, alone = F.col("kind") == "content_merge", F.col("heading") & ~F.col("panel")
+    running = lambda c: F.last(F.when(c, F.col("row_no")), ignorenulls=True).over(here)
+    placed = _classed(fields).withColumns({
+        "_n": (F.coalesce(F.sum(grows).over(above), F.lit(0)) + 1).cast("string"), "_seq": F.coalesce(F.sum(F.col("emits").cast("int") + F.col("panel").cast("int")).over(above), F.lit(0)),
+        "_item": running(F.col("emits")), "_qty_at": running(F.col("emits") | (merges & (F.col("qty_cell") != ""))), "_unit_at": running(F.col("emits") | (merges & (F.col("unit") != ""))),
+    }).where("_item is not null")
+    pos = F.when(F.col("kind") == "auto", F.col("_n")).when(F.col("kind") == "item", F.col("pos")).otherwise(F.concat(F.lit("-"), "_n"))
+    cut = X.strip(F.regexp_replace("title", L.NORM_SUFFIX.replace("(?i)", "(?iuU)"), ""))
+    name = F.when(F.col("title").isNotNull() & (F.length("name") <= 20) & (F.col("has_article") | (F.col("code") != "")), X.strip(F.concat(cut, F.lit(" "), "name"))).otherwise(F.col("name"))
+    row = F.struct("_seq", "_n", "kind", pos.alias("pos"), name.alias("name"), "article", "code", "heading", "panel", "carried")
+    first = lambda v, when: F.coalesce(F.min_by(v, F.when(when & (v != ""), F.col("row_no"))), F.lit(""))
+    set_by = lambda at, v: F.max_by(v, F.when(F.col(at) == F.col("row_no"), F.col("row_no")))
+    after = lambda at, v, when: F.max(F.when((F.col("kind") == "bare") & (F.col("qty_cell") != "") & when, F.struct(F.col(at).alias("at"), (-F.col("row_no")).alias("no"), F.col(v).alias("v"))))
+    merged = placed.groupBy(*TABLE, F.col("_item").alias("row_no")).agg(
+        F.max(F.when(F.col("emits"), row)).alias("r"), first(F.col("code"), F.lit(True)).alias("code"), first(F.when(F.col("emits"), F.col("article")).otherwise(F.col("article_clean")), F.col("emits") | merges).alias("article"),
+        F.max("_qty_at").alias("qa"), set_by("_qty_at", F.when(F.col("emits") & alone, F.lit(0.0)).otherwise(F.col("qty"))).alias("qty"), after("_qty_at", "qty", F.col("qty") != 1).alias("q"),
+        F.max("_unit_at").alias("ua"), set_by("_unit_at", F.when(F.col("emits") & alone, F.lit("")).when(F.col("emits"), given).otherwise(F.col("unit"))).alias("unit"), after("_unit_at", "unit", ~F.col("unit").isin("", unit)).alias("u"),
+    )
+    qty = F.when((F.col("qty") == 1) & (F.col("q.at") == F.col("qa")), F.col("q.v")).otherwise(F.col("qty"))
+    units = F.when((F.col("unit") == unit) & (F.col("u.at") == F.col("ua")), F.col("u.v")).otherwise(F.col("unit"))
+    item = lambda seq, kind, pos, name, article, code, unit, qty, heading: F.struct(*[v.alias(k) for k, v in {"seq": seq.cast("int"), "kind": kind, "pos": pos, "name_raw": name, "article_raw": article, "kaznisa_code_raw": code, "unit": unit, "qty": qty, "is_heading": heading}.items()])
+    r, full = (lambda k: F.col(f"r.{k}")), X.strip(F.concat("r.pos", F.lit("  "), "r.name"))
+    named = r("heading") & (r("kind") == "item")
+    head = item(r("_seq"), r("kind"), r("pos"), full, r("article"), r("code"), F.lit(""), F.lit(0.0), F.lit(True))
+    part = item(r("_seq") + 1, F.lit("panel_part"), F.concat(F.lit("-"), r("_n")), r("name"), F.col("article"), F.col("code"), units, qty, F.lit(False))
+    only = item(r("_seq"), r("kind"), r("pos"), F.when(named, full).otherwise(r("name")), F.col("article"), F.col("code"), units, qty, r("heading"))
+    out = merged.select(*TABLE, "row_no", F.explode(F.when(r("panel"), F.array(head, part)).otherwise(F.array(only))).alias("i"), r("carried").alias("carried"))
+    return out.select(*TABLE, "row_no", "i.*", "carried")
 
 
 def quality_gate(items: DataFrame, huge: float = 99_999, most_huge: float = 0.3, most_empty: float = 0.8) -> DataFrame:
