@@ -136,15 +136,25 @@ def header_norm(text: Column) -> Column:
     return F.lower(strip(t))
 
 
+def head_key(norm: Column) -> Column:
+    """Key of a header that ``header_norm`` has cleaned."""
+    return F.regexp_replace(norm, r"(?U)[-\s]+", "")
+
+
 def header_key(text: Column) -> Column:
-    return F.regexp_replace(header_norm(text), r"(?U)[-\s]+", "")
+    return head_key(header_norm(text))
 
 
 def pos_value(text: Column) -> Column:
     """Position token, or null."""
     s = F.regexp_replace(strip(text), r"\.+$", "")
+    return F.when(pos_token(s), s)
+
+
+def pos_token(s: Column) -> Column:
+    """Whether a stripped text without points at its end is a position."""
     named = (F.length(s) <= 25) & s.rlike("^[А-ЯЁA-Z]") & ~s.rlike(r"(?U)\s")
-    return F.when((s != "") & (s != "-") & (s.rlike(r"(?U)^\d+$") | s.rlike(r"^\d+\.\d+$") | named), s)
+    return (s != "") & (s != "-") & (s.rlike(r"(?U)^\d+$") | s.rlike(r"^\d+\.\d+$") | named)
 
 
 def embed_text(article: Column, name: Column) -> Column:

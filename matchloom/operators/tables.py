@@ -62,52 +62,76 @@ def spec_tables(rows: DataFrame, markers: Sequence[str] = L.NON_SPEC_MARKERS, fi
     return rows.join(marked, list(TABLE), "left_anti")
 
 
-def _column_of(words: Sequence[str]) -> Column:
-    """Index of the first cell whose header key has one of the words, or null."""
-    keys = [w.lower().replace("-", "").replace(" ", "") for w in words]
-    hit = F.transform("cells", lambda c, i: F.when(X.header_key(c).rlike(X.any_of(keys)), i))
-    return F.array_min(hit)
+def _at(cells: str, hit) -> Column:
+    """Indexes of the elements that ``hit`` holds for, in order."""
+    return F.array_compact(F.transform(cells, lambda c, i: F.when(hit(c), i)))
+
+
+def _signs(rows: DataFrame, patterns: dict[str, Sequence[str]] = L.HEADER_PATTERNS, excluded: Sequence[str] = L.HEADER_EXCLUDED, units: Sequence[str] = L.UNITS, other: Sequence[str] = L.HEADERLESS_EXCLUDED, first: int = 6, votes: int = 20) -> DataFrame:
+    """All that layouts are made of, one row a table: ``head`` (its header with column indexes),
+    ``codes`` and ``units`` (the columns of code-like and unit cells of the first rows, one entry a
+    cell), ``places`` (columns with a position value), ``other`` (a phrase of other tables), ``width``.
+
+    Texts are looked at row by row and only indexes are shuffled; what a caller does not select
+    is not computed.  Each step's texts are columns, so that none is cleaned twice.
+    """
+    top = lambda n, v: F.when(F.col("row_no") < n, v)
+    texts = rows.select(*TABLE, "row_no", "cells", top(first, F.transform("cells", X.header_norm)).alias("heads"), top(votes, F.transform("cells", lambda c: X.strip(F.coalesce(c, F.lit(""))))).alias("plain"))
+    short = texts.withColumns({"keys": F.transform("heads", X.head_key), "low": F.transform("plain", F.lower), "bare": F.transform("plain", lambda c: F.regexp_replace(c, r"\.+$", ""))})
+    words = {k: X.any_of([w.lower().replace("-", "").replace(" ", "") for w in patterns[k]]) for k in KEYS}
+    column = lambda k: F.array_min(_at("keys", lambda c: c.rlike(words[k])))
+    has = lambda k: F.exists("keys", lambda c: c.rlike(words[k]))
+    good = has("pos") & has("article") & has("qty") & ~F.array_join("heads", " ").rlike(X.any_of(excluded))
+    unit = lambda c: c.isin(*units) | F.regexp_replace(c, r"\.+$", "").isin(*units)
+    all_of = lambda v: F.flatten(F.collect_list(v))
+    return short.groupBy(*TABLE).agg(
+        F.min_by(F.when(good, F.struct(F.col("row_no").alias("header_row"), *[column(k).alias(k) for k in KEYS])), F.when(good, F.col("row_no"))).alias("head"),
+        all_of(_at("plain", lambda c: c.rlike(r"^\d{3}-\d{3}"))).alias("codes"), all_of(_at("low", unit)).alias("units"), all_of(top(15, _at("bare", X.pos_token))).alias("places"),
+        F.max(top(3, _row_text().rlike(X.any_of(other)))).alias("other"), F.max(F.size("plain")).alias("cells"), F.max_by(F.size("cells"), -F.col("row_no")).alias("width"),
+    )
+
+
+def _most(columns: str) -> Column:
+    """The most frequent entry (ties: the least), null if there is none."""
+    counted = F.transform(F.array_distinct(columns), lambda c: F.struct(F.size(F.filter(columns, lambda x: x == c)).alias("n"), (-c).alias("c")))
+    return -F.array_max(counted)["c"]
+
+
+def _bare_layout() -> Column:
+    """The layout by votes, or null."""
+    left = lambda k: F.when(F.col("code_col") >= k, F.col("code_col") - k)
+    pos = F.when(F.array_contains("places", left(3)), left(3))
+    lay = F.struct(F.lit(-1).cast("long").alias("header_row"), pos.alias("pos"), left(2).alias("name"), left(1).alias("article"), F.col("code_col").alias("code"), F.col("unit_col").alias("unit"), (F.col("unit_col") + 1).alias("qty"))
+    return F.when(F.col("code_col").isNotNull() & ~F.coalesce("other", F.lit(False)), lay)
+
+
+def _voted(signs: DataFrame) -> DataFrame:
+    return signs.withColumns({"code_col": _most("codes"), "unit_col": _most("units")})
 
 
 def header_layouts(rows: DataFrame, patterns: dict[str, Sequence[str]] = L.HEADER_PATTERNS, excluded: Sequence[str] = L.HEADER_EXCLUDED, first: int = 6) -> DataFrame:
     """(table, header_row, column indexes): the first row with position, article and quantity
     columns and no phrase of other tables."""
-    found = rows.where(F.col("row_no") < first).withColumns({k: _column_of(patterns[k]) for k in KEYS})
-    plain = F.array_join(F.transform("cells", lambda c: X.header_norm(c)), " ")
-    good = found.where(F.col("pos").isNotNull() & F.col("article").isNotNull() & F.col("qty").isNotNull() & ~plain.rlike(X.any_of(excluded)))
-    best = good.groupBy(*TABLE).agg(F.min_by(F.struct(F.col("row_no").alias("header_row"), *KEYS), "row_no").alias("h"))
-    return best.select(*TABLE, "h.*")
+    return _signs(rows, patterns, excluded, first=first).where("head is not null").select(*TABLE, "head.*")
 
 
 def column_votes(rows: DataFrame, units: Sequence[str] = L.UNITS, first: int = 20) -> DataFrame:
     """(table, code_col, unit_col): the columns with most code-like and unit cells (ties: left)."""
-    cells = rows.where(F.col("row_no") < first).select(*TABLE, F.posexplode("cells").alias("col", "c")).withColumn("c", X.strip(F.coalesce("c", F.lit(""))))
-    low = F.lower("c")
-    voted = cells.groupBy(*TABLE, "col").agg(F.count_if(F.col("c").rlike(r"^\d{3}-\d{3}")).alias("codes"), F.count_if(low.isin(*units) | F.regexp_replace(low, r"\.+$", "").isin(*units)).alias("units"))
-    best = lambda n: F.max_by(F.when(F.col(n) > 0, F.col("col")), F.struct(n, -F.col("col")))
-    return voted.groupBy(*TABLE).agg(best("codes").alias("code_col"), best("units").alias("unit_col"))
+    return _voted(_signs(rows, units=units, votes=first).where("cells > 0")).select(*TABLE, "code_col", "unit_col")
 
 
 def headerless_layouts(rows: DataFrame, units: Sequence[str] = L.UNITS, excluded: Sequence[str] = L.HEADERLESS_EXCLUDED) -> DataFrame:
     """Layouts from votes: position, name and article are left of the code, quantity right of
     the unit; no position column if none of the first rows has a position value there."""
-    other = rows.where((F.col("row_no") < 3) & _row_text().rlike(X.any_of(excluded))).select(*TABLE).distinct()
-    votes = column_votes(rows, units).where("code_col is not null").join(other, list(TABLE), "left_anti")
-    left = lambda k: F.when(F.col("code_col") >= k, F.col("code_col") - k)
-    lay = votes.select(*TABLE, left(3).alias("pos"), left(2).alias("name"), left(1).alias("article"), F.col("code_col").alias("code"), F.col("unit_col").alias("unit"), (F.col("unit_col") + 1).alias("qty"))
-    seen = rows.where(F.col("row_no") < 15).join(lay.select(*TABLE, "pos"), list(TABLE)).groupBy(*TABLE).agg(F.max(X.pos_value(X.cell(F.col("cells"), F.col("pos"))).isNotNull()).alias("_has"))
-    return lay.join(seen, list(TABLE), "left").withColumn("pos", F.when(F.col("_has"), F.col("pos")).otherwise(F.lit(None))).drop("_has")
+    found = _voted(_signs(rows, units=units, other=excluded)).select(*TABLE, _bare_layout().alias("lay"))
+    return found.where("lay is not null").select(*TABLE, *[F.col(f"lay.{k}").alias(k) for k in KEYS])
 
 
 def table_layouts(rows: DataFrame, patterns: dict[str, Sequence[str]] = L.HEADER_PATTERNS, units: Sequence[str] = L.UNITS) -> DataFrame:
     """One layout a table: by its header, else by votes, else carried from the last table of the
     document that had one, if the first row is wide enough.  Adds header_row (-1 without) and
-    ``carried``."""
-    head = header_layouts(rows, patterns)
-    bare = headerless_layouts(rows, units).withColumn("header_row", F.lit(-1))
-    own = head.unionByName(bare.join(head, list(TABLE), "left_anti").select(head.columns))
-    lay = F.struct("header_row", *KEYS)
-    tables = rows.groupBy(*TABLE).agg(F.max_by(F.size("cells"), -F.col("row_no")).alias("width")).join(own.select(*TABLE, lay.alias("own")), list(TABLE), "left")
+    ``carried``.  One aggregation of the rows, then a window over the tables of a document."""
+    tables = _voted(_signs(rows, patterns, units=units)).select(*TABLE, "width", F.coalesce("head", _bare_layout()).alias("own"))
     w = Window.partitionBy("doc_id").orderBy("page", "table_no").rowsBetween(Window.unboundedPreceding, -1)
     carried = tables.withColumn("before", F.last("own", ignorenulls=True).over(w))
     fits = F.col("width") > F.greatest(*[F.coalesce(F.col(f"before.{k}"), F.lit(0)) for k in KEYS])
