@@ -144,12 +144,63 @@ def tbl_numbering_row(t):
     return B.data_rows(cells, B.table_layouts(cells)).select("doc_id", "page", "table_no", "row_no")
 
 
-@query("tbl_row_class")
+_T = "doc_id, page, table_no"
+_REF_CELL = f"lower({S.strip('cells[3]')})"
+_REF = f"CASE WHEN regexp_matches({_REF_CELL}, '^({'|'.join(L.STANDARD_PREFIXES)})') OR {S.any_in(_REF_CELL, L.STANDARD_PARTS)} THEN '' ELSE cells[3] END"
+DUCK["v_walk_rows"] = f"""
+WITH r AS (SELECT {_T}, row_no, cells, l.carried, l.pos IS NOT NULL AS has_pos FROM {{v_table_cells}} JOIN {{v_layouts}} l USING ({_T})
+  WHERE row_no > header_row AND NOT (row_no = header_row + 1 AND regexp_matches(cells[3], '^[0-9]{{1,2}}$') AND regexp_matches(cells[2], '^[0-9]{{1,2}}$') AND regexp_matches(cells[6], '^[0-9]{{1,2}}$'))),
+f AS (SELECT *, CASE WHEN has_pos THEN {S.pos('cells[1]')} END AS place, cells[2] AS name, {S.article_clean('cells[3]')} AS bare_article, {_REF} AS ref, {S.code('cells[4]', 'cells[5]')} AS code, {S.qty('cells[6]')} AS qty FROM r)
+SELECT {_T}, row_no, carried, has_pos, place, has_pos AND cells[1] = '-' AS dash, name, cells[3] AS cell, bare_article, ref, {S.article_clean('ref')} AS article, code, cells[5] AS unit, cells[6] AS qty_cell, qty,
+  regexp_matches(name, '^[0-9]+\\s*[/)]\\s') AS numbered, regexp_matches(name, '^[0-9]+\\.\\s*\\S') AND bare_article = '' AND code = '' AS section, {S.any_in("lower(concat(name, ' ', cells[3]))", (*L.SKIP_KEYWORDS, 'equipment'))} AS skip,
+  row_number() OVER (PARTITION BY {_T} ORDER BY row_no) AS n FROM f
+""".replace("{{1,2}}", "{1,2}")
+_ITEM = "{'row_no': row_no, 'kind': kind, 'pos': p, 'name': NAME, 'article': article, 'code': code, 'unit': UNIT, 'qty': QTY, 'heading': HEAD}"
+_GIVEN = "coalesce(nullif(unit, ''), 'шт.')"
+
+
+def _new(**fields: str) -> str:
+    text = _ITEM
+    for k, v in fields.items():
+        text = text.replace(k, v)
+    return text
+
+
+#: All tables walk one row a step, with the last item as their state.
+DUCK["v_walk"] = f"""
+WITH RECURSIVE w AS (
+  SELECT DISTINCT {_T}, 0::BIGINT AS n, NULL::BIGINT AS row_no, carried, NULL::VARCHAR AS kind, 0 AS auto, '' AS title, 0 AS items, NULL::STRUCT(row_no BIGINT, kind VARCHAR, pos VARCHAR, name VARCHAR, article VARCHAR, code VARCHAR, unit VARCHAR, qty DOUBLE, heading BOOLEAN) AS i,
+    NULL::STRUCT(row_no BIGINT, kind VARCHAR, pos VARCHAR, name VARCHAR, article VARCHAR, code VARCHAR, unit VARCHAR, qty DOUBLE, heading BOOLEAN) AS above FROM {{v_walk_rows}}
+  UNION ALL
+  SELECT {_T}, n, row_no, carried, CASE WHEN own AND filled AND NOT gives THEN 'skipped' ELSE kind END, auto + (gives AND panel AND code <> '')::INT,
+    CASE WHEN kind = 'bare' AND length(name) > 8 AND cell = '' AND code = '' AND qty_cell = '' THEN name ELSE title END, items + gives::INT + (gives AND panel AND code <> '')::INT,
+    CASE WHEN gives AND panel AND code <> '' THEN {_new(NAME='full_name', UNIT=_GIVEN, QTY='qty', HEAD='FALSE').replace("'kind': kind, 'pos': p", "'kind': 'panel_part', 'pos': concat('-', (auto + 1)::VARCHAR)")}
+      WHEN gives THEN {_new(NAME="CASE WHEN panel THEN trim(concat(p, '  ', full_name)) ELSE full_name END", UNIT=f"CASE WHEN head THEN '' ELSE {_GIVEN} END", QTY='CASE WHEN head THEN 0::DOUBLE ELSE qty END', HEAD='head')}
+      WHEN i IS NULL OR own THEN i
+      ELSE {{'row_no': i.row_no, 'kind': i.kind, 'pos': i.pos, 'name': i.name, 'article': CASE WHEN i.article = '' AND kind <> 'bare' THEN bare_article ELSE i.article END, 'code': CASE WHEN i.code = '' THEN code ELSE i.code END,
+        'unit': CASE WHEN kind = 'bare' THEN CASE WHEN unit <> '' AND qty_cell <> '' AND i.unit = 'шт.' THEN unit ELSE i.unit END WHEN unit <> '' THEN unit ELSE i.unit END,
+        'qty': CASE WHEN qty_cell <> '' AND (kind <> 'bare' OR i.qty = 1) THEN qty ELSE i.qty END, 'heading': i.heading}} END,
+    CASE WHEN gives AND panel AND code <> '' THEN {_new(NAME="trim(concat(p, '  ', full_name))", UNIT="''", QTY='0::DOUBLE', HEAD='TRUE')} END
+  FROM (SELECT *, own AND filled AND NOT (skip AND code = '' AND NOT head) AS gives, CASE WHEN title <> '' AND length(name) <= 20 AND (ref <> '' OR code <> '') THEN trim(concat(trim(regexp_replace(title, '{L.NORM_SUFFIX}', '')), ' ', name)) ELSE name END AS full_name
+    FROM (SELECT *, CASE kind WHEN 'auto' THEN auto::VARCHAR WHEN 'item' THEN place ELSE concat('-', auto::VARCHAR) END AS p, kind = 'item' AND NOT regexp_matches(place, '^[0-9]') AS panel, kind = 'section' OR (kind = 'item' AND NOT regexp_matches(place, '^[0-9]')) AS head,
+      name <> '' OR cell <> '' OR code <> '' AS filled
+      FROM (SELECT * REPLACE (auto + (own AND kind <> 'item')::INT AS auto) FROM (SELECT *, kind NOT IN ('bare', 'content_merge') AS own
+        FROM (SELECT f.*, w.auto, w.title, w.items, w.i, CASE WHEN NOT has_pos THEN 'auto' WHEN place IS NOT NULL THEN 'item' WHEN dash THEN 'dash' WHEN numbered THEN 'numbered' WHEN section THEN 'section' WHEN f.name = '' OR (bare_article = '' AND f.code = '') THEN 'bare'
+          WHEN w.i IS NULL THEN 'content_first' WHEN f.code <> '' AND w.i.code <> '' THEN 'content_complete' WHEN f.code <> '' AND w.i.heading THEN 'content_part' ELSE 'content_merge' END AS kind
+          FROM w JOIN {{v_walk_rows}} f ON f.doc_id = w.doc_id AND f.page = w.page AND f.table_no = w.table_no AND f.n = w.n + 1)))))
+) SELECT * FROM w WHERE n > 0
+"""
+
+
+@query("tbl_row_class", f"SELECT {_T}, row_no, kind FROM {{v_walk}}")
 def tbl_row_class(t):
     return B.row_classes(fields(t))
 
 
-@query("tbl_continuation_merge")
+@query("tbl_continuation_merge", f"""
+WITH every AS (SELECT {_T}, items - 1 AS seq, carried, arg_max(i, n) AS i FROM {{v_walk}} WHERE i IS NOT NULL GROUP BY ALL UNION ALL SELECT {_T}, items - 2, carried, above FROM {{v_walk}} WHERE above IS NOT NULL)
+SELECT {_T}, i.row_no AS row_no, seq::INT AS seq, i.kind AS kind, i.pos AS pos, i.name AS name_raw, i.article AS article_raw, i.code AS kaznisa_code_raw, i.unit AS unit, i.qty AS qty, i.heading AS is_heading, carried FROM every
+""")
 def tbl_continuation_merge(t):
     return items(t)
 
