@@ -310,13 +310,16 @@ def mat_segment_filter(t):
     return M.segment_filter(M.equality_candidates(t("v_spec_items"), t("v_catalog")), t("v_catalog"), ["ss", "sil"])
 
 
-@query("mat_status", """
+STATUS_SQL = """
 WITH per AS (SELECT s.*, segment, max(score) OVER (PARTITION BY item_id) AS top FROM {v_stage_all} s JOIN {v_catalog} c ON c.id = s.product_id),
 best AS (SELECT item_id, max(top) AS top, count(*) FILTER (top - score <= 5) AS n, count(DISTINCT segment) FILTER (top - score <= 5 AND score >= 100) AS segments, arg_min(method, rank) AS method, arg_min(product_id, rank) AS product_id FROM per GROUP BY 1)
 SELECT i.item_id, CASE WHEN is_heading THEN 'heading' WHEN top IS NULL THEN 'not_found' WHEN top >= 100 THEN CASE WHEN segments > 1 THEN 'multiple' ELSE 'exact' END WHEN n > 1 THEN 'multiple' ELSE 'fuzzy' END AS status,
   method AS match_method, product_id, CASE WHEN is_heading THEN 0.0::DOUBLE ELSE qty END AS qty
 FROM {v_spec_items} i LEFT JOIN best USING (item_id)
-""")
+"""
+
+
+@query("mat_status", STATUS_SQL)
 def mat_status(t):
     return M.statuses(t("v_spec_items"), _whole(t), t("v_catalog")).select("item_id", "status", "match_method", "product_id", "qty")
 
