@@ -23,23 +23,18 @@ def confident_words(boxes: DataFrame, minimum: int = 25) -> DataFrame:
 
 
 def line_groups(boxes: DataFrame, tolerance: int = 15) -> DataFrame:
-    """Adds ``line``: words by top and left join a line while they are near the top of its
-    first word.  The anchor depends on the line so far, so a page is one pass."""
-
-    def run(batches):
-        key, anchor, line = None, 0, 0
-        for pdf in batches:
-            lines = []
-            for doc, page, top in zip(pdf["doc"].tolist(), pdf["page"].tolist(), pdf["top"].tolist()):
-                if key != (doc, page):
-                    key, anchor, line = (doc, page), top, 0
-                elif abs(top - anchor) > tolerance:
-                    anchor, line = top, line + 1
-                lines.append(line)
-            yield pdf.assign(line=lines)
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in boxes.dtypes) + ", line int"
-    return boxes.repartition("doc", "page").sortWithinPartitions("doc", "page", "top", "left").mapInPandas(run, schema)
+    """Adds ``line``: words by top join a line while they are near the top of its first word.
+
+    Where a line starts depends on the line before, so the tops of a page, each once, are
+    folded into an array of starts; a word's line is the number of starts down to its top.
+    Words without a top are in line 0.
+    """
+    far = lambda a, x: F.coalesce(x - F.try_element_at(a, F.lit(-1)) > tolerance, F.lit(True))
+    tops = boxes.groupBy(F.col("doc").alias("_doc"), F.col("page").alias("_page")).agg(F.sort_array(F.collect_set("top")).alias("_tops"))
+    starts = tops.withColumn("_starts", F.aggregate("_tops", F.slice("_tops", 1, 0), lambda a, x: F.when(far(a, x), F.concat(a, F.array(x))).otherwise(a)))
+    joined = boxes.join(starts, F.col("doc").eqNullSafe(F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page")))
+    line = F.size(F.filter("_starts", lambda s: s <= F.col("top"))) - 1
+    return joined.select(*[F.col(f"`{c}`") for c in boxes.columns], F.greatest(line, F.lit(0)).alias("line"))
 
 
 def split_cells(boxes: DataFrame, gap: int = 22) -> DataFrame:

@@ -96,6 +96,19 @@ def test_line_groups(spark):
     assert {r.text: r.line for r in B.line_groups(boxes).collect()} == {"a": 0, "b": 0, "c": 1, "d": 2}
 
 
+def test_line_groups_equal_a_loop(spark):
+    rng = random.Random(3)
+    rows = [(d, p, str(k), 99, rng.randrange(900), rng.randrange(400), 5) for d in (1, 2, None) for p in (1, None) for k in range(rng.randrange(5, 90))]
+    boxes = spark.createDataFrame([*rows, (1, 1, "none", 99, 0, None, 5)], "doc long, page long, text string, conf int, left int, top int, width int")
+    got, want, last = {(r.doc, r.page, r.text): r.line for r in B.line_groups(boxes).collect()}, {(1, 1, "none"): 0}, {}
+    for d, p, text, _, _, top, _ in sorted(rows, key=lambda r: r[5]):
+        anchor, line = last.get((d, p), (None, -1))
+        last[d, p] = anchor, line = (top, line + 1) if anchor is None or top - anchor > 15 else (anchor, line)
+        want[d, p, text] = line
+    assert got == want
+    assert B.line_groups(boxes.limit(0)).collect() == []
+
+
 def test_replies(spark):
     replies = spark.createDataFrame([(1, '{"items":[{"idx":0,"params":{"a":"1","b":""}},{"idx":99,"params":{"a":"1"}}]}'), (2, '[{"idx":1,"params":{"c":"x"}}]'), (3, "oops")], "batch long, reply string")
     assert sorted((r.batch, r.idx, r.params) for r in B.merged_replies(replies).collect()) == [(1, 0, {"a": "1"}), (2, 1, {"c": "x"})]
