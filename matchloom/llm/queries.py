@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import ce_difference, conversation_repair, grid_codes, language_id, license_scan, lpt_sharding, merge_dropout, quality_crf, secret_scan, simhash_trie, suffix_decontam, trie_token_counts, warc_index
-from matchloom.llm.common import table
+from matchloom.llm.common import materialize, table
 
 
 def op1_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def op1_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality_crf.quality(docs, quality_crf.fit_field(docs, table(spark, sf_dir, "labels")))
+    lines = materialize(quality_crf.measured(table(spark, sf_dir, "documents")), "line-features")
+    return quality_crf.judged(lines, quality_crf.fit_measured(lines, table(spark, sf_dir, "labels")))
 
 
 def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,3 +124,50 @@ def test_edges(spark):
     assert Q.quality(docs.limit(0), field).count() == 0
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert np.array_equal(Q.fit_field(docs, empty).weights, field.weights)
+
+
+def test_fit_reads_all_labelled_documents(spark):
+    """More than 1,500 documents of a class, and bad ones that are all longer than 64 KiB:
+    the fit equals a plain one over every labelled document."""
+    good = [(k, f"The h{k} house by the r{k * 7} river was sold to a f{k * 3} family from the north.\nIt rained on d{k} day.") for k in range(1600)]
+    bad = [(5000 + k, "\n".join("$$$ ".join(f"ab{i}x{j}q{k}" for j in range(12)) + "$$$" for i in range(700))) for k in range(3)]
+    assert all(len(t) > 64 << 10 for _, t in bad)
+    docs = spark.createDataFrame([*good, *bad, (9000, "no label"), (9001, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad] + [(9001, 1, 0), (9999, 0, 0)], "doc_id long, quality int, toxic int")
+    field = Q.fit_field(docs, labels)
+    rows, sides = [Q.measure(t)[2] for _, t in good + bad], np.array([True] * 1600 + [False] * 3)
+    flat, lengths, y = np.concatenate(rows), np.array([len(r) for r in rows]), np.concatenate(Q.line_labels(rows, sides))
+    plain = Q.LineField.fit(lambda at, chained: at.sums(flat, y, lengths, chained))
+    assert np.allclose(field.weights, plain.weights, atol=1e-2) and np.allclose(field.moves, plain.moves, atol=1e-2)
+    assert all(not Q.judge(field, t)[2] for _, t in bad) and all(Q.judge(field, t)[2] for _, t in good)
+
+
+def test_common_lines_and_share_are_of_all_documents(spark):
+    """A line that three of 1,400 documents share, wherever their ids hash to; counts of shares add up over parts."""
+    lines = Q.measured(spark.createDataFrame([(k, f"only w{k}" + ("\nsubscribe here" if k in (3, 700, 1399) else "")) for k in range(1400)], "doc_id long, text string"))
+    assert Q.common_lines(lines, 1400) == {Q.line_key(b"subscribe here")} and not Q.common_lines(lines, 2000)
+    rng = np.random.default_rng(2)
+    shares, good = rng.random(500), rng.random(500) < 0.7
+    assert Q.best_share(Q.share_counts(shares[:200], good[:200]) + Q.share_counts(shares[200:], good[200:])) == Q.least_share(shares, good)
+
+
+def test_chains_of_any_length_have_the_gradient_of_their_likelihood():
+    """One chain of 300 lines, one of a single line, odds beyond the range of exp; curvature is exact for single lines."""
+    rng = np.random.default_rng(5)
+    f = len(Q.FEATURES)
+    rows, labels, lengths = rng.normal(size=(304, f)), rng.integers(0, 2, 304), np.array([300, 1, 3])
+    rows[7] *= 1000
+    for chained in (True, False):
+        field = Q.LineField(rng.normal(size=(f, 1)) * np.array([[-0.5, 0.5]]), rng.normal(size=(2, 2)) * chained)
+        base = field.sums(rows, labels, lengths, chained).sum(axis=0)
+        for k in range(f + 4 * chained):
+            moved = Q.LineField(field.weights.copy(), field.moves.copy())
+            if k < f:
+                moved.weights[k] += np.array([-0.5, 0.5]) * 1e-6
+            else:
+                moved.moves.reshape(4)[k - f] += 1e-6
+            up = moved.sums(rows, labels, lengths, chained).sum(axis=0)
+            assert np.isclose((up[1] - base[1]) / 1e-6, base[2 + k], atol=1e-2, rtol=1e-3)
+            if not chained:
+                bend = base[6 + f :].reshape(f + 4, f + 4)[k, :f]
+                assert np.allclose((base[2 : 2 + f] - up[2 : 2 + f]) / 1e-6, bend, atol=1e-2, rtol=1e-3)
