@@ -1,15 +1,19 @@
 """Near-duplicates by the Jaccard similarity of word shingles.
 
 1. Texts with the same set of shingles collapse to one node before anything is compared.
-2. Min-hash bands give candidates: nodes that agree in a whole band share a bucket.
+2. Fingerprints of the sets go through the binary-trie self-join of ``simhash_trie``
+   (its budget and block choices).  Nodes whose fingerprints its links connect share a
+   bucket, so whatever the trie links is a candidate, and so is the rest of its component.
+3. Pairs of 0.8 similarity lie mostly beyond the trie's budget, so min-hash bands add
+   further buckets: nodes that agree in a whole band share one.
    At 0.8 similarity a pair misses all bands with probability 3e-5.
-3. Candidates of fitting sizes are verified on their whole sets, which are taken from
+4. Candidates of fitting sizes are verified on their whole sets, which are taken from
    the texts again, for members of buckets only.  In a small bucket all pairs are; in
    a larger one members are first compared with a leader.  Buckets that such links
    leave in several components are searched whole (``_search``), a block against a
    block, through an inverted index of their shingles; what comes out is a spanning
    forest of the links, so no pairs are emitted and no bucket is cut.
-4. Components over the verified links.
+5. Components over the verified links.
 """
 
 from __future__ import annotations
@@ -171,6 +175,15 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFr
     return materialize(found.union(_search_buckets(large.select("key", "node", "size", "own"), sets)), "links")
 
 
+def with_trie_groups(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node, size, fp, keys) as (node, size, keys), with one key more: of the component
+    that the trie self-join's links between fingerprints give (its own where there are none)."""
+    linked = connected_components(simhash_trie.links(materialize(nodes.select("fp").distinct(), "distinct-fingerprints"))).withColumnRenamed("node", "fp")
+    group = F.xxhash64(F.lit("trie"), F.coalesce("component", "fp"))
+    # Linked fingerprints grow with the input, so they are merged at every size.
+    return nodes.join(linked.hint("merge"), "fp", "left").select("node", "size", F.array_append("keys", group).alias("keys"))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, node, group, component_id): one row per input row; rows of one group are linked.
 
@@ -188,13 +201,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if bodies:
                 return found | {"body": pa.array([x.tobytes() for x in sets], pa.binary())}
             keys = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            return found | {"size": pa.array([len(x) for x in sets], pa.int64()), "keys": keys}
+            fps = np.array([simhash_trie.fingerprint_of_hashes(x) for x in sets], dtype=np.uint64)
+            return found | {"size": pa.array([len(x) for x in sets], pa.int64()), "fp": pa.array(fps.view(np.int64)), "keys": keys}
 
         return run
 
     kind = f"id {dict(docs.dtypes)[id_col]}, key long, node long"
     texts = docs.select(F.col(id_col).alias("id"), simhash_trie.text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    marked = materialize(map_rows(texts, lambda: make(False), f"{kind}, size long, keys array<long>"), "min-hashes")
+    marked = materialize(map_rows(texts, lambda: make(False), f"{kind}, size long, fp long, keys array<long>"), "fingerprints")
     # One text stands for all of a node: the one of the smallest hash.
     low = materialize(marked.groupBy("node").agg(F.min("id").alias("low"), F.min("key").alias("own")), "nodes")
 
@@ -204,7 +218,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         bodies = map_rows(some, lambda: make(True), f"{kind}, body binary")
         return bodies.join(wanted, (bodies["node"] == wanted["node"]) & (bodies["key"] == wanted["own"]), "left_semi").select("node", "body").dropDuplicates(["node"])
 
-    linked = connected_components(links(marked.select("node", "size", "keys").dropDuplicates(["node"]), sets_of))
+    nodes = with_trie_groups(marked.select("node", "size", "fp", "keys").dropDuplicates(["node"]))
+    linked = connected_components(links(nodes, sets_of))
     named = simhash_trie.named_groups(low.select("node", "low"), linked, "node")
     return marked.select("id", "key", "node").join(named, "node")
 

@@ -1,6 +1,9 @@
 import random
 from itertools import combinations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from matchloom.llm import shingle_similarity as M
 from matchloom.llm import simhash_trie
@@ -75,3 +78,30 @@ def test_string_ids_long_texts_and_lost_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id string, text string")
     got = sorted((r.doc_id, r.text[:9]) for r in M.drop_similar(docs).collect())
     assert got == [("a", long[:9]), ("c", "a second "), ("c", "another t")]
+
+
+def test_trie_self_join_gives_candidates(spark, monkeypatch):
+    """Without any band the trie's links alone reach the near copies within its budget, and the
+    check on whole sets follows: near fingerprints of sets that are not alike do not link."""
+    monkeypatch.setattr(M, "band_keys", lambda values: np.empty(0, dtype=np.uint64))
+    monkeypatch.setattr(M, "SMALL_BUCKET", 4)
+    base = [f"w{k * 31 % 2003}x{k}" for k in range(2000)]
+    texts = {}
+    for c in range(12):  # one changed word at the end each
+        texts[20 - c] = " ".join([*base, f"end{c}"])
+    texts[30] = " ".join(f"v{k}" for k in range(2000))
+    _, want = brute(texts)
+    fps = {i: simhash_trie.fingerprint_of_hashes(M.shingle_set(t)) for i, t in texts.items()}
+    of = {i: i for i in texts}
+    for i, j in combinations(sorted(texts), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= simhash_trie.BUDGET and of[i] != of[j]:
+            a, b = of[i], of[j]
+            of = {k: min(a, b) if v in (a, b) else v for k, v in of.items()}
+    assert of == want and set(want.values()) == {9, 30}
+    assert components(spark, texts) == want
+
+    # All sets in one trie component: those that are not alike stay apart.
+    groups = M.with_trie_groups
+    monkeypatch.setattr(M, "with_trie_groups", lambda nodes: groups(nodes.withColumn("fp", F.col("size") % 2)))
+    small = dict(list(families().items())[:30])
+    assert components(spark, small) == brute(small)[1]
