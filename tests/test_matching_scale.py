@@ -30,3 +30,16 @@ def test_lines_of_equal_cells_are_searched_once(spark, monkeypatch):
     got = sorted((r.item_id, r.product_id, r.method, r.rank) for r in M.cascade(items, cat, similar=False, names=False).collect())
     assert searched == [1]
     assert got == sorted((i, p, "contains", p) for i in [*range(1, 41), 99] for p in (1, 2))
+
+
+def test_a_stage_alone_sees_equal_cells_once(spark):
+    rows = [(k, "ABC-10" if k % 2 else None, "n", None, False) for k in range(1, 41)] + [(99, "ABC-10", "n", "", True)]
+    items = spark.createDataFrame(rows, "item_id long, article_raw string, name_raw string, kaznisa_code_raw string, is_heading boolean")
+    seen = []
+
+    def search(alike):
+        seen.extend((r.item_id, r.article_raw) for r in alike.collect())
+        return alike.where("article_raw <> ''").select("item_id", F.lit(7).alias("product_id"))
+
+    assert sorted(tuple(r) for r in M.by_cells(items, search).collect()) == [(k, 7) for k in range(1, 41, 2)]
+    assert sorted(seen) == [(1, "ABC-10"), (2, "")]
