@@ -43,3 +43,39 @@ def test_a_stage_alone_sees_equal_cells_once(spark):
 
     assert sorted(tuple(r) for r in M.by_cells(items, search).collect()) == [(k, 7) for k in range(1, 41, 2)]
     assert sorted(seen) == [(1, "ABC-10"), (2, "")]
+
+
+def test_long_grams_find_what_short_ones_find(spark):
+    rng = random.Random(6)
+    long = {"".join(rng.choice("AB-1") for _ in range(rng.randrange(1, 30))) for _ in range(200)}
+    short = {t[rng.randrange(5) :][: rng.randrange(1, 20)] for t in long} - {""}
+    s, k = spark.createDataFrame([(x,) for x in short], "short string"), spark.createDataFrame([(x,) for x in long], "long string")
+    want = sorted((a, b) for a in short for b in long if a in b)
+    assert sorted(tuple(r) for r in S.inside_pairs(s, k, 8).collect()) == want == sorted(tuple(r) for r in S.inside_pairs(s, k).collect())
+
+
+def test_tries_find_what_a_loop_finds():
+    rng = random.Random(2)
+    word = lambda most: Y.token_sort("".join(rng.choice("AB-12 x") for _ in range(rng.randrange(most))))
+    texts, queries = sorted({word(30) for _ in range(300)} - {""}), [word(30) for _ in range(60)] + [word(90) for _ in range(5)]
+    for cutoff, limit, states in ((80, 10, 1_000_000), (93, 3, 1_000_000), (70, 2, 100)):
+        got = {}
+        for q, k, s in zip(*(x.tolist() for x in Y.SortedTries(texts, [1] * len(texts), states).search(queries, cutoff, limit))):
+            got.setdefault(q, []).append((-round(s, 9), k))
+        want = {q: sorted((-round(s, 9), k) for k, t in enumerate(texts) if (s := Y.indel_ratio(text, t)) >= cutoff - 1e-9)[:limit] for q, text in enumerate(queries) if text}
+        assert {q: sorted(v)[:limit] for q, v in got.items()} == {q: v for q, v in want.items() if v}
+
+
+def test_articles_that_are_mostly_figures_are_few_families(spark):
+    texts = [f"LARGE-{k % 50}-{100000 + k}" for k in range(400)] + [str(10**8 + k) for k in range(50)]
+    t = spark.createDataFrame([(x,) for x in texts], "s string").withColumns(S.family(F.col("s")))
+    assert t.select("x", "n").distinct().count() == 3
+    pairs = {tuple(r) for r in S.similar_families(t, t, 80).collect()}
+    assert ("", 9, "", 9) in pairs and ("LARGE--", 15, "LARGE--", 14) in pairs and len(pairs) <= 9
+
+
+def test_partial_scores_leave_out_what_figures_cannot_reach(spark):
+    """The names have two digits at most, the articles eight."""
+    q = spark.createDataFrame([(f"ECONXOMY-{k % 50}-{100000 + k}",) for k in range(100)] + [("GREEN PIPE 12",)], "query string").withColumns(S.pattern(F.col("query")))
+    names = spark.createDataFrame([(f"GREEN PIPE ECONOMY SIZE {k}",) for k in range(99)], "text string")
+    assert {r.x for r in S.windowed_texts(q, names, 90, True).select("x").distinct().collect()} <= {"GREEN PIPE "}
