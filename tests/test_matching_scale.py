@@ -79,3 +79,15 @@ def test_partial_scores_leave_out_what_figures_cannot_reach(spark):
     q = spark.createDataFrame([(f"ECONXOMY-{k % 50}-{100000 + k}",) for k in range(100)] + [("GREEN PIPE 12",)], "query string").withColumns(S.pattern(F.col("query")))
     names = spark.createDataFrame([(f"GREEN PIPE ECONOMY SIZE {k}",) for k in range(99)], "text string")
     assert {r.x for r in S.windowed_texts(q, names, 90, True).select("x").distinct().collect()} <= {"GREEN PIPE "}
+
+
+def test_views_of_matches_read_the_lines_once(spark, sf, monkeypatch):
+    """Lines and statuses are written, so plans of what follows have no join of orders and catalog left."""
+    from matchloom.plans import matching, registry
+    from matchloom.plans.views import Tables
+
+    t = Tables(spark, sf)
+    assert "lineitem" not in " ".join(matching.matches(t).inputFiles())
+    for name in ("mat_rematch_apply", "mat_hybrid"):
+        files = registry.load().queries[name](spark, sf).inputFiles()
+        assert not any("/lineitem.parquet" in f or "/lines-" in f for f in files)
